@@ -12,7 +12,7 @@ in all and at most ``row_chars`` of each, and fills at most ``dict_bytes`` per l
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; so is every text if nothing could be learned. Equal sizes go to the language
-first in alphabetical order. Every text is read whole.
+with more training rows, then the first in alphabetical order. Every text is read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionary content by language, and how texts are cut and compressed."""
+    """Dictionary content by language, most rows first, and how texts are cut and compressed."""
 
     content: dict[str, bytes]
     block: int = 4096
@@ -55,14 +55,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
     for row in picked.orderBy("o", "l").limit(2 * rows_per_lang * len(counts)).toLocalIterator():
         if len(content[row["l"]]) < each:
             content[row["l"]] += row["t"].encode("utf-8", "replace") + b"\n"
-    return Model({k: bytes(v[:each]) for k, v in sorted(content.items()) if v})
+    return Model({k: bytes(content[k][:each]) for k in sorted(counts, key=lambda k: (-counts[k], k)) if content[k]})
 
 
 class Classifier:
     """One per task; holds the digested dictionaries."""
 
     def __init__(self, model: Model) -> None:
-        self.names = sorted(model.content)
+        self.names = list(model.content)
         self.block = model.block
         self.coders = [
             zstandard.ZstdCompressor(
