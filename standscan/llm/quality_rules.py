@@ -137,6 +137,9 @@ def judge(texts: DataFrame, id_col: str = "doc_id", text: str = "text", rules: t
     own = "ss_text"
     df = texts.select(F.col(id_col).alias("ss_id"), F.col(text).alias(own), *[F.col(c).alias(f"ss_in_{i}") for i, c in enumerate(keep)])
     df = add_statistics(df, own)
+    # Always true, but not deterministic: it keeps a later filter on ``kept`` from being pushed
+    # below the projections, where the nested statistics would be written out many times over.
+    fence = F.monotonically_increasing_id() >= 0
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return df.select(
         F.col("ss_id").alias(id_col),
@@ -146,7 +149,7 @@ def judge(texts: DataFrame, id_col: str = "doc_id", text: str = "text", rules: t
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & compile_rules(rules)).alias("kept"),
+        (~failed & compile_rules(rules) & fence).alias("kept"),
         *[F.col(f"ss_in_{i}").alias(c) for i, c in enumerate(keep)],
     )
 
