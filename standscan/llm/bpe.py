@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from standscan.llm.batches import slices
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -37,7 +39,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Bytes in, token ids out. One instance per task; not shared between threads."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000) -> None:
         self.ranks = ranks
         self.max_states = max_states
         self.tokens: dict[int, bytes] = {i: t for t, i in ranks.items()}
@@ -200,7 +202,7 @@ def _splitters(pattern: str):
 class Encoder:
     """Splits a text by the pattern and runs the transducer on each match."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 120_000) -> None:
         self.machine = Transducer(ranks)
         self.split_any, self.split_narrow = _splitters(pattern)
         self.wide = re.compile(f"[^\\x00-\\u{NARROW - 1:04x}]").search
@@ -306,7 +308,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _tools(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [encoder.encode_bytes(t) for t in batch.column("t").to_pylist()]
             ends = np.cumsum([0, *[len(r) // 4 for r in raw]], dtype="i4")
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
@@ -321,7 +323,7 @@ def decode(coded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = _tools(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for row in batch.column("i"):
                 values = [] if row.as_py() is None else row.values.to_numpy(zero_copy_only=False).tolist()
@@ -337,7 +339,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _tools(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts, coded, decoded = [], [], []
             for t in batch.column("t").to_pylist():
                 raw = encoder.encode_bytes(t)

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from standscan.llm.batches import slices
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,7 +40,7 @@ class Model:
 class Features:
     """Hashed n-grams of a text; remembers the hashes of recent words."""
 
-    def __init__(self, bits: int, max_words: int = 200_000) -> None:
+    def __init__(self, bits: int, max_words: int = 100_000) -> None:
         self.shift = np.uint64(64 - bits)
         self.max_words = max_words
         self.known: dict[str, int] = {}
@@ -114,7 +116,7 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
-        for batch in batches:
+        for batch in slices(batches):
             made = [features.of(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -142,7 +144,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         features = Features(held.bits)
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
             for t in batch.column("t").to_pylist():
                 index, values = features.of(t)

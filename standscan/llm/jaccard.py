@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from standscan.llm.batches import slices
 from standscan.operators.components import connected_components
 from standscan.session import discard, materialise
 
@@ -54,7 +55,7 @@ def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int
 class Signer:
     """Forest signatures: per tree, the low 16 bits of ``DEPTH`` min-hashes."""
 
-    def __init__(self, width: int, max_words: int = 200_000) -> None:
+    def __init__(self, width: int, max_words: int = 100_000) -> None:
         rng = np.random.default_rng(2024)
         self.width, self.max_words = width, max_words
         self.a = (rng.integers(0, 1 << 32, TREES * DEPTH, dtype="u8") | np.uint64(1)).astype("u4")[:, None]
@@ -94,7 +95,7 @@ def sign_rows(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(width)
-        for batch in batches:
+        for batch in slices(batches):
             sigs = [signer.sign(t) for t in batch.column("ss_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("ss_id"), batch.column("ss_key"), pa.array(sigs, pa.binary()), batch.column("ss_bytes")], names=["ss_id", "ss_key", "ss_sig", "ss_bytes"])
 

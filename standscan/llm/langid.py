@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from standscan.llm.batches import slices
+
 UNKNOWN = "und"
 
 
@@ -101,7 +103,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             judged = [classifier.judge(t) for t in batch.column("t").to_pylist()]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(

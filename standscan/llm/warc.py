@@ -35,6 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from standscan.llm.batches import slices
 from standscan.session import materialise, new_path
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -89,7 +90,7 @@ def _writer(folder: str, archive_bytes: int, level: int):
                 done.append((path, count, size))
                 out = None
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if out is None:
                     path, size, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -248,7 +249,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap_reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("http_length", pa.int64()), ("payload", pa.binary())]
     )
-    for batch in batches:
+    for batch in slices(batches):
         for path in batch.column("path").to_pylist():
             fs, inner = pafs.FileSystem.from_uri(path)
             rows, held = [], 0
