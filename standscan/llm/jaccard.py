@@ -210,7 +210,8 @@ def _verified(docs: DataFrame, families: DataFrame, id_col: str, text: str, widt
         "jaccard-members",
     )
     rows = docs.select(F.col(id_col).alias("ss_id"), text_key(text).alias("ss_k"), F.coalesce(F.col(text), F.lit("")).alias("ss_t"))
-    fetched = rows.join(members, (F.col("ss_k") == F.col("ss_key")) & F.col("ss_id").eqNullSafe(F.col("ss_rep")))
+    # The texts are always fetched by a sort-merge join, so that the plan and its share of disk are alike at every size.
+    fetched = rows.join(members.hint("merge"), (F.col("ss_k") == F.col("ss_key")) & F.col("ss_id").eqNullSafe(F.col("ss_rep")))
     whole = fetched.groupBy("ss_key", "ss_family", "parts", "part", "ss_copies").agg(F.first("ss_t").alias("ss_t"))
     blocks = whole.groupBy("ss_family", "part").agg(
         F.first("parts").alias("parts"), F.collect_list(F.struct(F.col("ss_key").alias("key"), F.col("ss_copies").alias("copies"), F.col("ss_t").alias("text"))).alias("members")
