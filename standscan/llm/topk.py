@@ -35,6 +35,7 @@ from standscan.session import materialise
 
 LIMIT = 1 << 26
 SALTS = 16
+RESCORED = 8  # reading stops once so small a share of a shard is left to rescore
 PACKED = "shard string, dims int, n int, ids binary, rows binary"
 
 
@@ -83,47 +84,59 @@ def _packer(rows_per_pack: int):
 class Shard:
     """The impact-ordered segments of up to a few thousand vectors."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = 16) -> None:
-        self.ids, self.rows = ids, rows
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = 64) -> None:
+        self.ids, self.rows, self.floats = ids, rows, rows.astype("f8")
         n, dims = rows.shape
+        self.size = int(np.abs(rows).max(initial=0)) * dims
         self.low, self.high = rows.min(axis=0).astype("i8"), rows.max(axis=0).astype("i8")
         self.width = (self.high - self.low) // levels + 1
         step = ((rows - self.low) // self.width).astype("i2")
-        self.postings = np.argsort(step, axis=0, kind="stable").T.astype("i4")
+        self.postings = np.argsort(step, axis=0, kind="stable").T.astype("i4").ravel()
         ends = np.stack([np.searchsorted(np.sort(step[:, d]), np.arange(levels + 1)) for d in range(dims)])
         self.dim, self.step = np.nonzero(np.diff(ends, axis=1))
-        self.start, self.stop = ends[self.dim, self.step], ends[self.dim, self.step + 1]
+        self.start = self.dim * n + ends[self.dim, self.step]
+        self.count = ends[self.dim, self.step + 1] - ends[self.dim, self.step]
         self.seg_low = self.low[self.dim] + self.step * self.width[self.dim]
         self.seg_high = np.minimum(self.seg_low + self.width[self.dim] - 1, self.high[self.dim])
 
-    def search(self, query: np.ndarray, own_id: int, k: int, floor: int | None, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    def _gain(self, segments: np.ndarray, impact: np.ndarray) -> np.ndarray:
+        """What the postings of these segments add to each row's accumulator."""
+        count = self.count[segments]
+        stops = np.cumsum(count)
+        at = np.arange(int(stops[-1])) + np.repeat(self.start[segments] - stops + count, count)
+        return np.bincount(self.postings[at], np.repeat(impact[segments].astype("f8"), count), len(self.ids)).astype("i8")
+
+    def search(self, query: np.ndarray, own_id: int, k: int, floor: int | None, enough: int, rounds: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, scores)`` of this shard's k best rows that score at least ``floor``."""
         q = query.astype("i8")
         size = np.abs(q)
-        up = q[self.dim] >= 0
-        impact = size[self.dim] * np.where(up, self.seg_low - self.low[self.dim], self.high[self.dim] - self.seg_high)
-        base = int(np.minimum(q * self.low, q * self.high).sum())
-        order = np.argsort(-impact, kind="stable")
-        barred = self.ids == own_id
-        gained = np.zeros(len(self.ids), "i8")
-        gained[barred] = -(1 << 62)
-        inside = int((size * (self.width - 1)).sum())
-        dims, impacts = self.dim[order], impact[order]
-        left = self._unread(dims, impacts, len(q))
-        checks = set(np.linspace(0, len(order), 9).astype(int).tolist()[2:])
-        possible = np.flatnonzero(~barred)
-        for at, seg in enumerate(order.tolist(), 1):
-            if impact[seg]:
-                gained[self.postings[self.dim[seg], self.start[seg] : self.stop[seg]]] += impact[seg]
-            if at in checks:
-                slack = inside + int(left[at])
-                best = int(np.partition(gained, -k)[-k]) if len(gained) >= k else -(1 << 62)
+        free = self.ids != own_id
+        possible = np.flatnonzero(free)
+        exact = self.size * int(size.max(initial=0)) < 1 << 52  # then sums of doubles are exact
+        if exact:
+            up = q[self.dim] >= 0
+            impact = size[self.dim] * np.where(up, self.seg_low - self.low[self.dim], self.high[self.dim] - self.seg_high)
+            base = int(np.minimum(q * self.low, q * self.high).sum())
+            inside = int((size * (self.width - 1)).sum())
+            order = np.argsort(-impact, kind="stable")
+            order = order[: np.count_nonzero(impact)]  # segments without impact add nothing
+            left = self._unread(self.dim[order], impact[order], len(q))
+            cuts = np.unique(np.searchsorted(np.cumsum(self.count[order]), np.linspace(0, int(self.count[order].sum()), rounds + 1)[1:], side="left") + 1)
+            gained, at = np.zeros(len(self.ids), "i8"), 0
+            for cut in cuts.clip(max=len(order)).tolist() if len(order) else []:
+                if cut > at:
+                    gained += self._gain(order[at:cut], impact)
+                    at = cut
+                bounds = gained[free]
+                best = int(np.partition(bounds, -k)[-k]) if len(bounds) >= k else -(1 << 62)
                 if floor is not None:
                     best = max(best, floor - base)
-                possible = np.flatnonzero(~barred & (gained >= best - slack))
+                possible = np.flatnonzero(free & (gained >= best - inside - int(left[at])))
                 if len(possible) <= enough:
                     break
-        scores = self.rows[possible].astype("i8") @ q
+            scores = (self.floats[possible] @ q.astype("f8")).astype("i8")
+        else:  # components too large for doubles: every row is a possible member
+            scores = self.rows[possible].astype("i8") @ q
         ids = self.ids[possible]
         if floor is not None:
             ids, scores = ids[scores >= floor], scores[scores >= floor]
@@ -132,15 +145,18 @@ class Shard:
 
     @staticmethod
     def _unread(dims: np.ndarray, impacts: np.ndarray, n: int) -> np.ndarray:
-        """After each number of segments read: the sum over dimensions of the largest unread impact."""
-        total = np.zeros(len(dims) + 1, "i8")
-        largest = np.zeros(n, "i8")
-        running = 0
-        for at in range(len(dims) - 1, -1, -1):
-            running += int(impacts[at] - largest[dims[at]])
-            largest[dims[at]] = impacts[at]
-            total[at] = running
-        return total
+        """After each number of segments read: the sum over dimensions of the largest unread impact.
+
+        Impacts descend, so reading a segment lowers its dimension's largest unread impact to
+        that of the next segment of the dimension.
+        """
+        by_dim = np.argsort(dims, kind="stable")
+        following = np.zeros(len(dims), "i8")
+        same = dims[by_dim][1:] == dims[by_dim][:-1]
+        following[by_dim[:-1][same]] = impacts[by_dim[1:][same]]
+        first = np.ones(len(dims), bool)
+        first[by_dim[1:][same]] = False
+        return int(impacts[first].sum()) - np.concatenate([[0], np.cumsum(impacts - following)])
 
 
 FOUND = pa.schema([("block", pa.string()), ("place", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -157,7 +173,7 @@ def _searcher(k: int):
                 places, q_ids, c_ids, scores = [np.empty(0, "i4")], [np.empty(0, "i8")], [np.empty(0, "i8")], [np.empty(0, "i8")]
                 for place, (q_id, q) in enumerate(zip(np.frombuffer(row["q_ids"], "<i8").tolist(), queries, strict=True)):
                     seen = best.get((block, place), [])
-                    ids, got = shard.search(q, q_id, k, seen[-1] if len(seen) == k else None, max(4 * k, len(shard.ids) // 16))
+                    ids, got = shard.search(q, q_id, k, seen[-1] if len(seen) == k else None, max(4 * k, len(shard.ids) // RESCORED))
                     best[block, place] = sorted([*seen, *got.tolist()], reverse=True)[:k]
                     places.append(np.full(len(ids), place, "i4"))
                     q_ids.append(np.full(len(ids), q_id, "i8"))
