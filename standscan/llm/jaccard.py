@@ -38,6 +38,7 @@ from standscan.session import discard, materialise
 find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 TREES, DEPTH, WIDTH, THRESHOLD, RECALL = 20, 8, 5, 0.8, 0.999
 BLOCK_TEXTS, BLOCK_BYTES = 64, 8 << 20
+SLOTS, PAGE = 1 << 26, 1 << 15  # bits of a key filter, 8 MB in all, and bits of one of its rows
 
 
 def forest_recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -108,6 +109,22 @@ def text_key(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _probe(rows: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys.ss_key`` (leftsemi), or surely is not (leftanti).
+
+    The keys' hashes set bits of a map of ``SLOTS`` bits, which is broadcast: at most 8 MB,
+    however many keys. A shared bit only lets a row pass that the exact join then settles, so
+    the map saves shuffled texts and decides nothing; a full one saves nothing.
+    """
+    slot = lambda k: F.pmod(F.xxhash64(F.lit(11), k), F.lit(SLOTS))
+    page = lambda k: F.floor(slot(k) / PAGE)
+    at = keys.select(page("ss_key").alias("ss_page"), F.pmod(slot("ss_key"), F.lit(PAGE)).alias("ss_at"))
+    bits = at.repartition("ss_page").groupBy("ss_page").agg(F.bitmap_construct_agg("ss_at").alias("ss_bits"))
+    own = F.pmod(slot(key), F.lit(PAGE))
+    byte = F.conv(F.hex(F.substring(F.col("ss_bits"), (F.floor(own / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), (page(key) == F.col("ss_page")) & (F.getbit(byte, F.pmod(own, F.lit(8)).cast("int")) == 1), how)
+
+
 def _unique_shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """``(text number, shingle number)`` of all distinct shingles, numbered exactly."""
     numbers: dict[str, int] = {}
@@ -211,7 +228,7 @@ def _verified(docs: DataFrame, families: DataFrame, id_col: str, text: str, widt
     )
     rows = docs.select(F.col(id_col).alias("ss_id"), text_key(text).alias("ss_k"), F.coalesce(F.col(text), F.lit("")).alias("ss_t"))
     # The texts are always fetched by a sort-merge join, so that the plan and its share of disk are alike at every size.
-    fetched = rows.join(members.hint("merge"), (F.col("ss_k") == F.col("ss_key")) & F.col("ss_id").eqNullSafe(F.col("ss_rep")))
+    fetched = _probe(rows, "ss_k", members, "leftsemi").join(members.hint("merge"), (F.col("ss_k") == F.col("ss_key")) & F.col("ss_id").eqNullSafe(F.col("ss_rep")))
     whole = fetched.groupBy("ss_key", "ss_family", "parts", "part", "ss_copies").agg(F.first("ss_t").alias("ss_t"))
     blocks = whole.groupBy("ss_family", "part").agg(
         F.first("parts").alias("parts"), F.collect_list(F.struct(F.col("ss_key").alias("key"), F.col("ss_copies").alias("copies"), F.col("ss_t").alias("text"))).alias("members")
@@ -271,9 +288,12 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     twice = rows.groupBy("ss_key", "ss_id").agg(F.count("*").alias("n")).where("n > 1").select("ss_key", F.col("ss_id").alias("ss_rep2"))
     chosen = chosen.join(twice, (chosen["ss_key"] == twice["ss_key"]) & chosen["ss_rep"].eqNullSafe(F.col("ss_rep2")), "left").select(chosen["ss_key"], "ss_rep", twice["ss_key"].isNotNull().alias("ss_twice"))
     chosen = materialise(chosen, "jaccard-chosen")
-    keyed = docs.withColumn("ss_k", text_key(text))
-    kept = keyed.join(chosen, (F.col("ss_k") == F.col("ss_key")) & F.col(id_col).eqNullSafe(F.col("ss_rep")))
+    crowded = classes.where("not ss_empty").groupBy("ss_root").agg(F.sum("ss_copies").alias("n")).where("n > 1").select("ss_root")
+    contested = materialise(classes.join(crowded, "ss_root").select("ss_key"), "jaccard-contested")
+    words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(words).withColumn("ss_k", text_key(text))
+    alone = _probe(keyed, "ss_k", contested, "leftanti").select(*docs.columns)
+    kept = _probe(keyed, "ss_k", contested, "leftsemi").join(chosen, (F.col("ss_k") == F.col("ss_key")) & F.col(id_col).eqNullSafe(F.col("ss_rep")))
     single = kept.where("not ss_twice").select(*docs.columns)
     repeated = kept.where("ss_twice").dropDuplicates(["ss_k"]).select(*docs.columns)
-    empty = docs.where(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return single.unionByName(repeated).unionByName(empty)
+    return alone.unionByName(single).unionByName(repeated).unionByName(docs.where(~words))

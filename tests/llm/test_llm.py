@@ -303,6 +303,16 @@ def test_jaccard_edges(spark):
     assert jaccard.forest_recall(0.8, jaccard.prefix_depth(0.8, 0.999)) >= 0.999
 
 
+@pytest.mark.parametrize("slots", [1, 64, 1 << 26])
+def test_full_key_filter_loses_nothing(spark, monkeypatch, slots):
+    monkeypatch.setattr(jaccard, "SLOTS", slots)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words, "x"]), "a b c d e f", "a b c d e f", "alone in the wide world here", None, " "]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 1), 3: (2, 1), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
+    assert sorted(r["doc_id"] for r in jaccard.one_per_class(docs(spark, texts)).collect()) == [0, 2, 4, 5, 6]
+
+
 def test_blocks_of_a_large_family(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 3)
     base = [f"w{i}" for i in range(80)]
