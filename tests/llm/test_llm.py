@@ -241,6 +241,34 @@ def test_licences(spark):
     assert licenses.corpus_paths(docs(spark, ["x", "y"], [10_000, 10_001])).select("path").collect()[1][0] == "c1/b100/src0/10001.txt"
 
 
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_licences_of_headers_and_whole_files(spark):
+    texts = dict(licenses.FULL_TEXTS)
+    wrapped = "#!/bin/sh\n# A tool for rivers and stones\n#\n# " + GPL_NOTICE.replace("\n", "\n# ") + "\n\necho river\n" + "make stone of the river with the house\n" * 40
+    embedded = "the river runs under the stone\n" * 30 + "\n".join(" * " + x for x in texts["mit"].splitlines()) + "\nint main() { return 0; }\n" * 30
+    files = [(1, "a/x.sh", wrapped), (2, "b/y.c", embedded), (3, "b/z.c", GPL_NOTICE.replace("\n", " ")), (4, "d/n.txt", "a licence to the river and the stone " * 300)]
+    files += [(10 + i, f"{lic}/LICENSE", text) for i, (lic, text) in enumerate(texts.items())]
+    files += [(100 + i, f"e/{i}.txt", f"the house and the stone of river {i} are made of a thing with that") for i in range(60)]
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert (got[1], got[2], got[3], got[4]) == ("gpl-3.0", "mit", "gpl-3.0", None)
+    assert [got[10 + i] for i in range(len(texts))] == list(texts) and not any(got[100 + i] for i in range(60))
+
+
+def test_licence_term_counts(spark):
+    df = spark.createDataFrame([(["b", "a", "b"],), (["x"],)], "t array<string>").select(F.sort_array("t").alias("t")).select(licenses._counts(F.col("t")).alias("c"))
+    assert [[tuple(p) for p in r["c"]] for r in df.collect()] == [[("a", 1), ("b", 2)], [("x", 1)]]
+
+
 # ---------------------------------------------------------------- 9 top-k
 
 
