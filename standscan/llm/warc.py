@@ -11,7 +11,11 @@ Salvage reader: reads an archive from start to end. A member or record that fail
 (gzip data and checksum, version line, header block, length, end mark, payload digest)
 opens a gap; the reader then searches byte by byte for the next gzip member or version
 line that starts a record passing all checks, and goes on there. Gaps are returned as rows
-with their offset, length and first reason.
+with their offset, length and first reason. A gzip member may hold many records; it is
+inflated to a spooled file and read in the same way. All its rows have the member's offset,
+and the first of them has its length, so that lengths add up to the archive's. Of a member
+that is cut short, the records that more data follows are returned before the gap. A member
+whose data or checksum is wrong is a gap as a whole, as its headers cannot be trusted.
 
 Defined results: a null payload is empty. Payloads shorter than ``min_bytes`` are always
 responses. A null id is written as a record without an id number and is never the one
@@ -24,8 +28,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,6 +46,8 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
+SPOOL = 32 << 20
+CUT = "gzip member is cut short"
 STAMP = "2024-01-01T00:00:00Z"
 
 
@@ -139,29 +145,38 @@ class Source:
         return self.data[at - self.at : at - self.at + n]
 
 
-def _inflate(source: Source, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends."""
-    machine, out, pos = zlib.decompressobj(31), io.BytesIO(), at
-    while not machine.eof:
-        piece = source.read(pos, 1 << 16)
-        if not piece:
-            raise Damaged("gzip member is cut short")
-        try:
-            out.write(machine.decompress(piece))
-        except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from None
-        pos += len(piece)
-    return out.getvalue(), pos - len(machine.unused_data)
+def _inflate(source: Source, at: int) -> tuple[Source, int, bool]:
+    """The content of the gzip member at ``at``, where it ends, and whether it is cut short."""
+    machine, out, pos = zlib.decompressobj(31), tempfile.SpooledTemporaryFile(max_size=SPOOL), at
+    try:
+        while not machine.eof:
+            piece = source.read(pos, 1 << 16)
+            pos += len(piece)
+            more = machine.decompress(piece, READ)
+            if not piece and not more:
+                break
+            out.write(more)
+            while machine.unconsumed_tail and not machine.eof:
+                out.write(machine.decompress(machine.unconsumed_tail, READ))
+    except zlib.error as e:
+        out.close()
+        raise Damaged(f"gzip: {e}") from None
+    return Source(out, out.tell()), pos - len(machine.unused_data), not machine.eof
 
 
 def _parse(head_and_rest, total: int) -> tuple[dict[str, str], int, int]:
     """Headers, offset of the block and its length, from ``head_and_rest(at, n)``."""
-    head = head_and_rest(0, 1 << 16)
+    size = 1 << 16
+    head = head_and_rest(0, size)
     if not VERSION.match(head):
         raise Damaged("no version line")
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:
-        raise Damaged("header block has no end")
+    while (stop := head.find(b"\r\n\r\n")) < 0:
+        if size >= total:
+            raise Damaged("header block has no end")
+        if any(b":" not in line for line in head.split(b"\r\n")[1:-1]):
+            raise Damaged("header line without a colon")
+        size *= 2
+        head = head_and_rest(0, size)
     heads: dict[str, str] = {}
     for line in head[:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -195,25 +210,17 @@ def _checked(heads: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes
 
 
 def _record(source: Source, at: int) -> tuple[dict[str, str], bytes, bytes, int]:
-    """``(headers, block, payload, end)`` of the record at ``at``, if it passes all checks."""
-    if source.read(at, 3) == MAGIC:
-        raw, end = _inflate(source, at)
-        heads, start, length = _parse(lambda i, n: raw[i : i + n], len(raw))
-        if start + length + 4 != len(raw):
-            raise Damaged("member holds more than one record")
-        block = raw[start : start + length]
-    else:
-        heads, start, length = _parse(lambda i, n: source.read(at + i, n), source.size - at)
-        block, end = source.read(at + start, length), at + start + length + 4
-    heads, payload = _checked(heads, block)
-    return heads, block, payload, end
-
-
-def _next_start(source: Source, at: int) -> int:
+    """``(headers, block, payload, end)`` of the plain record at ``at``, if it passes all checks."""
+    heads, start, length = _parse(lambda i, n: source.read(at + i, n), source.size - at)
+    heads, payload = _checked(heads, block := source.read(at + start, length))
+    return heads, block, payload, at + start + length + 4
+
+
+def _next_start(source: Source, at: int, start: re.Pattern = START) -> int:
     """The next offset at or after ``at`` that looks like a member or version line."""
     while at < source.size:
         piece = source.read(at, READ)
-        found = START.search(piece)
+        found = start.search(piece)
         if found:
             return at + found.start()
         if at + len(piece) >= source.size:
@@ -222,26 +229,61 @@ def _next_start(source: Source, at: int) -> int:
     return source.size
 
 
-def salvage(handle, size: int) -> Iterator[tuple]:
-    """``(offset, length, reason, headers, block, payload)`` of every record, or gap with a reason."""
-    source, at, gap, reason = Source(handle, size), 0, None, ""
+def _walk(source: Source, packed: bool) -> Iterator[tuple]:
+    """Records and gaps of a source; with ``packed``, also those inside its gzip members."""
+    at, gap, reason, size = 0, None, "", source.size
     while at < size:
         try:
-            heads, block, payload, end = _record(source, at)
+            if packed and source.read(at, 3) == MAGIC:
+                rows, end, cut = _member(source, at)
+            else:
+                heads, block, payload, end = _record(source, at)
+                rows, cut = iter([(None, heads, block, payload)]), False
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
-            at = _next_start(source, at + 1)
+            at = _next_start(source, at + 1, START if packed else VERSION)
             continue
         if gap is not None:
             yield gap, at - gap, reason, None, None, None
             gap = None
-        yield at, end - at, None, heads, block, payload
-        at = end
+        length = 0 if cut else end - at
+        for row in rows:
+            yield at, length, *row
+            length = 0
+        if cut:
+            gap, reason = at, CUT
+            at = _next_start(source, at + 1)
+        else:
+            at = end
     if gap is not None:
         yield gap, size - gap, reason, None, None, None
 
 
+def _member(source: Source, at: int) -> tuple[Iterator[tuple], int, bool]:
+    """``(reason, headers, block, payload)`` of what the member at ``at`` holds, its end, and whether it is cut short."""
+    inner, end, cut = _inflate(source, at)
+    # What runs to the end of a member that is cut short is not known to be whole.
+    items = (i for i in _walk(inner, False) if not (cut and i[0] + i[1] == inner.size))
+    first = next(items, None)
+    if first is None or first[2] and first[1] == inner.size:
+        inner.handle.close()
+        raise Damaged(CUT if cut else first[2] if first else "no version line")
+
+    def rows() -> Iterator[tuple]:
+        with inner.handle:
+            yield first[2:]
+            for item in items:
+                yield item[2:]
+
+    return rows(), end, cut
+
+
+def salvage(handle, size: int) -> Iterator[tuple]:
+    """``(offset, length, reason, headers, block, payload)`` of every record, or gap with a reason."""
+    return _walk(Source(handle, size), True)
+
+
 READ_SCHEMA = "path string, offset bigint, length bigint, gap_reason string, headers map<string,string>, http_length bigint, payload binary"
 
 

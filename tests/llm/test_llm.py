@@ -68,6 +68,33 @@ def test_salvage_of_junk():
     assert list(warc.salvage(io.BytesIO(b""), 0)) == []
 
 
+def test_warc_headers_of_any_length(spark):
+    df = spark.createDataFrame([(1, "\n" * 30_000, "a"), (2, "x" * 3_000_000, "b"), (3, "u", "c")], "page_id long, url string, html string")
+    records = warc.read_archives(warc.write_archives(df))
+    assert sorted(r["page_id"] for r in warc.summary(records).collect()) == [1, 2, 3]
+    raw = warc.record_bytes(1, " " * 30_000, b"a", None, False) + archive(1, packed=False)[0]
+    assert [o[2] for o in warc.salvage(io.BytesIO(raw), len(raw))] == [None, None]
+
+
+def test_salvage_of_members_with_many_records():
+    import gzip
+
+    plain = archive(packed=False)
+    ids = lambda out: [int(re.search(r"page:(\d+)", o[3]["warc-record-id"])[1]) for o in out if o[2] is None]
+    read = lambda raw: list(warc.salvage(io.BytesIO(raw), len(raw)))
+    one = gzip.compress(b"".join(plain))
+    out = read(one)
+    assert ids(out) == list(range(6)) and sum(o[1] for o in out) == len(one) and {o[0] for o in out} == {0}
+    bad = plain[1].replace(b"payload 1", b"PAYLOAD 1", 1)  # its digest fails, the member's checksum holds
+    mixed = gzip.compress(plain[0] + bad + plain[2]) + gzip.compress(plain[3]) + plain[4] + gzip.compress(b"")
+    out = read(mixed)
+    assert ids(out) == [0, 2, 3, 4] and [o[2] for o in out if o[2]] == ["block digest differs", "no version line"] and sum(o[1] for o in out) == len(mixed)
+    random = [warc.record_bytes(i, "u", np.random.default_rng(i).bytes(5000), None, False) for i in range(4)]
+    cut = gzip.compress(b"".join(random))[:-3000]
+    out = read(cut)
+    assert ids(out) == [0, 1, 2] and out[-1][:3] == (0, len(cut), warc.CUT)
+
+
 # ---------------------------------------------------------------- 2 BPE
 
 
