@@ -6,9 +6,10 @@ marginals: the probability of a cell is ``min(1, a[source] * b[language] * c[top
 Every document is then kept with the probability of its cell, by comparing a hash of its id
 with it, so the same documents are drawn again on each run.
 
-Only the aggregated cells reach the driver. Each dimension has at most ``max_categories``
-named categories, those with the most tokens; the rest share one category ``(rest)`` with
-their joint target, and stay in the sample space. That bounds cells and factors.
+Only the aggregated cells reach the driver, all of them: every category is raked by itself.
+A caller may give ``max_categories``; then each dimension has that many named categories,
+those with the most tokens, and the rest share one category ``(rest)`` whose target is the
+sum of theirs.
 
 Defined results: null categories are the category ``(null)``. Texts without tokens take
 the probability of their cell. Null ids are drawn by the hash of the text. An empty table
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 NULL, REST = "(null)", "(rest)"
 DIMENSIONS = ("source", "lang", "topic")
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def _named(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(NULL))
 
 
-def make_plan(weighted: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5, keep_share: float = 0.5, max_categories: tuple[int, int, int] = (1024, 128, 32)) -> Plan:
+def make_plan(weighted: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5, keep_share: float = 0.5, max_categories: tuple[int, int, int] | None = None) -> Plan:
     """Rake a table (source, lang, topic, n_tokens).
 
     ``targets`` gives shares by dimension and category; a dimension without them takes the
@@ -96,8 +98,15 @@ def make_plan(weighted: DataFrame, targets: dict[str, dict[str, float]] | None =
     """
     targets = targets or {}
     cells = weighted.select(*[_named(d).alias(d) for d in DIMENSIONS], "n_tokens").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n"))
-    for d, most in zip(DIMENSIONS, max_categories, strict=True):
-        top = cells.groupBy(d).agg(F.sum("n").alias("ss_n")).orderBy(F.desc("ss_n"), d).limit(most).select(d, F.lit(True).alias("ss_in"))
+    rest = dict.fromkeys(DIMENSIONS, 0.0)
+    for d, most in zip(DIMENSIONS, max_categories or (), strict=False):
+        totals = cells.groupBy(d).agg(F.sum("n").alias("ss_n"))
+        top = totals.orderBy(F.desc("ss_n"), d).limit(most).select(d, F.lit(True).alias("ss_in"))
+        merged = totals.join(F.broadcast(top), d, "left_anti")
+        if targets.get(d):
+            rest[d] = sum(targets[d][r[d]] for r in merged.where(F.col(d).isin(list(targets[d]))).select(d).collect())
+        else:
+            rest[d] = merged.agg(F.sum(F.pow(F.col("ss_n").cast("double"), F.lit(temper)))).first()[0] or 0.0
         cells = cells.join(F.broadcast(top), d, "left").withColumn(d, F.when(F.col("ss_in"), F.col(d)).otherwise(REST)).drop("ss_in")
     rows = cells.groupBy(*DIMENSIONS).agg(F.sum("n").alias("n")).toPandas()
     tokens = rows["n"].to_numpy("f8")
@@ -107,6 +116,8 @@ def make_plan(weighted: DataFrame, targets: dict[str, dict[str, float]] | None =
         have = np.bincount(i, tokens, len(cats))
         given = targets.get(d)
         s = np.array([given.get(c, 0.0) for c in cats]) if given else np.power(have, temper)
+        if rest[d]:
+            s[cats == REST] = rest[d]
         names.append(cats.tolist())
         index.append(i)
         shares.append(s / s.sum() if s.sum() > 0 else s)
@@ -124,7 +135,7 @@ def probability(df: DataFrame, plan: Plan, columns: dict[str, Column], out: str)
         table = spark.createDataFrame(rows, f"ss_c{k} string, ss_f{k} double")
         rest = plan.factors[d].get(REST, 0.0)
         df = df.withColumn(f"ss_k{k}", F.coalesce(columns[d].cast("string"), F.lit(NULL)))
-        df = df.join(F.broadcast(table), F.col(f"ss_k{k}") == F.col(f"ss_c{k}"), "left").withColumn(f"ss_f{k}", F.coalesce(f"ss_f{k}", F.lit(rest)))
+        df = df.join(F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table, F.col(f"ss_k{k}") == F.col(f"ss_c{k}"), "left").withColumn(f"ss_f{k}", F.coalesce(f"ss_f{k}", F.lit(rest)))
     p = F.least(F.lit(1.0), F.col("ss_f0") * F.col("ss_f1") * F.col("ss_f2"))
     return df.withColumn(out, p).drop(*[f"ss_{x}{k}" for x in "ckf" for k in range(len(DIMENSIONS))])
 

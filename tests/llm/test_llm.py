@@ -247,6 +247,18 @@ def test_mix_frames(spark):
     assert mixing.REST in few.factors["source"]
 
 
+def test_mix_of_many_categories(spark):
+    df = spark.range(4000).selectExpr("concat('s', id % 2000) source", "'en' lang", "'t' topic", "cast(10 as bigint) n_tokens")
+    plan = mixing.make_plan(df)
+    chance = [f * plan.factors["lang"]["en"] * plan.factors["topic"]["t"] for f in plan.factors["source"].values()]
+    assert len(chance) == 2000 and np.allclose(chance, 0.5, rtol=1e-3)
+    given = mixing.make_plan(df, {"source": {f"s{i}": 1.0 for i in range(2000)}}, max_categories=(10, 128, 32))
+    rest = given.factors["source"][mixing.REST] * given.factors["lang"]["en"] * given.factors["topic"]["t"]
+    assert abs(rest - 0.5) < 1e-3
+    tempered = mixing.make_plan(df, max_categories=(10, 128, 32))
+    assert abs(tempered.factors["source"][mixing.REST] * tempered.factors["lang"]["en"] * tempered.factors["topic"]["t"] - 0.5) < 1e-3
+
+
 # ---------------------------------------------------------------- 8 licences
 
 
