@@ -74,11 +74,13 @@ def class_weights(labels: DataFrame, label: str = "label", mode: str = "log") ->
     return weighted.crossJoin(weighted.agg(F.avg("w").alias("mean"))).select("label", "n", (F.col("w") / F.col("mean")).alias("weight"))
 
 
-def match_centres(refs: DataFrame, preds: DataFrame, max_distance: float, max_rounds: int = 200) -> DataFrame:
+def match_centres(refs: DataFrame, preds: DataFrame, max_distance: float, rounds_first: int = 8, driver_pairs: int = 1 << 16) -> DataFrame:
     """``(rid, qid, distance)``: greedy one-to-one matching of ``(id, x, y)`` by distance.
 
     Rounds of mutual nearest pairs give the greedy result, as pairs are in a total order of
-    (distance, rid, qid). Candidate pairs come from a bucketed equi-join.
+    (distance, rid, qid). Candidate pairs come from a bucketed equi-join. A chain of equal
+    distances settles one pair a round, so after ``rounds_first`` rounds the driver matches what
+    is left, once that is at most ``driver_pairs`` pairs; rounds go on until then.
     """
     size = max_distance if max_distance > 0 else 1.0
     shift = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
@@ -86,16 +88,23 @@ def match_centres(refs: DataFrame, preds: DataFrame, max_distance: float, max_ro
     q = preds.withColumn("s", F.explode(shift)).select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), (cell("x", size) + F.col("s.a")).alias("i"), (cell("y", size) + F.col("s.b")).alias("j"))
     d = F.sqrt((F.col("rx") - F.col("qx")) ** 2 + (F.col("ry") - F.col("qy")) ** 2)
     pairs = materialise(r.join(q, ["i", "j"]).select("rid", "qid", d.alias("distance")).where(F.col("distance") <= max_distance), "match-pairs")
-    done = None
-    for _ in range(max_rounds):
-        if pairs.isEmpty():
+    spark, order, paths, rounds = pairs.sparkSession, ["distance", "rid", "qid"], [], 0
+    while not pairs.isEmpty():
+        if rounds >= rounds_first and len(left := pairs.limit(driver_pairs + 1).collect()) <= driver_pairs:
+            refs_done, preds_done, won = set(), set(), []
+            for row in sorted(left, key=lambda r: (r["distance"], r["rid"], r["qid"])):
+                if row["rid"] not in refs_done and row["qid"] not in preds_done:
+                    refs_done.add(row["rid"])
+                    preds_done.add(row["qid"])
+                    won.append(tuple(row))
+            paths.append(materialise(spark.createDataFrame(won, pairs.schema), "match-won")._standscan_path)
             break
-        order = ["distance", "rid", "qid"]
         ranked = pairs.withColumn("a", F.row_number().over(W.partitionBy("rid").orderBy(*order))).withColumn("b", F.row_number().over(W.partitionBy("qid").orderBy(*order)))
         won = materialise(ranked.where("a = 1 and b = 1").select("rid", "qid", "distance"), "match-won")
-        done = won if done is None else done.unionByName(won)
+        paths.append(won._standscan_path)
         pairs = materialise(pairs.join(won.select("rid"), "rid", "left_anti").join(won.select("qid"), "qid", "left_anti").select("rid", "qid", "distance"), "match-pairs")
-    return done if done is not None else pairs
+        rounds += 1
+    return spark.read.schema(pairs.schema).parquet(*paths) if paths else pairs
 
 
 def detection_scores(n_refs: int, n_preds: int, n_matched: int) -> dict:

@@ -218,3 +218,10 @@ def test_config_and_parser():
         config.override({}, ["oops"])
     for args in (["run", "-c", "a"], ["predict", "--checkpoint", "a", "--input", "b", "--output", "c"], ["demo"], ["evaluate", "-c", "a", "--checkpoint", "r"]):
         assert cli.build_parser().parse_args(args).command == args[0]
+
+
+def test_matching_of_a_long_chain(spark):
+    n = 260
+    chain = lambda shift: spark.createDataFrame([(i, i + shift, 0.0) for i in range(n)], "id long, x double, y double")
+    got = {(r["rid"], r["qid"]) for r in metrics.match_centres(chain(0.0), chain(0.5), 0.75).collect()}
+    assert got == {(i, i) for i in range(n)}
