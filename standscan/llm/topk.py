@@ -17,8 +17,9 @@ trims before its shuffle.
 Defined results: vectors that are null, empty or hold null or non-finite components, and
 rows with a null id, take no part. Vectors are compared with those of the same length only.
 Rows with the query's own id are not its candidates; repeated ids are separate rows, as
-queries and as candidates. Components beyond +-2**26 after scaling saturate. Ties go to the
-smaller id.
+queries and as candidates. Ties go to the smaller id. Shards and queries whose sums doubles
+may not hold exactly are scored in 64-bit integers, and beyond these in Python's. A scaled
+component or a resulting score that is no 64-bit integer is an error.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from standscan.session import materialise
 
-LIMIT = 1 << 26
+LIMIT = 1 << 26  # blocks with no component beyond it are packed as 32-bit integers
+FAST = 1 << 52  # sums of doubles below it are exact
 SALTS = 16
 RESCORED = 8  # reading stops once so small a share of a shard is left to rescore
 PACKED = "shard string, dims int, n int, ids binary, rows binary"
@@ -42,10 +44,20 @@ PACKED = "shard string, dims int, n int, ids binary, rows binary"
 def _clean(vectors: DataFrame, id_col: str, vec: str, scale: int) -> DataFrame:
     v = F.col(vec)
     fine = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    ints = F.transform(v, lambda x: F.greatest(F.lit(float(-LIMIT)), F.least(F.lit(float(LIMIT)), F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))).cast("int"))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    ints = F.transform(v, lambda x: F.when(F.abs(scaled(x)) < F.lit(2.0**63), F.floor(scaled(x)).cast("bigint")).otherwise(F.raise_error(F.lit("a scaled component is no 64-bit integer")).cast("bigint")))
     return vectors.where(fine).select(F.col(id_col).cast("bigint").alias("k"), ints.alias("v"))
 
 
+def _largest(values: np.ndarray) -> int:
+    return max(int(values.max(initial=0)), -int(values.min(initial=0)))
+
+
+def _unpack(ids: bytes, rows: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(ids) // 8
+    return np.frombuffer(ids, "<i8"), np.frombuffer(rows, f"<i{len(rows) // (n * dims)}").reshape(n, dims)
+
+
 def _packer(rows_per_pack: int):
     """Pack the rows of a partition, by vector length, into binary blocks."""
 
@@ -58,6 +70,8 @@ def _packer(rows_per_pack: int):
             ids = np.concatenate([h[0] for h in held[dims]])
             rows = np.concatenate([h[1] for h in held[dims]])
             held[dims] = []
+            if _largest(rows) <= LIMIT:
+                rows = rows.astype("<i4")
             return pa.RecordBatch.from_pydict(
                 {"shard": [uuid4().hex], "dims": pa.array([dims], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.tobytes()], "rows": [rows.tobytes()]}
             )
@@ -65,7 +79,7 @@ def _packer(rows_per_pack: int):
         for batch in batches:
             ids, lists = batch.column("k").to_numpy(zero_copy_only=False), batch.column("v")
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i8")
             starts = np.concatenate([[0], np.cumsum(sizes)])
             for dims in np.unique(sizes).tolist():
                 mine = np.flatnonzero(sizes == dims)
@@ -85,9 +99,12 @@ class Shard:
     """The impact-ordered segments of up to a few thousand vectors."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = 64) -> None:
-        self.ids, self.rows, self.floats = ids, rows, rows.astype("f8")
+        self.ids, self.rows = ids, rows
         n, dims = rows.shape
-        self.size = int(np.abs(rows).max(initial=0)) * dims
+        self.size = _largest(rows) * dims
+        if self.size >= FAST:  # never searched by segments
+            return
+        self.floats = rows.astype("f8")
         self.low, self.high = rows.min(axis=0).astype("i8"), rows.max(axis=0).astype("i8")
         self.width = (self.high - self.low) // levels + 1
         step = ((rows - self.low) // self.width).astype("i2")
@@ -109,11 +126,11 @@ class Shard:
     def search(self, query: np.ndarray, own_id: int, k: int, floor: int | None, enough: int, rounds: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, scores)`` of this shard's k best rows that score at least ``floor``."""
         q = query.astype("i8")
-        size = np.abs(q)
         free = self.ids != own_id
         possible = np.flatnonzero(free)
-        exact = self.size * int(size.max(initial=0)) < 1 << 52  # then sums of doubles are exact
-        if exact:
+        bound = self.size * _largest(q)
+        if bound < FAST and self.size < FAST:
+            size = np.abs(q)
             up = q[self.dim] >= 0
             impact = size[self.dim] * np.where(up, self.seg_low - self.low[self.dim], self.high[self.dim] - self.seg_high)
             base = int(np.minimum(q * self.low, q * self.high).sum())
@@ -135,11 +152,18 @@ class Shard:
                 if len(possible) <= enough:
                     break
             scores = (self.floats[possible] @ q.astype("f8")).astype("i8")
-        else:  # components too large for doubles: every row is a possible member
+        elif bound < 1 << 63:  # too large for doubles: every row is a possible member
             scores = self.rows[possible].astype("i8") @ q
+        else:
+            scores = self.rows[possible].astype(object) @ q.astype(object)
         ids = self.ids[possible]
         if floor is not None:
             ids, scores = ids[scores >= floor], scores[scores >= floor]
+        if scores.dtype == object:
+            top = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], "i8")
+            if any(not -(1 << 63) <= s < 1 << 63 for s in scores[top]):
+                raise OverflowError("a score is no 64-bit integer")
+            return ids[top], scores[top].astype("i8")
         top = np.lexsort((ids, -scores))[:k]
         return ids[top], scores[top]
 
@@ -168,10 +192,10 @@ def _searcher(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 dims, block = row["dims"], row["block"]
-                shard = Shard(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["rows"], "<i4").reshape(-1, dims))
-                queries = np.frombuffer(row["q_rows"], "<i4").reshape(-1, dims)
+                shard = Shard(*_unpack(row["ids"], row["rows"], dims))
+                q_all, queries = _unpack(row["q_ids"], row["q_rows"], dims)
                 places, q_ids, c_ids, scores = [np.empty(0, "i4")], [np.empty(0, "i8")], [np.empty(0, "i8")], [np.empty(0, "i8")]
-                for place, (q_id, q) in enumerate(zip(np.frombuffer(row["q_ids"], "<i8").tolist(), queries, strict=True)):
+                for place, (q_id, q) in enumerate(zip(q_all.tolist(), queries, strict=True)):
                     seen = best.get((block, place), [])
                     ids, got = shard.search(q, q_id, k, seen[-1] if len(seen) == k else None, max(4 * k, len(shard.ids) // RESCORED))
                     best[block, place] = sorted([*seen, *got.tolist()], reverse=True)[:k]

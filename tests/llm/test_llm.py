@@ -330,6 +330,28 @@ def test_topk_matches_brute_force(spark, huge):
     assert topk.search(topk.build_index(df.limit(0)), df).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e5, 1e6, 1e13])
+def test_topk_of_large_components(spark, size):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (120, 4))
+    x[::7, 2] *= size
+    x[100] = [0.5, 0.25, 1e-3, 1.0]  # a query of small numbers, so that scores are longs
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = topk.search(topk.build_index(df, shard_rows=32), df.where("vec_id = 100"), k=10).collect()
+    ints = [[int(v) for v in np.floor(1024 * r)] for r in x]
+    scores = [sum(a * b for a, b in zip(ints[100], r, strict=True)) for r in ints]
+    want = sorted((i for i in range(120) if i != 100), key=lambda i: (-scores[i], i))[:10]
+    assert [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"])] == [(i, scores[i]) for i in want]
+
+
+def test_topk_beyond_64_bit_sums():
+    rows = np.array([[1 << 62, 1 << 62, 1], [-(1 << 62), 1 << 62, 5], [1, 2, 3]], "i8")
+    ids, scores = topk.Shard(np.arange(3), rows).search(np.array([4, -4, 1], "i8"), 0, 1, None, 1)
+    assert (ids.tolist(), scores.tolist()) == ([2], [-1])
+    with pytest.raises(OverflowError):
+        topk.Shard(np.arange(3), rows).search(np.array([4, 4, 1], "i8"), 9, 1, None, 1)
+
+
 # ---------------------------------------------------------------- 10 Jaccard join
 
 
