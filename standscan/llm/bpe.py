@@ -1,13 +1,16 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and its streaming decoder.
 
 The transducer reads bytes and emits token ids. Its nondeterministic form walks a trie of
-the vocabulary; at a token's end it may start the next token if the pair of neighbours is
-one that the merges would leave apart. A sequence of tokens is the merges' result exactly
-when each neighbouring pair is such a pair, so at most one walk ends at any byte. The
-deterministic form tracks the set of live walks. Its states and arcs are made when first
-met and kept; a token is emitted once all live walks agree on it, at the latest after a
-lookahead bounded by the longest token. When ``max_states`` is reached, the memo starts
-afresh, so memory is bounded whatever the text.
+the vocabulary, beginning a walk at every byte; where a walk meets a token's end, it may
+emit the token if the one before it is such that the merges would leave the pair apart. A
+sequence of tokens is the merges' result exactly when each neighbouring pair is such a pair,
+so exactly one token of the right sequence ends at each byte of a prefix. The deterministic
+form tracks the set of live walks; its states and arcs are made when first met and kept. An
+arc carries the tokens that end there, longest first, and a register holds the token that
+ended at each recent byte; memoised pair tests pick the right one. States of live walks are
+suffixes of each other, so there are no more of them than trie nodes. Tokens are emitted
+once all live walks agree on them, at the latest after a lookahead of ``chunk`` bytes and the
+longest token. All memos are bounded, and all are dropped when the task ends.
 
 Defined results: a null or empty text has no ids. Texts of any length are read whole.
 """
@@ -15,11 +18,9 @@ Defined results: a null or empty text has no ids. Texts of any length are read w
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -37,41 +38,38 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Bytes in, token ids out. One instance per task; not shared between threads."""
+    """Bytes in, token ids out. One instance per task; not shared between threads.
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000) -> None:
+    A state is a dict of its arcs, byte -> (next state, ((token, length), ...) that may end
+    here), with the trie nodes of its live walks under the key -1, the longest walk first.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], max_pairs: int = 250_000) -> None:
         self.ranks = ranks
-        self.max_states = max_states
+        self.max_pairs = max_pairs
         self.tokens: dict[int, bytes] = {i: t for t, i in ranks.items()}
+        self.sizes = {i: len(t) for t, i in ranks.items()}
         self.kids: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.depth: list[int] = [0]
+        leaf: dict[int, int] = {}  # shared by the nodes without arcs
         for token, rank in ranks.items():
             node = 0
             for b in token:
                 nxt = self.kids[node].get(b)
                 if nxt is None:
+                    if self.kids[node] is leaf:
+                        self.kids[node] = {}
                     nxt = self.kids[node][b] = len(self.kids)
-                    self.kids.append({})
+                    self.kids.append(leaf)
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.ends[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.spines: dict[int, tuple[list, list] | None] = {}
-        self._restart()
-
-    def _restart(self) -> None:
-        """Forget all states; each is (arcs, live walks, final output)."""
-        self.made: dict[tuple, tuple] = {}
-        self.start = self._state(((0, -1, ()),))
-
-    def _state(self, walks: tuple) -> tuple:
-        state = self.made.get(walks)
-        if state is None:
-            if len(self.made) > 2 * self.max_states:  # one very long piece
-                self._restart()
-            final = next((out for node, _, out in walks if node == 0), None)
-            state = self.made[walks] = ({}, walks, final)
-        return state
+        self.start: dict = {-1: (0,)}
+        self.made: dict[tuple[int, ...], dict] = {(0,): self.start}
 
     def merges(self, piece: bytes) -> list[int]:
         """The defining merge loop, used on the two tokens of a pair."""
@@ -112,9 +110,10 @@ class Transducer:
         one exist together while the merge of the two is the next in rank. Of equal ranks
         the leftmost merge goes first.
         """
-        found = self.pairs.get((left, right))
+        key = left + 1 << 32 | right
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 8 * self.max_states:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             a, b = self._edges(left) if left >= 0 else ((), ()), self._edges(right)
             if a is None or b is None:
@@ -130,52 +129,64 @@ class Transducer:
                             rank = max(rank, x_from, y_from)
                             if rank < x_to and rank <= y_to:
                                 found = False
-            self.pairs[left, right] = found
+            self.pairs[key] = found
         return found
 
-    def _step(self, state: tuple, byte: int) -> tuple:
-        kids, ends = self.kids, self.ends
-        walks = []
-        ended = None
-        for node, prev, out in state[1]:
-            nxt = kids[node].get(byte)
-            if nxt is None:
-                continue
-            if kids[nxt]:
-                walks.append((nxt, prev, out))
-            if ended is None:
-                token = ends[nxt]
-                if token >= 0 and self.apart(prev, token):
-                    ended = (0, token, (*out, token))
-        if ended is None:
-            raise ValueError("the vocabulary does not cover every byte")
-        walks.append(ended)
-        first, shared = walks[0][2], 0
-        for shared, token in enumerate(first):  # noqa: B007
-            if any(len(w[2]) <= shared or w[2][shared] != token for w in walks):
-                break
-        else:
-            shared = len(first)
-        if shared:
-            walks = [(n, p, o[shared:]) for n, p, o in walks]
-        state[0][byte] = arc = (self._state(tuple(walks)), first[:shared])
+    def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
+        """Make the arc of ``state`` for ``byte``."""
+        walks, ended = [], []
+        for node in state[-1]:
+            at = self.kids[node].get(byte)
+            if at is not None:
+                if self.kids[at]:
+                    walks.append(at)
+                if self.ends[at] >= 0:
+                    ended.append((self.ends[at], self.depth[at]))
+        key = (*walks, 0)
+        if key not in self.made:
+            self.made[key] = {-1: key}
+        state[byte] = arc = (self.made[key], tuple(ended))
         return arc
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """The tokens up to place ``at``, from the token that ends at each place."""
+        sizes, ids = self.sizes, []
+        while at:
+            ids.append(token := last[at])
+            at -= sizes[token]
+        ids.reverse()
+        return ids
+
+    def _settled(self, state: dict, last: list[int]) -> int:
+        """The latest place where a token ends in every live walk."""
+        places = {len(last) - 1 - self.depth[node] for node in state[-1]}
+        while len(places) > 1:
+            places.remove(far := max(places))
+            places.add(far - self.sizes[last[far]])
+        return places.pop()
+
+    def encode_piece(self, piece: bytes, chunk: int = 1024) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, ids = self.start, []
-        for b in piece:
-            arcs = state[0]
-            state, out = arcs[b] if b in arcs else self._step(state, b)
-            if out:
-                ids += out
-        if len(self.made) > self.max_states:
-            self._restart()
-        if state[2]:
-            ids += state[2]
-        return ids
+        state, known, ids, last = self.start, self.pairs.get, [], [-1]
+        for at in range(0, len(piece), chunk):
+            for b in piece[at : at + chunk]:
+                state, ended = state.get(b) or self._step(state, b)
+                place = len(last)
+                for token, size in ended:
+                    before = last[place - size]
+                    fits = known(before + 1 << 32 | token)
+                    if fits or fits is None and self.apart(before, token):
+                        last.append(token)
+                        break
+                else:
+                    raise ValueError("the vocabulary does not cover every byte")
+            if at + chunk < len(piece):
+                cut = self._settled(state, last)
+                ids += self._back(last, cut)
+                del last[:cut]
+        return ids + self._back(last, len(last) - 1)
 
 
 NARROW = 0x250  # below it, stdlib patterns with classes written out are twice as fast
@@ -229,8 +240,11 @@ class Encoder:
         new, out = self._new, []
         pieces = self.split_any(text) if self.wide(text) else self.split_narrow(text)
         for at in range(0, len(pieces), 4096):
-            get = self.known.get
-            out += [get(p) or new(p) for p in pieces[at : at + 4096]]
+            part = pieces[at : at + 4096]
+            ids = list(map(self.known.get, part))
+            if None in ids:
+                ids = [new(p) if i is None else i for i, p in zip(ids, part, strict=True)]
+            out += ids
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
@@ -241,14 +255,24 @@ class StreamDecoder:
     """Ids to text, chunk by chunk, by a state machine over UTF-8.
 
     The state is the incomplete character at the end of what was read: at most three
-    bytes. Arcs ``(state, token) -> (text, state)`` are made when first met. A byte that
-    cannot continue gives U+FFFD, as does an incomplete character at the end.
+    bytes. Arcs ``(state, token) -> (text, state)`` are made when first met. A token of whole
+    characters leads from the empty state back to it, so a run of such tokens is joined at
+    once; the machine steps through the others. A byte that cannot continue gives U+FFFD, as
+    does an incomplete character at the end.
     """
 
     def __init__(self, tokens: dict[int, bytes]) -> None:
         self.tokens = tokens
         self.arcs: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
         self.state = b""
+        self.texts = [""] * (max(tokens, default=-1) + 1)
+        self.whole = np.zeros(len(self.texts), bool)
+        for token, raw in tokens.items():
+            try:
+                self.texts[token] = raw.decode("utf-8")
+                self.whole[token] = True
+            except UnicodeDecodeError:
+                pass
 
     @staticmethod
     def _need(lead: int) -> int:
@@ -282,24 +306,33 @@ class StreamDecoder:
         return arc
 
     def feed(self, ids: Iterable[int]) -> str:
-        state, out, plain = self.state, [], self.arcs[b""]
-        for i in ids:
-            arc = (self.arcs.get(state, {}) if state else plain).get(i) or self._arc(state, i)
-            out.append(arc[0])
-            state = arc[1]
-        self.state = state
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), dtype="i8")
+        broken = np.flatnonzero(~self.whole[ids])
+        if not self.state and not len(broken):
+            return "".join(map(self.texts.__getitem__, ids.tolist()))
+        ids, out, at = ids.tolist(), [], 0
+        for stop in [*broken.tolist(), len(ids)]:
+            while self.state and at < stop:
+                out.append(self._move(ids[at]))
+                at += 1
+            out += map(self.texts.__getitem__, ids[at:stop])
+            if stop < len(ids):
+                out.append(self._move(ids[stop]))
+            at = stop + 1
         return "".join(out)
 
+    def _move(self, token: int) -> str:
+        text, self.state = self.arcs.get(self.state, {}).get(token) or self._arc(self.state, token)
+        return text
+
     def finish(self) -> str:
         left, self.state = self.state, b""
         return "�" if left else ""
 
 
-@lru_cache(maxsize=4)
 def _tools(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
-    gc.set_threshold(50_000, 20, 100)  # the memo is many small tuples without cycles
-    ranks = read_ranks(path)
-    encoder = Encoder(ranks, pattern)
+    """Made by every task for itself, so that a reused worker keeps no memory of them."""
+    encoder = Encoder(read_ranks(path), pattern)
     return encoder, StreamDecoder(encoder.machine.tokens)
 
 
@@ -326,7 +359,7 @@ def decode(coded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
         for batch in slices(batches):
             texts = []
             for row in batch.column("i"):
-                values = [] if row.as_py() is None else row.values.to_numpy(zero_copy_only=False).tolist()
+                values = [] if row.as_py() is None else row.values.to_numpy(zero_copy_only=False)
                 texts.append("".join([decoder.feed(values[k : k + chunk]) for k in range(0, len(values), chunk)]) + decoder.finish())
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(texts, pa.string())], names=["k", "text"])
 
@@ -343,7 +376,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
             counts, coded, decoded = [], [], []
             for t in batch.column("t").to_pylist():
                 raw = encoder.encode_bytes(t)
-                ids = np.frombuffer(raw, dtype="<u4").tolist()
+                ids = np.frombuffer(raw, dtype="<u4")
                 back = decoder.feed(ids) + decoder.finish()
                 counts.append(len(ids))
                 coded.append(hashlib.sha256(raw).hexdigest())

@@ -120,9 +120,26 @@ def test_bpe_equals_library(coder, reference, text):
 
 def test_bpe_long_pieces_and_small_memo(coder, reference):
     machine = bpe.Encoder(coder.machine.ranks, P.PATTERN, max_pieces=3)
-    machine.machine.max_states = 5
+    machine.machine.max_pairs = 5
     for text in ("a" * 5000, "supercalifragilistic" * 90, " " * 700 + "x", "don't we'll 日本語 😀" * 9):
         assert machine.encode(text) == reference.encode_ordinary(text)
+        raw = text.encode()
+        want = machine.machine.encode_piece(raw)
+        for chunk in (1, 2, 7, 40):  # the lookahead after which tokens are emitted
+            assert machine.machine.encode_piece(raw, chunk) == want
+
+
+def test_round_trip_equals_library(spark, reference):
+    import hashlib
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] if Path("/root/testdata/sf0.001").exists() else []
+    texts += [None, "", "a\x1cb  \n\n c", "é" * 30_000, "日本語 😀👩‍👩‍👧 don't", "x y", "x y"]
+    got = {r["doc_id"]: r for r in bpe.round_trip(docs(spark, texts), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(t or "" for t in texts):
+        ids = reference.encode_ordinary(text)
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want
 
 
 @settings(max_examples=100, deadline=None)
