@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from standscan.llm.batches import slices
-from standscan.session import materialise, new_path
+from standscan.session import discard, materialise, new_path
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -125,7 +125,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     folder = new_path(spark, "warc")
     if "://" not in folder:
         folder = "file://" + folder
-    return materialise(typed.mapInArrow(_writer(folder, archive_bytes, level), "path string, records bigint, bytes bigint"), "warc-manifest")
+    manifest = materialise(typed.mapInArrow(_writer(folder, archive_bytes, level), "path string, records bigint, bytes bigint"), "warc-manifest")
+    discard(tops)
+    return manifest
 
 
 # ---------------------------------------------------------------- reading
@@ -307,13 +309,19 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def read_archives(paths: DataFrame, path: str = "path") -> DataFrame:
+def read_archives(paths: DataFrame, path: str = "path", size: str = "bytes", task_bytes: int = 64 << 20) -> DataFrame:
     """Every record and every quarantined gap of the archives named in ``paths``.
 
-    One task streams one archive at a time; ``gap_reason`` is null for records.
+    Archives are dealt out evenly to as many tasks as ``task_bytes`` asks for, by the sizes in
+    the column ``size`` if there is one, but to no fewer than the cluster's cores; one task
+    streams one archive at a time. ``gap_reason`` is null for records.
     """
-    names = paths.select(F.col(path).alias("path")).where("path is not null").distinct()
-    return names.mapInArrow(_reader, READ_SCHEMA)
+    sizes = F.col(size).cast("bigint") if size in paths.columns else F.lit(task_bytes)
+    names = paths.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("path")).agg(F.max(sizes).alias("bytes"))
+    names = materialise(names, "warc-paths")
+    total = names.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
+    tasks = max(2 * paths.sparkSession.sparkContext.defaultParallelism, -(-(total["b"] or 0) // task_bytes))
+    return names.select("path").repartition(max(1, min(total["n"], tasks))).mapInArrow(_reader, READ_SCHEMA)
 
 
 def list_archives(spark, glob: str) -> DataFrame:
@@ -322,13 +330,17 @@ def list_archives(spark, glob: str) -> DataFrame:
 
 
 def summary(records: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Per record: id, size and digest of the full payload, type, and the id it refers to."""
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
+    """Per record: id, size and digest of the full payload, type, and the id it refers to.
+
+    The size of a response is that of its payload; a revisit has none, so its HTTP head tells.
+    """
     h = F.col("headers")
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("bigint"))
+    own = F.octet_length("payload").cast("bigint")
     return records.where("gap_reason is null").select(
         as_id(h["warc-record-id"]).alias(id_col),
-        F.coalesce("http_length", F.octet_length("payload").cast("bigint")).alias("payload_bytes"),
+        F.when(h["warc-type"] == "revisit", F.coalesce("http_length", own)).otherwise(own).alias("payload_bytes"),
         F.substring_index(h["warc-payload-digest"], ":", -1).alias("payload_digest"),
         h["warc-type"].alias("record_type"),
         as_id(h["warc-refers-to"]).alias("refers_to"),

@@ -76,6 +76,20 @@ def test_warc_headers_of_any_length(spark):
     assert [o[2] for o in warc.salvage(io.BytesIO(raw), len(raw))] == [None, None]
 
 
+def test_archives_are_dealt_to_many_tasks(spark, tmp_path):
+    members = archive()
+    for i in range(9):  # in each, one record is damaged and one has a wrong HTTP length
+        odd = warc.record_bytes(100, "u", b"payload", None, False).replace(b"Content-Length: 7", b"Content-Length: 9")
+        odd = odd.replace(re.search(rb"WARC-Block-Digest: [^\r]*\r\n", odd)[0], b"")
+        (tmp_path / f"{i}.warc").write_bytes(members[0] + members[1][:40] + b"junk" + members[2] + odd)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{i}.warc", 1 << 40, 0) for i in range(9)] * 2 + [(None, 1, 0)], "path string, bytes bigint, offset int")
+    records = warc.read_archives(paths)
+    assert records.rdd.getNumPartitions() == 9
+    assert {(r["n"], r["g"]) for r in records.groupBy("path").agg(F.count("*").alias("n"), F.count("gap_reason").alias("g")).collect()} == {(4, 1)}
+    assert sum(r["length"] for r in records.collect()) == sum(f.stat().st_size for f in tmp_path.iterdir())
+    assert {r["payload_bytes"] for r in warc.summary(records).where("page_id = 100").collect()} == {7}
+
+
 def test_salvage_of_members_with_many_records():
     import gzip
 
