@@ -1,12 +1,16 @@
 """N-gram Jaccard self-join of texts by a MinHash LSH forest with exact verification.
 
-1. Texts are grouped to classes of equal texts by digest. Each class has a forest
-   signature: ``trees`` sequences of ``depth`` min-hashes of its word shingles.
-2. The trees are read as sorted prefix tries. Matching starts at the full depth and is
-   shortened until the chance to meet a pair at the threshold, ``1 - (1 - s**d) ** trees``,
-   reaches ``recall``; classes that share a prefix of that length in some tree are
-   candidates. Every node of a trie ties its classes to the smallest one, so a node of m
-   classes gives m - 1 candidate edges, and the pairs of a large node are never listed.
+1. Texts are grouped to classes of equal texts by SHA-256. Each class has a forest
+   signature: ``trees`` sequences of ``depth`` min-hashes of its word shingles, a byte each,
+   so that one 64-bit integer is a path from a tree's root to its leaf.
+2. The paths of every tree are sorted, which makes the tree a prefix trie: the texts below a
+   trie node are neighbours in the order, and the longest common prefix of neighbours tells
+   where nodes begin. The order is a range partitioning by tree, path and text, so a node of
+   any size is spread over tasks. The matched prefix starts at the full depth and is shortened
+   until the chance to meet a pair at the threshold, ``1 - (1 - s**d) ** trees``, reaches
+   ``recall``. Stopping earlier for what a text has met so far would lose pairs at the
+   threshold, so the target alone decides. Each text is tied to the first one below its node,
+   so a node of m classes gives m - 1 candidate edges, and its pairs are never listed.
 3. Connected candidates form families. A family is cut into blocks bounded in texts and
    bytes; each pair of blocks is one task group, which verifies its pairs exactly on whole
    shingle sets and returns only link counts and a spanning forest of the links.
@@ -28,12 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from standscan.llm.batches import slices
 from standscan.operators.components import connected_components
-from standscan.session import discard, materialise
+from standscan.session import materialise
 
 find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 TREES, DEPTH, WIDTH, THRESHOLD, RECALL = 20, 8, 5, 0.8, 0.999
@@ -54,7 +60,7 @@ def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int
 
 
 class Signer:
-    """Forest signatures: per tree, the low 16 bits of ``DEPTH`` min-hashes."""
+    """Forest signatures: per tree, the low bytes of ``DEPTH`` min-hashes, the first on top."""
 
     def __init__(self, width: int, max_words: int = 100_000) -> None:
         rng = np.random.default_rng(2024)
@@ -71,7 +77,7 @@ class Signer:
             self.known[word] = value
         return value
 
-    def sign(self, text: str | None) -> bytes | None:
+    def sign(self, text: str | None) -> list[int] | None:
         words = find_words(text or "")
         if not words:
             return None
@@ -88,7 +94,7 @@ class Signer:
             low = np.full((TREES * DEPTH, 1), 0xFFFFFFFF, "u4")
             for at in range(0, len(x), 2048):
                 low = np.minimum(low, (self.a * x[at : at + 2048] + self.b).min(axis=1, keepdims=True))
-        return low[:, 0].astype("<u2").tobytes()
+        return low[:, 0].astype("u1").view(">i8").tolist()
 
 
 def sign_rows(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
@@ -98,15 +104,15 @@ def sign_rows(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
         signer = Signer(width)
         for batch in slices(batches):
             sigs = [signer.sign(t) for t in batch.column("ss_t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("ss_id"), batch.column("ss_key"), pa.array(sigs, pa.binary()), batch.column("ss_bytes")], names=["ss_id", "ss_key", "ss_sig", "ss_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("ss_id"), batch.column("ss_key"), pa.array(sigs, pa.list_(pa.int64())), batch.column("ss_bytes")], names=["ss_id", "ss_key", "ss_sig", "ss_bytes"])
 
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(F.col(id_col).alias("ss_id"), text_key(text).alias("ss_key"), F.octet_length(t).cast("bigint").alias("ss_bytes"), t.alias("ss_t"))
-    return df.mapInArrow(run, f"ss_id {dict(df.dtypes)['ss_id']}, ss_key binary, ss_sig binary, ss_bytes bigint")
+    return df.mapInArrow(run, f"ss_id {dict(df.dtypes)['ss_id']}, ss_key binary, ss_sig array<bigint>, ss_bytes bigint")
 
 
 def text_key(text: str):
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
 def _probe(rows: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
@@ -201,18 +207,64 @@ def _verifier(width: int, threshold: float):
     return run
 
 
+RUNS = pa.schema([("node", pa.int64()), ("head", pa.int64()), ("part", pa.int32()), ("side", pa.int32()), ("tree", pa.int32()), ("path", pa.int64())])
+
+
+def _walk_tries(depth: int):
+    """Ties of sorted ``(tree, path, node)`` rows to the first row below their trie node.
+
+    Besides, the first and the last row of the partition, without a head, for the ties across
+    partitions.
+    """
+
+    def rows(node, head, part, side, tree, path) -> pa.RecordBatch:
+        n = len(node)
+        fixed = lambda v: pa.array(np.full(n, v, "i4"))
+        heads = pa.nulls(n, pa.int64()) if head is None else pa.array(head)
+        return pa.RecordBatch.from_arrays([pa.array(node), heads, fixed(part), fixed(side), pa.array(tree), pa.array(path)], schema=RUNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, head = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            tree, path, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "path", "node"))
+            if not len(node):
+                continue
+            if last is None:
+                yield rows(node[:1], None, part, 0, tree[:1], path[:1])
+            before_tree, before_path = np.append(last[0] if last else -1, tree[:-1]), np.append(last[1] if last else 0, path[:-1])
+            below = (tree == before_tree) & ((path ^ before_path).view("u8") >> np.uint64(64 - 8 * depth) == 0)
+            begins = np.where(below, -1, np.arange(len(node)))
+            begins = np.maximum.accumulate(begins)
+            heads = np.where(begins >= 0, node[begins], head)
+            tied = np.flatnonzero(heads != node)
+            yield rows(node[tied], heads[tied], part, 2, tree[tied], path[tied])
+            last, head = (tree[-1], path[-1], node[-1]), heads[-1]
+        if last is not None:
+            yield rows(np.array([last[2]]), None, part, 1, np.array([last[0]], "i4"), np.array([last[1]]))
+
+    return run
+
+
+def _trie_edges(classes: DataFrame, depth: int) -> DataFrame:
+    """``(node, head)``: candidate edges of all trees, without texts alone below their node."""
+    paths = classes.where("ss_sig is not null").select(F.xxhash64("ss_key").alias("node"), F.posexplode("ss_sig").alias("tree", "path"))
+    order = ("tree", "path", "node")
+    kind = "node bigint, head bigint, part int, side int, tree int, path bigint"
+    found = materialise(paths.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk_tries(depth), kind), "jaccard-runs")
+    # Two rows of each partition, in the order of the partitions: a table as long as their number.
+    by_part = W.orderBy("part", "side")
+    ends = found.where("head is null").select("*", *[F.lag(c).over(by_part).alias(f"b_{c}") for c in ("node", "tree", "path")])
+    same = (F.col("tree") == F.col("b_tree")) & (F.shiftrightunsigned(F.col("path").bitwiseXOR(F.col("b_path")), 64 - 8 * depth) == 0)
+    across = ends.where((F.col("side") == 0) & same & (F.col("node") != F.col("b_node"))).select("node", F.col("b_node").alias("head"))
+    return found.where("head is not null").select("node", "head").unionByName(across)
+
+
 def _families(classes: DataFrame, depth: int) -> DataFrame:
     """``(ss_key, ss_family)`` of the classes that share a trie node with another one."""
     node = F.xxhash64("ss_key")
-    prefix = lambda t: F.xxhash64(t, F.substring(F.col("ss_sig"), t * (2 * DEPTH) + 1, F.lit(2 * depth)))
-    tries = classes.where("ss_sig is not null").select(node.alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), prefix)).alias("prefix"))
-    shared = materialise(tries.groupBy("prefix").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("prefix", "first"), "jaccard-nodes")
-    edges = tries.join(shared, "prefix").where("node <> first").select("node", "first")
-    families = connected_components(edges, "node", "first")
+    families = connected_components(_trie_edges(classes, depth), "node", "head")
     out = classes.select("ss_key", node.alias("node"), "ss_rep", "ss_copies", "ss_bytes").join(families, "node").select("ss_key", "ss_rep", "ss_copies", "ss_bytes", F.col("component").alias("ss_family"))
-    out = materialise(out, "jaccard-families")
-    discard(shared)
-    return out
+    return materialise(out, "jaccard-families")
 
 
 def _verified(docs: DataFrame, families: DataFrame, id_col: str, text: str, width: int, threshold: float) -> DataFrame:
@@ -246,7 +298,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     """
     signed = materialise(sign_rows(docs, id_col, text, width), "jaccard-rows")
     classes = materialise(
-        signed.groupBy("ss_key").agg(F.min("ss_id").alias("ss_rep"), F.count("*").alias("ss_copies"), F.max("ss_bytes").alias("ss_bytes"), F.max("ss_sig").alias("ss_sig")), "jaccard-classes"
+        signed.groupBy("ss_key").agg(F.min("ss_id").alias("ss_rep"), F.count("*").alias("ss_copies"), F.max("ss_bytes").alias("ss_bytes"), F.first("ss_sig").alias("ss_sig")), "jaccard-classes"
     )
     families = _families(classes, prefix_depth(threshold, recall))
     found = materialise(_verified(docs, families, id_col, text, width, threshold), "jaccard-links")

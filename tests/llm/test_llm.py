@@ -415,6 +415,42 @@ def test_jaccard_matches_brute_force(spark):
     assert sorted(kept) == sorted({root[i] for i in range(n)})
 
 
+def test_tries_tie_all_texts_below_a_node(spark):
+    """Over many small partitions the ties give the groups of equal prefixes, whatever their sizes."""
+    rng = np.random.default_rng(5)
+    paths = np.concatenate([rng.integers(-(1 << 62), 1 << 62, 300), (7 << 40) + rng.integers(0, 1 << 30, 500), np.full(400, -5)])
+    rows = [(bytes([i // 256, i % 256]), [int(p), int(q)]) for i, (p, q) in enumerate(zip(paths, rng.permutation(paths), strict=True))]
+    df = spark.createDataFrame(rows, "ss_key binary, ss_sig array<bigint>").union(spark.createDataFrame([(b"none", None)], "ss_key binary, ss_sig array<bigint>"))
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [tuple(r) for r in jaccard._trie_edges(df, 3).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    nodes = [r["n"] for r in df.select(F.xxhash64("ss_key").alias("n")).collect()][: len(rows)]
+
+    def classes(pairs):
+        root = {n: n for n in nodes}
+
+        def find(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        groups = {}
+        for n in nodes:
+            groups.setdefault(find(n), set()).add(n)
+        return sorted(map(sorted, groups.values()))
+
+    first = {}
+    want = [(n, first.setdefault((tree, sig[tree] >> 40), n)) for tree in range(2) for n, (_, sig) in zip(nodes, rows, strict=True)]
+    assert classes(edges) == classes(want)
+
+
 def test_jaccard_edges(spark):
     same = docs(spark, ["a b c d e f"] * 4, [7, 7, None, 9])
     assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(same).collect()} == {(7, 7, 3), (None, 7, 3), (9, 7, 3)}
