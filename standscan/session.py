@@ -57,6 +57,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_path(df: DataFrame) -> str:
+    """The full address of the table that :func:`materialise` wrote for ``df``, for tasks that read it themselves."""
+    path = df._standscan_path
+    return path if "://" in path else re.sub(r"^(file:)?/+", "file:///", path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table that :func:`materialise` wrote for ``df``, once nothing reads it."""
     path = getattr(df, "_standscan_path", None)
