@@ -345,20 +345,22 @@ def test_licence_term_counts(spark):
 @pytest.mark.parametrize("huge", [False, True])
 def test_topk_matches_brute_force(spark, huge):
     rng = np.random.default_rng(3)
-    x = rng.normal(0, 1, (400, 8)).round(1) * (1e4 if huge else 1)
-    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    x = (rng.normal(0, 1, (400, 8)).round(1) * (1e4 if huge else 1)).astype("f4").astype("f8")
+    vectors = [(i, r) for i, r in enumerate(x)] + [(100, x[100]), (200, -x[200]), (200, x[7] * 3)]  # repeated ids, with equal and other vectors
+    rows = [(i, r.tolist(), 0) for i, r in vectors]
     rows += [(500, None, 0), (600, [1.0, None], 0), (700, [float("nan")] * 8, 0), (None, [1.0] * 8, 0), (800, [], 0), (900, [1.0] * 3, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = {}
-    for r in topk.search(topk.build_index(df, shard_rows=64), df.where("vec_id % 100 = 0"), k=10, block_rows=2).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    ints = np.clip(np.floor(1024 * x.astype("f4").astype("f8")), -topk.LIMIT, topk.LIMIT).astype("i8")
-    for q in (0, 100, 200, 300):
-        scores = ints @ ints[q]
-        want = sorted((i for i in range(400) if i != q), key=lambda i: (-scores[i], i))[:10]
-        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, scores[i]) for i in want]
-    assert set(got) == {0, 100, 200, 300}
+    got = sorted(tuple(r) for r in topk.search(topk.build_index(df, shard_rows=64), df.where("vec_id % 100 = 0"), k=10, block_rows=2).collect())
+    ids, ints = [i for i, _ in vectors], np.floor(1024 * np.array([r for _, r in vectors])).astype("i8")
+    want = []
+    for n, q in enumerate(ids):
+        if q % 100 == 0:
+            scores = ints @ ints[n]
+            order = sorted((m for m in range(len(ids)) if m != n), key=lambda m: (-scores[m], ids[m]))[:10]
+            want += [(q, rank, ids[m], int(scores[m])) for rank, m in enumerate(order, 1)]
+    assert got == sorted(want)
     assert topk.search(topk.build_index(df.limit(0)), df).count() == 0
+    assert topk.search(topk.build_index(df), df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("size", [1e5, 1e6, 1e13])
@@ -368,19 +370,28 @@ def test_topk_of_large_components(spark, size):
     x[::7, 2] *= size
     x[100] = [0.5, 0.25, 1e-3, 1.0]  # a query of small numbers, so that scores are longs
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    out = topk.search(topk.build_index(df, shard_rows=32), df.where("vec_id = 100"), k=10).collect()
+    index = topk.build_index(df, shard_rows=32)
+    out = topk.search(index, df.where("vec_id = 100"), k=10).collect()
     ints = [[int(v) for v in np.floor(1024 * r)] for r in x]
     scores = [sum(a * b for a, b in zip(ints[100], r, strict=True)) for r in ints]
     want = sorted((i for i in range(120) if i != 100), key=lambda i: (-scores[i], i))[:10]
     assert [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"])] == [(i, scores[i]) for i in want]
 
 
+def test_topk_of_a_query_whose_own_score_is_no_long(spark):
+    df = spark.createDataFrame([(1, [1e13, 0.0]), (2, [0.0, 1.0]), (3, [1e-3, 1.0])], "vec_id long, embedding array<double>")
+    out = topk.search(topk.build_index(df), df.where("vec_id = 1")).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"])] == [(1, 3, 10**13 * 1024), (2, 2, 0)]
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        topk.search(topk.build_index(df.union(df.where("vec_id = 1"))), df.where("vec_id = 1")).collect()
+
+
 def test_topk_beyond_64_bit_sums():
     rows = np.array([[1 << 62, 1 << 62, 1], [-(1 << 62), 1 << 62, 5], [1, 2, 3]], "i8")
-    ids, scores = topk.Shard(np.arange(3), rows).search(np.array([4, -4, 1], "i8"), 0, 1, None, 1)
-    assert (ids.tolist(), scores.tolist()) == ([2], [-1])
+    ids, scores = topk.Shard(np.arange(3), rows).search(np.array([4, -4, 1], "i8"), 1, None, 1)
+    assert (ids.tolist(), scores.tolist()) == ([0], [1])
     with pytest.raises(OverflowError):
-        topk.Shard(np.arange(3), rows).search(np.array([4, 4, 1], "i8"), 9, 1, None, 1)
+        topk.Shard(np.arange(3), rows).search(np.array([4, 4, 1], "i8"), 1, None, 1)
 
 
 # ---------------------------------------------------------------- 10 Jaccard join
