@@ -7,8 +7,9 @@ is chosen. The margin between the best two, as a share of the best, is the evide
 ``rejected`` marks margins below ``min_margin``.
 
 The fit reads about ``rows_per_lang`` labelled rows of each language, at most twice that
-in all and at most ``row_chars`` of each, and fills at most ``dict_bytes`` per language and
-``max_total_bytes`` in all, which bounds what the driver holds and broadcasts.
+in all. Of a long text it takes ``row_pieces`` pieces of ``PIECE`` characters, chosen by a hash
+from the whole text. It fills at most ``dict_bytes`` per language and ``max_total_bytes`` in
+all, which bounds what the driver holds and broadcasts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; so is every text if nothing could be learned. Equal sizes go to the language
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from standscan.llm.batches import slices
 
 UNKNOWN = "und"
+PIECE = 1024
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ class Model:
     level: int = 6
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 120, row_chars: int = 16 << 10, dict_bytes: int = 96 << 10, max_total_bytes: int = 32 << 20) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 120, row_pieces: int = 16, dict_bytes: int = 96 << 10, max_total_bytes: int = 32 << 20) -> Model:
     """Learn the dictionaries from rows with a language and a text."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")
@@ -52,7 +54,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
     each = min(dict_bytes, max_total_bytes // len(counts))
     share = F.coalesce(*[F.when(F.col("l") == k, F.lit(min(1.0, rows_per_lang / n))) for k, n in counts.items()])
     order = F.abs(F.xxhash64("k")) / F.lit(float(1 << 63))
-    picked = rows.withColumn("o", order).where(F.col("o") < share).select("l", "o", F.lower(F.substring("t", 1, row_chars)).alias("t"))
+    picked = rows.withColumn("o", order).where(F.col("o") < share).select("l", "o", F.lower(_spread("k", "t", row_pieces)).alias("t"))
     content: dict[str, bytearray] = {k: bytearray() for k in counts}
     for row in picked.orderBy("o", "l").limit(2 * rows_per_lang * len(counts)).toLocalIterator():
         if len(content[row["l"]]) < each:
@@ -60,6 +62,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
     return Model({k: bytes(content[k][:each]) for k in sorted(counts, key=lambda k: (-counts[k], k)) if content[k]})
 
 
+def _spread(key: str, text: str, pieces: int) -> Column:
+    """The text itself, or ``pieces`` of its pieces in their order, picked by a hash over all of them."""
+    n = F.ceil(F.char_length(text) / PIECE).cast("int")
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("i"))))
+    chosen = F.array_sort(F.transform(F.slice(drawn, 1, pieces), lambda x: x["i"]))
+    return F.when(n <= pieces, F.col(text)).otherwise(F.array_join(F.transform(chosen, lambda i: F.substring(F.col(text), i * PIECE + 1, F.lit(PIECE))), ""))
+
+
 class Classifier:
     """One per task; holds the digested dictionaries."""
 

@@ -4,21 +4,24 @@ A rule is ``host[/path]``. It fits its host and every subdomain of it, when the
 the url starts with the path of the rule. Of the rules that fit, the longest (host plus
 path, then the longer host) wins.
 
-The index is one file: the 64-bit xxhash of every rule in ascending order, then the full
-rule strings. Tasks memory-map the file, look up whole batches of candidate digests with
-``searchsorted`` and confirm each hit against the stored string, so that a collision
-cannot decide a verdict. The file is distributed with ``SparkContext.addFile``; its size is
-checked against ``max_index_bytes`` before that. A larger rule set takes the same digests
-through a shuffle join instead (:func:`judge_by_join`).
+The index is an array of the 64-bit xxhash of every rule in ascending order, with the full
+rule strings. It is cut by a range partitioning into files of some ``shard_bytes``, which
+tasks write to the shared folder; the driver only sees one row per file. Probing tasks
+memory-map the files, look up whole batches of candidate digests with ``searchsorted`` and
+confirm each hit against the stored string, so that a collision cannot decide a verdict. A
+file in a remote store is copied to the task's temporary folder while the task runs.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no
-rule. An empty rule table leaves every url with the default verdict. Null rules are
-ignored; of repeated rules with unlike verdicts, block wins.
+rule. An empty rule table leaves every url with the default verdict. Null rules and rules
+without a host are ignored; of repeated rules with unlike verdicts, block wins. Hosts of rules
+and urls are lower-cased from A to Z only. Urls of any length are judged: only the host
+suffixes and path lengths that some rule has become candidates.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import tempfile
 import uuid
@@ -26,12 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAD = struct.Struct("<4q")
+from standscan.llm.batches import slices
+from standscan.session import materialise, new_path
+
+HEAD = "<4q"
 VERDICTS = ("allow", "block")
+FILES = "path string, n bigint, low bigint, high bigint"
+
+
+def _lower(host: str) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def split_url(urls: DataFrame, id_col: str, url: str) -> DataFrame:
@@ -42,58 +53,91 @@ def split_url(urls: DataFrame, id_col: str, url: str) -> DataFrame:
     df = df.withColumn("ss_host", host).withColumn("ss_tail", F.expr("substring(ss_rest, char_length(ss_host) + 1)"))
     return df.select(
         "ss_id",
-        F.translate("ss_host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"),
+        _lower("ss_host").alias("host"),
         F.regexp_extract("ss_tail", r"\A[^?#]*", 0).alias("path"),
     )
 
 
 def clean_rules(rules: DataFrame) -> DataFrame:
-    """Distinct ``(host, path, verdict, digest, path_chars)`` of a table (rule, verdict)."""
+    """Distinct ``(host, path, verdict, digest)`` of a table (rule, verdict)."""
     rule = F.col("rule")
     at = F.instr(rule, "/")
-    return (
-        rules.where(rule.isNotNull() & F.col("verdict").isin(*VERDICTS))
-        .select(
-            F.lower(F.when(at > 0, F.expr("substring(rule, 1, instr(rule, '/') - 1)")).otherwise(rule)).alias("host"),
-            F.when(at > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise(F.lit("/")).alias("path"),
-            "verdict",
-        )
-        .groupBy("host", "path")
-        .agg(F.max("verdict").alias("verdict"))
-        .withColumn("digest", F.xxhash64(F.concat("host", "path")))
-        .withColumn("path_chars", F.char_length("path"))
+    parted = rules.where(rule.isNotNull() & F.col("verdict").isin(*VERDICTS)).select(
+        F.when(at > 0, F.expr("substring(rule, 1, instr(rule, '/') - 1)")).otherwise(rule).alias("host"),
+        F.when(at > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise(F.lit("/")).alias("path"),
+        "verdict",
     )
+    hosts = parted.where("host <> ''").select(_lower("host").alias("host"), "path", "verdict")
+    return hosts.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("digest", F.xxhash64(F.concat("host", "path")))
+
+
+def labels_of(host: str = "host") -> Column:
+    """How many labels a host has."""
+    return F.char_length(host) - F.char_length(F.replace(F.col(host), F.lit("."))) + 1
+
+
+def shapes(rules: DataFrame) -> dict[int, list[int]]:
+    """The path lengths of the rules by their hosts' numbers of labels: no more than the longest rule has characters, each."""
+    found: dict[int, list[int]] = {}
+    for r in rules.select(labels_of().alias("labels"), F.char_length("path").alias("chars")).distinct().collect():
+        found.setdefault(r["labels"], []).append(r["chars"])
+    return {n: sorted(c) for n, c in sorted(found.items())}
+
+
+def candidates(split: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
+    """Append ``ss_keys``: for each host suffix and path prefix of a size that some rule has, the full string."""
+    none = F.array().cast("array<struct<s:string,n:int>>")
+
+    def of_labels(n: int, lengths: list[int]) -> Column:
+        suffix = F.substring_index("host", ".", -n)
+        fits = F.filter(F.array(*map(F.lit, lengths)), lambda c: c <= F.char_length("path"))
+        made = F.transform(fits, lambda c: F.struct(F.concat(suffix, F.substring(F.col("path"), F.lit(1), c)).alias("s"), F.char_length(suffix).alias("n")))
+        return F.when((F.col("host") != "") & (F.col("ss_labels") >= n), made).otherwise(none)
+
+    keys = F.concat(none, *[of_labels(n, lengths) for n, lengths in wanted.items()])
+    return split.withColumn("ss_labels", labels_of()).withColumn("ss_keys", keys).drop("ss_labels")
 
 
-def candidates(split: DataFrame, path_lengths: list[int]) -> DataFrame:
-    """Append ``ss_keys``: for each host suffix and rule-path length that fits, the full string."""
-    labels = F.split("host", r"\.")
-    suffixes = F.when(
-        F.col("host") != "",
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")),
-    ).otherwise(F.array().cast("array<string>"))
-    lengths = F.array(*[F.lit(n) for n in path_lengths]).cast("array<int>")
-    heads = F.transform(F.filter(lengths, lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.struct(F.concat(s, p).alias("s"), F.char_length(s).alias("n")))))
-    return split.withColumn("ss_keys", keys)
+def _file_writer(folder: str):
+    """Write the sorted rules of a partition as one index file, batch by batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, sizes, verdicts = [], [], []
+        with tempfile.TemporaryFile() as strings:
+            for batch in batches:
+                raw = [x.encode() for x in batch.column("s").to_pylist()]
+                strings.write(b"".join(raw))
+                digests.append(batch.column("digest").to_numpy(zero_copy_only=False).astype("<i8"))
+                sizes.append(np.array([len(x) for x in raw], "<i8"))
+                verdicts.append(np.array([VERDICTS.index(v) for v in batch.column("verdict").to_pylist()], "u1"))
+            if sum(map(len, digests)):
+                all_digests = np.concatenate(digests)
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
+                fs, base = pafs.FileSystem.from_uri(folder)
+                fs.create_dir(base, recursive=True)
+                name = f"{uuid.uuid4().hex}.idx"  # a repeated task writes another file
+                strings.seek(0)
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    for part in (struct.pack(HEAD, len(all_digests), int(ends[-1]), 0, 0), all_digests.tobytes(), ends.tobytes(), np.concatenate(verdicts).tobytes()):
+                        out.write(part)
+                    while piece := strings.read(1 << 20):
+                        out.write(piece)
+                low, high = int(all_digests[0]), int(all_digests[-1])
+                yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n": [len(all_digests)], "low": [low], "high": [high]})
+
+    return run
 
-def write_index(rules: DataFrame, max_index_bytes: int) -> str | None:
-    """Write the sorted digest file on the driver, batch by batch; None if it would be too large."""
+
+def write_index(rules: DataFrame, shard_bytes: int) -> list[tuple[str, int, int]]:
+    """Write the sorted array and return ``(path, lowest, highest digest)`` of its files."""
     need = rules.agg(F.count("*").alias("n"), F.sum(F.octet_length("host") + F.octet_length("path")).alias("b")).first()
-    if 17 * need["n"] + (need["b"] or 0) > max_index_bytes:
-        return None
-    rows = list(rules.orderBy("digest", "host", "path").select("digest", F.concat("host", "path").alias("s"), "verdict").toLocalIterator())
-    strings = [r["s"].encode() for r in rows]
-    ends = np.cumsum([0, *map(len, strings)], dtype="<i8")
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-urls-"), f"rules-{uuid.uuid4().hex}.idx")
-    with open(path, "wb") as f:
-        f.write(HEAD.pack(len(rows), int(ends[-1]), 0, 0))
-        f.write(np.array([r["digest"] for r in rows], dtype="<i8").tobytes())
-        f.write(ends.tobytes())
-        f.write(np.array([VERDICTS.index(r["verdict"]) for r in rows], dtype="u1").tobytes())
-        f.write(b"".join(strings))
-    return path
+    files = max(1, -(-(17 * need["n"] + (need["b"] or 0)) // shard_bytes))
+    folder = new_path(rules.sparkSession, "urls")
+    if "://" not in folder:
+        folder = "file://" + folder.removeprefix("file:")
+    sorted_rules = rules.select("digest", F.concat("host", "path").alias("s"), "verdict").repartitionByRange(files, "digest").sortWithinPartitions("digest", "s")
+    written = materialise(sorted_rules.mapInArrow(_file_writer(folder), FILES), "url-files")
+    return [(r["path"], r["low"], r["high"]) for r in written.orderBy("low").collect()]
 
 
 class DigestIndex:
@@ -101,8 +145,8 @@ class DigestIndex:
 
     def __init__(self, path: str) -> None:
         raw = np.memmap(path, dtype="u1", mode="r")
-        self.n, size, _, _ = HEAD.unpack(raw[: HEAD.size].tobytes())
-        at = HEAD.size
+        self.n, size, _, _ = struct.unpack(HEAD, raw[: struct.calcsize(HEAD)].tobytes())
+        at = struct.calcsize(HEAD)
         self.digests = raw[at : at + 8 * self.n].view("<i8")
         at += 8 * self.n
         self.ends = raw[at : at + 8 * (self.n + 1)].view("<i8")
@@ -130,59 +174,75 @@ class DigestIndex:
         return found
 
 
-def _probe_batches(name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestIndex(SparkFiles.get(name))
-        for batch in batches:
-            keys, digests = batch.column("ss_keys"), batch.column("ss_digests")
-            flat, hashes = keys.flatten(), digests.flatten().to_numpy(zero_copy_only=False)
-            strings, hosts = flat.field("s"), flat.field("n")
-            counts = pa.compute.fill_null(pa.compute.list_value_length(keys), 0).to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            best: dict[int, tuple] = {}
-            for c, i in index.probe(hashes, lambda c, s=strings: s[c].as_py()):
-                rank = (len(strings[c].as_py()), hosts[c].as_py(), i)
-                if rank > best.get(int(owner[c]), (-1,)):
-                    best[int(owner[c])] = rank
-            picked = [best[k][2] if k in best else None for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("ss_id"),
-                    batch.column("host"),
-                    batch.column("path"),
-                    pa.array([None if i is None else index.string(i) for i in picked], pa.string()),
-                    pa.array([None if i is None else VERDICTS[index.verdicts[i]] for i in picked], pa.string()),
-                ],
-                names=["ss_id", "host", "path", "rule", "verdict"],
-            )
+class Files:
+    """The index files of a task, opened when a batch first needs them."""
 
-    return run
+    def __init__(self, files: list[tuple[str, int, int]]) -> None:
+        self.files = files
+        self.open: dict[str, DigestIndex] = {}
+        self.folder: str | None = None
 
+    def _index(self, path: str) -> DigestIndex:
+        if path not in self.open:
+            fs, inner = pafs.FileSystem.from_uri(path)
+            if not isinstance(fs, pafs.LocalFileSystem):
+                self.folder = self.folder or tempfile.mkdtemp(prefix="spark-urls-")
+                local = os.path.join(self.folder, os.path.basename(inner))
+                with fs.open_input_stream(inner, compression=None) as source, open(local, "wb") as out:
+                    shutil.copyfileobj(source, out, 1 << 20)
+                inner = local
+            self.open[path] = DigestIndex(inner)
+        return self.open[path]
 
-def judge_by_join(keyed: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same verdicts by a shuffle join on digest and string, for any number of rules."""
-    from standscan.session import materialise
+    def probe(self, digests: np.ndarray, key_of) -> Iterator[tuple[int, DigestIndex, int]]:
+        """``(place of the candidate, index, rule number)`` of confirmed hits, over all files."""
+        for path, low, high in self.files:
+            mine = np.flatnonzero((digests >= low) & (digests <= high))
+            if len(mine):
+                index = self._index(path)
+                for c, i in index.probe(digests[mine], lambda c, m=mine: key_of(int(m[c]))):
+                    yield int(mine[c]), index, i
 
-    keyed = materialise(keyed.withColumn("ss_row", F.monotonically_increasing_id()), "url-keys")
-    probe = keyed.select("ss_row", F.explode("ss_keys").alias("k")).select("ss_row", "k.n", F.col("k.s").alias("rule"), F.xxhash64("k.s").alias("digest"))
-    ruled = rules.select("digest", F.concat("host", "path").alias("rule"), "verdict")
-    hits = probe.join(ruled, ["digest", "rule"]).groupBy("ss_row").agg(F.max(F.struct(F.char_length("rule").alias("len"), "n", "rule", "verdict")).alias("b"))
-    return keyed.join(hits, "ss_row", "left").select("ss_id", "host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("verdict"))
+    def close(self) -> None:
+        self.open.clear()
+        if self.folder:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def _probe_batches(files: list[tuple[str, int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = Files(files)
+        try:
+            for batch in slices(batches, 4096):
+                keys, digests = batch.column("ss_keys"), batch.column("ss_digests")
+                flat, hashes = keys.flatten(), digests.flatten().to_numpy(zero_copy_only=False)
+                strings, hosts = flat.field("s"), flat.field("n")
+                counts = pa.compute.fill_null(pa.compute.list_value_length(keys), 0).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                best: dict[int, tuple] = {}
+                for c, index, i in indexes.probe(hashes, lambda c, s=strings: s[c].as_py()):
+                    rule = strings[c].as_py()
+                    rank = (len(rule), hosts[c].as_py(), rule, VERDICTS[index.verdicts[i]])
+                    if rank > best.get(int(owner[c]), (-1,)):
+                        best[int(owner[c])] = rank
+                picked = [best.get(k, (0, 0, None, None)) for k in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("ss_id"), batch.column("host"), batch.column("path"), pa.array([p[2] for p in picked], pa.string()), pa.array([p[3] for p in picked], pa.string())],
+                    names=["ss_id", "host", "path", "rule", "verdict"],
+                )
+        finally:
+            indexes.close()
+
+    return run
 
 
-def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url", default: str = "allow", max_index_bytes: int = 256 << 20) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url", default: str = "allow", shard_bytes: int = 256 << 20) -> DataFrame:
     """``(id, host, path, rule, verdict)`` for every row of ``urls``."""
-    ruled = clean_rules(rules)
-    lengths = sorted(r[0] for r in ruled.select("path_chars").distinct().collect())
-    keyed = candidates(split_url(urls, id_col, url), lengths)
-    path = write_index(ruled, max_index_bytes)
-    if path is None:
-        judged = judge_by_join(keyed, ruled)
-    else:
-        urls.sparkSession.sparkContext.addFile(path)
-        keyed = keyed.withColumn("ss_digests", F.transform("ss_keys", lambda k: F.xxhash64(k.s)))
-        kind = dict(keyed.dtypes)["ss_id"]
-        judged = keyed.mapInArrow(_probe_batches(os.path.basename(path)), f"ss_id {kind}, host string, path string, rule string, verdict string")
+    ruled = materialise(clean_rules(rules), "url-rules")
+    keyed = candidates(split_url(urls, id_col, url), shapes(ruled))
+    keyed = keyed.withColumn("ss_digests", F.transform("ss_keys", lambda k: F.xxhash64(k.s)))
+    kind = dict(keyed.dtypes)["ss_id"]
+    judged = keyed.mapInArrow(_probe_batches(write_index(ruled, shard_bytes)), f"ss_id {kind}, host string, path string, rule string, verdict string")
     return judged.select(F.col("ss_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 

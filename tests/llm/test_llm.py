@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zlib
 from pathlib import Path
 
@@ -192,6 +193,22 @@ def test_language_held_out(spark):
     assert langid.predict(docs(spark, ["abc"]), langid.fit(df.limit(0))).first()["lang_pred"] == "und"
 
 
+def test_language_of_long_repeated_and_tied_texts(spark):
+    train = [(i, t, lang) for lang in WORDS for i, t in enumerate(sentences(lang, 30, 3 + len(lang) + ord(lang[0])))]
+    late = " ".join(sentences("de", 1, 5)) + " zebra" * 9000 + " quagga" * 3000  # all of a long text may be learned from
+    df = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(train)], "doc_id long, text string, lang string")
+    one = langid.fit(spark.createDataFrame([(1, late, "de")], df.schema))
+    assert b"zebra" in one.content["de"] and b"quagga" in one.content["de"] and len(one.content["de"]) <= 17 << 10
+    model = langid.fit(df)
+    long = " ".join(sentences("en", 3000, 1))
+    got = langid.predict(docs(spark, [long, long, "a", None, sentences("de", 1, 9)[0]]), model).collect()
+    assert [r["lang_pred"] for r in got][:2] == ["en", "en"] and got[0]["score"] == got[1]["score"] and got[4]["lang_pred"] == "de"
+    assert not got[0]["rejected"] and got[3]["rejected"]
+    same = langid.fit(df.withColumn("text", F.lit("one text for all of them")))
+    tied = langid.predict(docs(spark, ["another text"]), same).first()
+    assert tied["lang_pred"] == "de" and tied["rejected"]
+
+
 def test_classifier_held_out(spark):
     rng = np.random.default_rng(0)
     good, bad = "calm river stone house tree".split(), "### buy $$$ now !!!".split()
@@ -238,16 +255,28 @@ def test_urls(spark):
     want = ["allow", "block", "allow", "allow", "allow", "allow", "allow", "block", "block"]
     got = {r["page_id"]: r for r in url_filter.judge(df, rules).collect()}
     assert [got[i]["verdict"] for i in range(len(urls))] == want and got[0]["rule"] == "example.net/en/"
-    by_join = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules, max_index_bytes=0).collect()}
-    assert [by_join[i] for i in range(len(urls))] == want
+    sharded = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules, shard_bytes=20).collect()}
+    assert [sharded[i] for i in range(len(urls))] == want and len(url_filter.write_index(url_filter.clean_rules(rules), 20)) > 1
     assert url_filter.judge(df, rules.limit(0)).where("verdict <> 'allow'").count() == 0
 
 
+def test_urls_of_long_hosts_and_other_letters(spark):
+    import time
+
+    long = "a." * 100_000 + "example.com"
+    df = spark.createDataFrame([(1, f"http://{long}/de/x"), (2, "http://www.É.org/"), (3, "http://é.org/"), (4, "http://A.b.C.d/"), (5, "http://b.c.d/"), (6, "http://c.d"), (7, "http://.net/")], "page_id long, url string")
+    rules = spark.createDataFrame([*url_filter.RULES, ("É.org/", "block"), ("B.c.D", "block"), ("/x", "block"), ("c.d/", "allow")], "rule string, verdict string")
+    began = time.perf_counter()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()}
+    assert time.perf_counter() - began < 30
+    assert got == {1: ("example.com/de/", "block"), 2: ("É.org/", "block"), 3: (None, "allow"), 4: ("b.c.d/", "block"), 5: ("b.c.d/", "block"), 6: (None, "allow"), 7: ("net/", "block")}
+
+
 def test_digest_collision_is_confirmed(tmp_path):
     path = tmp_path / "x.idx"
     strings = [b"aa/", b"bb/"]
     with open(path, "wb") as f:
-        f.write(url_filter.HEAD.pack(2, 6, 0, 0) + np.array([5, 5], "<i8").tobytes() + np.array([0, 3, 6], "<i8").tobytes() + b"\x00\x01" + b"".join(strings))
+        f.write(struct.pack(url_filter.HEAD, 2, 6, 0, 0) + np.array([5, 5], "<i8").tobytes() + np.array([0, 3, 6], "<i8").tobytes() + b"\x00\x01" + b"".join(strings))
     index = url_filter.DigestIndex(str(path))
     assert index.probe(np.array([5, 5, 5, 6]), lambda c: ["bb/", "cc/", "aa/", "bb/"][c]) == [(0, 1), (2, 0)]
 
@@ -260,9 +289,9 @@ def test_rake_meets_marginals():
     index = [rng.integers(0, n, 200) for n in (5, 3, 4)]
     tokens = rng.uniform(50, 200, 200)
     shares = [np.full(n, 1 / n) for n in (5, 3, 4)]
-    factors, worst, _ = mixing.rake(index, tokens, shares, 0.3 * tokens.sum())
+    factors, errors, _ = mixing.rake(index, tokens, shares, 0.3 * tokens.sum())
     p = np.minimum(1, np.prod([f[i] for f, i in zip(factors, index, strict=True)], axis=0))
-    assert worst < 1e-3 and abs((p * tokens).sum() / tokens.sum() - 0.3) < 1e-3
+    assert max(e.max() for e in errors) < 1e-3 and abs((p * tokens).sum() / tokens.sum() - 0.3) < 1e-3
     assert np.allclose(np.bincount(index[0], p * tokens), 0.06 * tokens.sum(), rtol=1e-2)
 
 
@@ -290,6 +319,22 @@ def test_mix_of_many_categories(spark):
     assert abs(tempered.factors["source"][mixing.REST] * tempered.factors["lang"]["en"] * tempered.factors["topic"]["t"] - 0.5) < 1e-3
 
 
+def test_mix_ties_copies_topics_and_unmet_targets(spark):
+    rows = [(7, "w w", "en", "a", "t1", 1), (7, "w w", "en", "a", "t1", 1), (8, "w " * 200_000, "de", "b", None, 2), (9, "", "en", "a", "t2", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, probability int")
+    out = mixing.mix(df, topic="topic").collect()
+    assert sorted(r["n_tokens"] for r in out) == [0, 2, 2, 200_000] and {r["topic"] for r in out} == {"t1", "t2", None}
+    assert len({r["sampled"] for r in out if r["doc_id"] == 7}) == 1
+    assert mixing.sample(df, topic="topic").columns == df.columns
+    weighted = spark.createDataFrame([("a", "en", "x", 100), ("b", "de", "x", 100)], "source string, lang string, topic string, n_tokens bigint")
+    clash = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}  # each source has one language
+    with pytest.warns(UserWarning, match="not met"):
+        plan = mixing.make_plan(weighted, clash, keep_share=0.3)
+    assert plan.worst_error > 0.02 and (plan.unmet["source"] or plan.unmet["lang"])
+    with pytest.raises(ValueError, match="not met"):
+        mixing.make_plan(weighted, clash, keep_share=0.3, strict=True)
+
+
 # ---------------------------------------------------------------- 8 licences
 
 
