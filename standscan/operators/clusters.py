@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from standscan.operators.components import connected_components
 from standscan.operators.neighbours import pairs_within
+from standscan.operators.order import running_total
 from standscan.session import materialise
 
 
@@ -35,11 +35,9 @@ def dbscan(points: DataFrame, eps, min_samples: int, dims: str = "xyz") -> DataF
 
 
 def renumber(df: DataFrame, root: str, out: str) -> DataFrame:
-    """Dense numbers from 0 in the order of ``root``; null becomes -1.
-
-    Only the distinct roots, one per cluster, are ranked.
-    """
-    order = df.where(F.col(root).isNotNull()).select(root).distinct().withColumn(out, F.dense_rank().over(W.orderBy(root)) - 1)
+    """Dense numbers from 0 in the order of ``root``; null becomes -1."""
+    roots = df.where(F.col(root).isNotNull()).select(root).distinct()
+    order = running_total(roots, [root], F.lit(1).cast("bigint"), out).withColumn(out, F.col(out) - 1)
     return df.join(order, root, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("bigint")).drop(root)
 
 

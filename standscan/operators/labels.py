@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from standscan.operators.clusters import detect_stumps
 from standscan.operators.metrics import confusion, summarise
-from standscan.operators.neighbours import nearest_within, within_radius
+from standscan.operators.neighbours import nearest_within, pairs_within, within_radius
 from standscan.operators.points import IGNORE, voxel_downsample
 
 # The default thresholds of the labelling rules.
@@ -53,33 +54,66 @@ def pseudo_label(points: DataFrame, config: Mapping, scale: int = 20) -> tuple[D
     return rule_labels(points, config["classes"], config["ground_max_hag"], config["ignore_band"]), stats
 
 
-def stumps_from_reference(points: DataFrame, stump: int, other: int) -> DataFrame:
-    """Replace rule stumps by reference stumps: demote the former, promote the latter."""
-    label = F.when(F.col("ref_label") == stump, stump).when(F.col("label") == stump, other).otherwise(F.col("label"))
-    return points.withColumns({"label": label.cast("int"), "instance": F.when(F.col("ref_label") == stump, F.col("ref_instance")).otherwise(F.lit(-1)).cast("bigint")})
+def stumps_from_reference(points: DataFrame, ref_stump: int, stump: int, other: int) -> DataFrame:
+    """Replace the rules' stumps and instances by those of the reference."""
+    label = F.when(F.col("ref_label") == ref_stump, stump).when(F.col("label") == stump, other).otherwise(F.col("label"))
+    return points.withColumns({"label": label.cast("int"), "instance": F.col("ref_instance")})
 
 
-def paint_reference(points: DataFrame, sources: Sequence[tuple[DataFrame, int, float]], default: int = IGNORE) -> DataFrame:
-    """Append ``ref_label``: the class of the last source with a point within its radius.
+class Source(NamedTuple):
+    """An annotated cloud, the number of its class, and how it is painted."""
 
-    Each source is (cloud, class, radius); it is thinned at half the radius first.
+    cloud: DataFrame
+    label: int
+    radius: float
+    min_hag: float | None = None
+    instances: bool = False  # each file, by ``file_ix``, is one object
+
+
+def paint_reference(points: DataFrame, sources: Sequence[tuple], default: int = IGNORE) -> DataFrame:
+    """Append ``ref_label``, the class of the last source with a point within its radius, and ``ref_instance``.
+
+    ``sources`` are :class:`Source` or tuples of its first fields. A source is thinned at half
+    its radius first; with ``min_hag`` it paints only points of at least that height. Objects
+    are numbered in the order of sources and files, and the last one that reaches a point owns it.
     """
-    hits = None
-    for order, (cloud, label, radius) in enumerate(sources):
-        found = within_radius(points, voxel_downsample(cloud, radius / 2), radius).select("pid", F.struct(F.lit(order).alias("o"), F.lit(label).alias("l")).alias("h"))
+    hits, numbered = None, 0
+    for order, source in enumerate(Source(*s) for s in sources):
+        open_points = points if source.min_hag is None else points.where(F.col("hag") >= source.min_hag)
+        number = F.lit(None).cast("bigint")
+        if source.instances:
+            thin = voxel_downsample(source.cloud, source.radius / 2, by=("file_ix",))
+            near = pairs_within(open_points, thin, source.radius).join(thin.select(F.col("pid").alias("nid"), "file_ix"), "nid").select("pid", "file_ix").distinct()
+            number = (F.col("file_ix") + numbered).cast("bigint")
+            numbered += (source.cloud.agg(F.max("file_ix").alias("m")).first()["m"] or 0) + 1
+        else:
+            near = within_radius(open_points, voxel_downsample(source.cloud, source.radius / 2), source.radius)
+        found = near.select("pid", F.lit(order).alias("o"), F.lit(source.label).alias("l"), number.alias("n"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return points.withColumn("ref_label", F.lit(default))
-    last = hits.groupBy("pid").agg(F.max("h").alias("h")).select("pid", F.col("h.l").alias("ref_label"))
-    return points.join(last, "pid", "left").withColumn("ref_label", F.coalesce("ref_label", F.lit(default)).cast("int"))
+        return points.withColumns({"ref_label": F.lit(default), "ref_instance": F.lit(-1).cast("bigint")})
+    last = hits.groupBy("pid").agg(F.max(F.struct("o", "l")).alias("h"), F.max("n").alias("n")).select("pid", F.col("h.l").alias("ref_label"), F.col("n").alias("ref_instance"))
+    return points.join(last, "pid", "left").withColumns({"ref_label": F.coalesce("ref_label", F.lit(default)).cast("int"), "ref_instance": F.coalesce("ref_instance", F.lit(-1).cast("bigint"))})
+
+
+def map_classes(df: DataFrame, class_map: Mapping[int, int], source: str, out: str) -> DataFrame:
+    """Append ``out``: the reference class of ``source``; null for classes that the map lacks."""
+    table = F.create_map(*[F.lit(v) for pair in class_map.items() for v in pair]).cast("map<int,int>")
+    return df.withColumn(out, F.try_element_at(table, F.col(source)))
+
+
+def reference_report(points: DataFrame, class_map: Mapping[int, int], n_classes: int, label: str = "label") -> dict:
+    """Agreement of ``label`` with ``ref_label`` on the points that have a label, through ``class_map``."""
+    mapped = map_classes(points.where(F.col(label) != IGNORE), class_map, label, "ss_mapped")
+    ignored = points.agg(F.avg((F.col(label) == IGNORE).cast("double")).alias("i")).first()["i"]
+    return {"points": summarise(confusion(mapped, "ref_label", "ss_mapped"), n_classes), "ignored_fraction": ignored or 0.0}
 
 
 def compare_with_reference(points: DataFrame, reference: DataFrame, class_map: Mapping[int, int], n_classes: int, tolerance: float = 0.02) -> dict:
     """Agreement with the nearest reference point closer than ``tolerance``."""
     near = nearest_within(points, reference, tolerance)
     joined = points.select("pid", "label").join(near, "pid").join(reference.select(F.col("pid").alias("nid"), F.col("label").alias("target")), "nid", "left")
-    mapped = F.create_map(*[F.lit(v) for pair in class_map.items() for v in pair])
-    scored = joined.where(F.col("nid").isNotNull() & (F.col("label") != IGNORE)).select("target", F.try_element_at(mapped, F.col("label")).alias("pred"))
+    scored = map_classes(joined.where(F.col("nid").isNotNull() & (F.col("label") != IGNORE)), class_map, "label", "pred").select("target", "pred")
     report = summarise(confusion(scored), n_classes)
     shares = joined.agg(F.avg(F.col("nid").isNotNull().cast("double")).alias("m"), F.avg((F.col("label") == IGNORE).cast("double")).alias("i")).first()
     return report | {"matched_fraction": shares["m"], "ignored_fraction": shares["i"]}

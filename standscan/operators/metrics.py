@@ -40,10 +40,13 @@ def class_metrics(counts: DataFrame) -> DataFrame:
 
 
 def summarise(counts: DataFrame, n_classes: int) -> dict:
-    """The matrix and its summary on the driver; it has one row per pair of classes."""
+    """The matrix and its summary on the driver; it has one row per pair of classes.
+
+    Points without a class in range, in either column, are not counted.
+    """
     matrix = [[0] * n_classes for _ in range(n_classes)]
     for r in counts.collect():
-        if r["pred"] is not None:
+        if r["pred"] is not None and 0 <= r["pred"] < n_classes and 0 <= r["target"] < n_classes:
             matrix[r["target"]][r["pred"]] += r["n"]
     per, total = [], sum(map(sum, matrix))
     for c in range(n_classes):
@@ -64,14 +67,24 @@ def summarise(counts: DataFrame, n_classes: int) -> dict:
     }
 
 
+def as_text(report: dict, classes: list[str]) -> str:
+    """A summary as lines of text, a class each below the means."""
+    shown = lambda v: "-" if v is None else f"{v:.4f}"
+    columns = ("iou", "precision", "recall", "f1")
+    lines = [" ".join(f"{k} {shown(report[k])}" for k in ("overall_accuracy", "mean_accuracy", "miou")), " ".join(["class".ljust(14), *[c.rjust(9) for c in columns], "support".rjust(11)])]
+    for name, row in zip(classes, report["per_class"], strict=True):
+        lines.append(" ".join([name.ljust(14), *[shown(row[c]).rjust(9) for c in columns], str(row["support"]).rjust(11)]))
+    return "\n".join(lines)
+
+
 def class_weights(labels: DataFrame, label: str = "label", mode: str = "log") -> DataFrame:
     """``(label, n, weight)`` of the classes present, divided by their mean; modes none, inverse_sqrt and log."""
     counts = labels.where(F.col(label) >= 0).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    both = counts.crossJoin(counts.agg(F.sum("n").alias("total")))  # one row on the right
-    share = F.col("n") / F.col("total")
+    counts = materialise(counts, "class-counts")  # a row for each class
+    share = F.col("n") / F.lit(float(counts.agg(F.sum("n").alias("n")).first()["n"] or 1))
     raw = {"none": F.lit(1.0), "inverse_sqrt": 1.0 / F.sqrt(F.greatest(share, F.lit(1e-6)))}.get(mode, 1.0 / F.log(1.02 + share))
-    weighted = both.select("label", "n", raw.alias("w"))
-    return weighted.crossJoin(weighted.agg(F.avg("w").alias("mean"))).select("label", "n", (F.col("w") / F.col("mean")).alias("weight"))
+    mean = counts.agg(F.avg(raw).alias("m")).first()["m"] or 1.0
+    return counts.select("label", "n", (raw / F.lit(mean)).alias("weight"))
 
 
 def match_centres(refs: DataFrame, preds: DataFrame, max_distance: float, rounds_first: int = 8, driver_pairs: int = 1 << 16) -> DataFrame:

@@ -25,16 +25,18 @@ def _distance2(a: str, b: str, dims: str) -> Column:
     return total
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius, dims: str = "xyz", closed: bool = True) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, radius, dims: str = "xyz", closed: bool = True, copy_left: bool = False) -> DataFrame:
     """``(pid, nid, d2)`` of all pairs at most (``closed``) or less than ``radius`` apart.
 
-    The adjacent-cell copies are made on the right side, which should be the smaller one.
+    The adjacent-cell copies are made of the right side, or of the left one if ``copy_left``;
+    it should be the smaller one.
     """
-    cells = [cell(f"l{c}", radius).alias(f"c{c}") for c in dims]
     shifts = F.array(*[F.struct(*[F.lit(s).cast("bigint").alias(f"s{c}") for s, c in zip(step, dims, strict=True)]) for step in product((-1, 0, 1), repeat=len(dims))])
-    a = left.select("pid", *[F.col(c).alias(f"l{c}") for c in dims]).select("*", *cells)
-    b = right.select(F.col("pid").alias("nid"), *[F.col(c).alias(f"r{c}") for c in dims]).withColumn("s", F.explode(shifts))
-    b = b.select("nid", *[f"r{c}" for c in dims], *[(cell(f"r{c}", radius) + F.col(f"s.s{c}")).alias(f"c{c}") for c in dims])
+    sides = {"l": left.select("pid", *[F.col(c).alias(f"l{c}") for c in dims]), "r": right.select(F.col("pid").alias("nid"), *[F.col(c).alias(f"r{c}") for c in dims])}
+    at = {s: [cell(f"{s}{c}", radius) for c in dims] for s in "lr"}
+    copied, kept = ("l", "r") if copy_left else ("r", "l")
+    a = sides[kept].select("*", *[i.alias(f"c{c}") for i, c in zip(at[kept], dims, strict=True)])
+    b = sides[copied].withColumn("s", F.explode(shifts)).withColumns({f"c{c}": i + F.col(f"s.s{c}") for i, c in zip(at[copied], dims, strict=True)}).drop("s")
     d2 = _distance2("l", "r", dims)
     limit = F.lit(radius * radius)
     return a.join(b, [f"c{c}" for c in dims]).where(d2 <= limit if closed else d2 < limit).select("pid", "nid", d2.alias("d2"))
@@ -56,21 +58,22 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int, start, dims: str =
 
     A point is settled when its k-th neighbour is no farther than the cell width, since all
     closer targets lie in adjacent cells. The others are searched again with wider cells;
-    these are few, in the sparse parts of the cloud. Points see all targets if there are
-    fewer than k.
+    these are few, in the sparse parts of the cloud, and it is they that are then copied to
+    adjacent cells. Points see all targets if there are fewer than k.
     """
     total = targets.count()
     want = min(k, total)
     w = W.partitionBy("pid").orderBy("d2", "nid")
-    done, left, width = [], points.select("pid", *dims), start
+    done, left, width, copy_left = [], points.select("pid", *dims), start, False
     for _ in range(max_rounds):
-        ranked = pairs_within(left, targets, width, dims).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want)
+        ranked = pairs_within(left, targets, width, dims, copy_left=copy_left).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want)
         ranked = materialise(ranked, "knn-ranked")
         full = ranked.groupBy("pid").agg(F.count("*").alias("n")).where(F.col("n") >= want).select("pid")
         done.append(ranked.join(full, "pid", "left_semi"))
         rest = materialise(left.join(full, "pid", "left_anti"), "knn-left")
-        left, width = rest, width * growth
-        if want == 0 or rest.isEmpty():
+        n_left = rest.count()
+        left, width, copy_left = rest, width * growth, n_left < total
+        if want == 0 or not n_left:
             break
     else:
         raise RuntimeError("k_nearest did not settle; start with wider cells")

@@ -41,8 +41,8 @@ def subset(cloud: DataFrame, pids: DataFrame) -> DataFrame:
     return cloud.join(pids.select("pid"), "pid", "left_semi")
 
 
-def voxel_downsample(cloud: DataFrame, size, seed: int = 0) -> DataFrame:
-    """One pseudo-random point of each voxel; all points if ``size`` is not positive.
+def voxel_downsample(cloud: DataFrame, size, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """One pseudo-random point of each voxel (and value of ``by``); all points if ``size`` is not positive.
 
     The representative has the smallest hash of its pid, so partial aggregation leaves one
     row per voxel and task before the shuffle.
@@ -52,7 +52,7 @@ def voxel_downsample(cloud: DataFrame, size, seed: int = 0) -> DataFrame:
     anchor = origin(cloud)
     keys = [cell(c, size, o).alias(f"ss_{c}") for c, o in zip("xyz", anchor, strict=True)]
     kept = F.min_by(F.struct(*cloud.columns), F.struct(portable_hash("pid", seed), F.col("pid"))).alias("p")
-    return cloud.groupBy(*keys).agg(kept).select("p.*")
+    return cloud.groupBy(*keys, *[F.col(c).alias(f"ss_by_{c}") for c in by]).agg(kept).select("p.*")
 
 
 def rigid_transform(cloud: DataFrame, matrix: Sequence[Sequence[float]]) -> DataFrame:

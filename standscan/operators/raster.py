@@ -28,16 +28,19 @@ def min_raster(cloud: DataFrame, size, anchor: tuple) -> DataFrame:
 def dense(raster: DataFrame) -> DataFrame:
     """All cells from (0, 0) to the largest indices; cells that were absent have a null z."""
     span = raster.agg(F.max("i").alias("ni"), F.max("j").alias("nj")).where("ni is not null")
-    grid = span.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "ni")).alias("i"), "nj").select("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "nj")).alias("j"))
+    top = span.first()
+    wide, high = (0, 0) if top is None else (top["ni"] + 1, top["nj"] + 1)
+    grid = raster.sparkSession.range(wide * high).select(F.expr(f"id div {max(high, 1)}").alias("i"), (F.col("id") % max(high, 1)).alias("j"))
     return grid.join(raster, ["i", "j"], "left")
 
 
-def fill_nearest(raster: DataFrame, max_rings: int = 64) -> DataFrame:
+def fill_nearest(raster: DataFrame) -> DataFrame:
     """Give each null cell the z of the nearest valid cell, ties to the smaller (i, j).
 
     Rings of growing width are joined by equality on shifted indices; a cell is settled when
-    the nearest valid cell found is no farther than the ring's half-width. Raises ValueError
-    for a raster with cells but no valid one.
+    the nearest valid cell found is no farther than the ring's half-width, and rounds go on
+    until all are. Only valid cells beside a null one are searched, as any other has such a
+    cell on the way to it. Raises ValueError for a raster with cells but no valid one.
     """
     valid = materialise(raster.where("z is not null"), "fill-valid")
     holes = materialise(raster.where("z is null").select("i", "j"), "fill-holes")
@@ -45,11 +48,13 @@ def fill_nearest(raster: DataFrame, max_rings: int = 64) -> DataFrame:
         return raster
     if valid.isEmpty():
         raise ValueError("the raster has no valid cells")
+    ring = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    beside = holes.withColumn("s", F.explode(ring)).select((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j")).distinct()
+    shore = materialise(valid.join(beside, ["i", "j"], "left_semi"), "fill-shore")
     done, left, half = [valid.select("i", "j", "z")], holes, 1
-    while half <= max_rings * 1024:
-        v = valid.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "z", F.floor(F.col("i") / half).alias("bi"), F.floor(F.col("j") / half).alias("bj"))
-        step = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        h = left.withColumn("s", F.explode(step)).select("i", "j", (F.floor(F.col("i") / half) + F.col("s.a")).alias("bi"), (F.floor(F.col("j") / half) + F.col("s.b")).alias("bj"))
+    while True:
+        v = shore.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "z", F.floor(F.col("i") / half).alias("bi"), F.floor(F.col("j") / half).alias("bj"))
+        h = left.withColumn("s", F.explode(ring)).select("i", "j", (F.floor(F.col("i") / half) + F.col("s.a")).alias("bi"), (F.floor(F.col("j") / half) + F.col("s.b")).alias("bj"))
         di, dj = F.col("i") - F.col("vi"), F.col("j") - F.col("vj")
         best = h.join(v, ["bi", "bj"]).groupBy("i", "j").agg(F.min(F.struct((di * di + dj * dj).alias("d2"), "vi", "vj", "z")).alias("b"))
         best = materialise(best.where(F.col("b.d2") <= half * half).select("i", "j", F.col("b.z").alias("z")), "fill-found")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from standscan.functions.cloud import cell
 from standscan.operators.points import origin
 
-# Colours of classes 0-9, and of ignored points last.
+# Colours of classes 0-9, and of ignored points last.
 PALETTE = ((139, 115, 85), (214, 39, 40), (44, 160, 44), (31, 119, 180), (255, 127, 14), (148, 103, 189), (140, 86, 75), (227, 119, 194), (127, 127, 127), (188, 189, 34), (200, 200, 200))
 
 
@@ -43,17 +45,29 @@ def _colours(values: np.ndarray, categorical: bool) -> np.ndarray:
     return np.stack([68 + 185 * t, 1 + 230 * t, 84 + 60 * np.sin(np.pi * t)], axis=1).astype("u1")
 
 
-def render(cloud: DataFrame, field: str, path: str, width: int = 1200, band: float = 2.0) -> None:
+def _marks(image: np.ndarray, instances: DataFrame, x0: float, y0: float, size: float, arm: int = 5) -> None:
+    """Draw a cross at each pixel that holds the centre of an object ``(x, y)``."""
+    h, w, _ = image.shape
+    at = instances.select(cell("x", size, x0).alias("px"), cell("y", size, y0).alias("py")).where(F.col("px").between(0, w - 1) & F.col("py").between(0, h - 1)).distinct()
+    for r in at.collect():
+        row, col = h - 1 - r["py"], r["px"]
+        image[row, max(0, col - arm) : col + arm + 1] = 0
+        image[max(0, row - arm) : row + arm + 1, col] = 0
+
+
+def render(cloud: DataFrame, field: str, path: str, width: int = 1200, band: float = 2.0, classes: Sequence[str] | None = None, instances: DataFrame | None = None) -> None:
     """A top view and, below it, a side view of the transect around the median y.
 
-    The image's width bounds the pixels that reach the driver.
+    ``instances`` are marked in the top view. With ``classes`` the field holds class numbers,
+    and their colours are written by name to ``path`` + ``.json``. The image's width bounds the
+    pixels that reach the driver.
     """
     if field not in cloud.columns:
         raise KeyError(f"the cloud has no field {field}; it has {sorted(cloud.columns)}")
     span = cloud.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"), F.median("y").alias("m")).first()
     size = max((span["b"] - span["a"]), (span["d"] - span["c"]), 1e-9) / width
     views = [pixels(cloud, field, size), pixels(cloud.where(F.abs(F.col("y") - span["m"]) < band), field, size, "x", "z", "y")]
-    categorical = dict(cloud.dtypes)[field] in ("int", "bigint", "smallint", "tinyint")
+    categorical = classes is not None or dict(cloud.dtypes)[field] in ("int", "bigint", "smallint", "tinyint")
     parts = []
     for view in views:
         rows = view.where("value is not null").toPandas()
@@ -61,7 +75,12 @@ def render(cloud: DataFrame, field: str, path: str, width: int = 1200, band: flo
         image = np.full((h, width + 1, 3), 255, "u1")
         if len(rows):
             image[h - 1 - rows["py"].to_numpy("i8"), rows["px"].to_numpy("i8")] = _colours(rows["value"].to_numpy("f8"), categorical)
+        if instances is not None and not parts:
+            _marks(image, instances, span["a"], span["c"], size)
         parts.append(image)
+    if classes is not None:
+        with open(path + ".json", "w") as f:
+            json.dump({c: PALETTE[i % (len(PALETTE) - 1)] for i, c in enumerate(classes)} | {"ignored": PALETTE[-1]}, f)
     with open(path, "wb") as f:
         f.write(png_bytes(np.concatenate([parts[0], np.full((10, width + 1, 3), 220, "u1"), parts[1]])))
 

@@ -9,24 +9,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from standscan.functions.cloud import cell, portable_hash
+from standscan.operators.order import running_total
 from standscan.operators.points import origin
+from standscan.session import materialise
 
 
 def spatial_split(cloud: DataFrame, tile, ratios: Sequence[float], seed: int = 0) -> DataFrame:
     """Append ``split`` (0, 1, 2, ...): whole tiles in hashed order, by the midpoint of their running share.
 
     Midpoints and bounds are compared as exact fractions when the ratios are integers.
-    Only the tiles, one row each, are put in one order.
+    Only the tiles, one row each, are put in order, over range partitions.
     """
     x0, y0 = origin(cloud, ("x", "y"))
     keyed = cloud.withColumns({"ss_i": cell("x", tile, x0), "ss_j": cell("y", tile, y0)})
     tiles = keyed.groupBy("ss_i", "ss_j").agg(F.count("*").alias("n"))
-    order = W.orderBy(portable_hash(F.col("ss_i") * 100003 + F.col("ss_j"), seed), "ss_i", "ss_j")
-    run = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))
-    tiles = tiles.withColumn("twice", 2 * run - F.col("n")).withColumn("total", F.sum("n").over(W.partitionBy()))
+    tiles = tiles.withColumn("ss_h", portable_hash(F.col("ss_i") * 100003 + F.col("ss_j"), seed))
+    tiles = materialise(running_total(tiles, ["ss_h", "ss_i", "ss_j"], F.col("n"), "ss_run"), "split-tiles")
+    points = tiles.agg(F.sum("n").alias("n")).first()["n"] or 0
     bounds, total = [], sum(ratios)
     for k in range(1, len(ratios)):
-        bounds.append((F.col("twice") * F.lit(total) > 2 * F.lit(sum(ratios[:k])) * F.col("total")).cast("int"))
+        bounds.append(((2 * F.col("ss_run") - F.col("n")) * F.lit(total) > F.lit(2 * sum(ratios[:k]) * points)).cast("int"))
     tiles = tiles.select("ss_i", "ss_j", sum(bounds, F.lit(0)).alias("split"))
     return keyed.join(tiles, ["ss_i", "ss_j"]).drop("ss_i", "ss_j")
 

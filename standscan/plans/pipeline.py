@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from standscan.functions.cloud import argmax
 from standscan.operators import clusters, labels, metrics, models, neighbours, points, raster, shape, split
+from standscan.operators.render import render_confusion
 from standscan.plans import config as configs
 from standscan.session import materialise
 from standscan.sources import clouds, sinks
@@ -49,14 +50,27 @@ def load_and_featurise(spark: SparkSession, config: Mapping, inputs=None, seed:
     return raw, featurise(thin, config["features"])
 
 
+def class_map(config: Mapping) -> dict[int, int]:
+    """Class numbers of the labels to those of the reference, by the names that the setting gives."""
+    names, to = config["pseudolabel"]["classes"], config["reference"]["classes"]
+    given = config["reference"].get("class_map") or {c: c for c in names if c in to}
+    return {i: to.index(given[c]) for i, c in enumerate(names) if c in given}
+
+
+def _detection(truth: DataFrame, found: DataFrame, reach: float = 0.75) -> dict:
+    """Scores of object centres of ``found`` against those of ``truth``."""
+    refs, preds = materialise(metrics.instance_centres(truth), "centres"), materialise(metrics.instance_centres(found), "centres")
+    return metrics.detection_scores(refs.count(), preds.count(), metrics.match_centres(refs, preds, reach).count())
+
+
 def extract(spark: SparkSession, config: Mapping) -> DataFrame:
     _, df = load_and_featurise(spark, config)
     sources = []
-    for source in config["reference"].get("sources", []):
+    for source in (config["reference"] or {}).get("sources", []):
         cloud = clouds.read_clouds(spark, source["path"])
         if source.get("transform"):
             cloud = points.rigid_transform(cloud, sinks.load_transform(source["transform"]).tolist())
-        sources.append((cloud, config["reference"]["classes"].index(source["class"]), source.get("radius", 0.05)))
+        sources.append(labels.Source(cloud, config["reference"]["classes"].index(source["class"]), source.get("radius", 0.02), source.get("min_hag"), source.get("instances", False)))
     if sources:
         default = config["reference"].get("default_class")
         df = labels.paint_reference(df, sources, config["reference"]["classes"].index(default) if default else points.IGNORE)
@@ -73,11 +87,20 @@ def pseudolabel(spark: SparkSession, config: Mapping) -> dict:
         out, stats = points.remap_labels(df, mapping, field).withColumn("instance", F.lit(-1).cast("bigint")), None
     else:
         out, stats = labels.pseudo_label(df, rules, config["features"]["scales"][0])
+        if rules["stumps_from_reference"]:
+            if "ref_label" not in out.columns:
+                raise ValueError("stumps_from_reference needs a reference with sources")
+            out = labels.stumps_from_reference(out, config["reference"]["classes"].index("stump"), rules["classes"].index("stump"), rules["classes"].index("other"))
     out.write.mode("overwrite").parquet(_path(config, "labels"))
     if stats is not None:
         sinks.write_csv(stats.orderBy("id"), _path(config, "stump_candidates.csv"))
-    counts = {r["label"]: r["count"] for r in spark.read.parquet(_path(config, "labels")).groupBy("label").count().collect()}
+    out = spark.read.parquet(_path(config, "labels"))
+    counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
     report = {"ignored": counts.get(points.IGNORE, 0)} | {c: counts.get(i, 0) for i, c in enumerate(rules["classes"])}
+    if "ref_label" in out.columns:
+        report["vs_reference"] = labels.reference_report(out, class_map(config), len(config["reference"]["classes"]))
+        if not out.where("ref_instance >= 0").isEmpty() and not out.where("instance >= 0").isEmpty():
+            report["vs_reference"]["instances"] = _detection(out.select("x", "y", F.col("ref_instance").alias("instance")), out)
     sinks.write_json(report, _path(config, "pseudolabel_report.json"))
     return report
 
@@ -145,26 +168,41 @@ def evaluate(spark: SparkSession, run: str, part: str = "test", settings: Mappin
     scene = spark.read.parquet(_path(config, "scenes")).where(F.col("split") == SPLITS.index(part))
     out, stats = infer(scene, model, config, meta, settings or config["infer"])
     out = materialise(out, "evaluated")
-    scored = out.join(scene.select("pid", F.col("label").alias("target"), *[c for c in ("ref_label",) if c in scene.columns]), "pid")
-    report = {"split": part, "vs_pseudolabels": metrics.summarise(metrics.confusion(scored), len(meta["classes"]))}
-    if "ref_label" in scene.columns:
-        report["vs_reference"] = metrics.summarise(metrics.confusion(scored, "ref_label"), len(config["reference"]["classes"]))
-    if stats is not None and "instance" in scene.columns:
-        truth, found = metrics.instance_centres(scene), metrics.instance_centres(out)
-        report["instances"] = metrics.detection_scores(truth.count(), found.count(), metrics.match_centres(truth, found, 0.75).count())
+    scored = materialise(out.join(scene.select("pid", F.col("label").alias("target"), *[c for c in ("ref_label",) if c in scene.columns]), "pid"), "evaluated-scored")
+    report = {"checkpoint": run, "split": part, "vs_pseudolabels": metrics.summarise(metrics.confusion(scored), len(meta["classes"]))}
     folder = os.path.join(run, f"eval_{part}")
     os.makedirs(folder, exist_ok=True)
+    tables = [("pseudolabels", report["vs_pseudolabels"], meta["classes"])]
+    if stats is not None and "instance" in scene.columns:
+        report["instances"] = _detection(scene, out)
+    if "ref_label" in scene.columns:
+        mapping, n = class_map(config), len(config["reference"]["classes"])
+        report["vs_reference"] = metrics.summarise(metrics.confusion(labels.map_classes(scored, mapping, "pred", "ss_mapped"), "ref_label", "ss_mapped"), n)
+        report["pseudolabels_vs_reference"] = labels.reference_report(scene, mapping, n)["points"]
+        tables.append(("reference", report["vs_reference"], config["reference"]["classes"]))
+        if stats is not None and not scene.where("ref_instance >= 0").isEmpty():
+            report["instances_vs_reference"] = _detection(scene.select("x", "y", F.col("ref_instance").alias("instance")), out)
+    for name, table, classes in tables:
+        render_confusion(table["confusion_matrix"], os.path.join(folder, f"confusion_vs_{name}.png"))
+        with open(os.path.join(folder, f"metrics_vs_{name}.txt"), "w") as f:
+            f.write(metrics.as_text(table, classes) + "\n")
+    if stats is not None:
+        sinks.write_csv(stats.orderBy("id"), os.path.join(folder, "instances.csv"))
     sinks.write_json(report, os.path.join(folder, "report.json"))
     sinks.write_ply(out.drop("file_ix"), os.path.join(folder, f"{part}_pred.ply"))
     return report
 
 
-def predict(spark: SparkSession, run: str, inputs, output: str, full_resolution: bool = False, settings: Mapping | None = None) -> dict:
-    """Label a new cloud with a saved run and write it with its inventory."""
+def predict(spark: SparkSession, run: str, inputs, output: str, full_resolution: bool = False, texts=()) -> dict:
+    """Label a new cloud with a saved run and write it with its inventory.
+
+    ``texts`` are ``a.b=value`` settings over those of the run.
+    """
     model, config, meta = load_run(run)
+    config = configs.with_settings(config, texts)
     raw, df = load_and_featurise(spark, config, inputs)
     df = materialise(df, "predict-features")
-    out, stats = infer(df, model, config, meta, settings or config["infer"])
+    out, stats = infer(df, model, config, meta, config["infer"])
     if full_resolution:
         fields = [c for c in out.columns if c not in ("pid", "x", "y", "z")]
         out = neighbours.transfer_nearest(raw.select("pid", "x", "y", "z"), materialise(out, "predict-thin"), fields, max(config["data"]["voxel_size"] or 0.03, 0.01))

@@ -73,6 +73,17 @@ def voxel_downsample(spark, sf_dir):
     return points.voxel_downsample(events_cloud(spark, sf_dir), CELL)
 
 
+WIDE_SQL = f"{CLOUD_SQL.replace('cloud as', 'plot as', 1)}, cloud as (select pid, x + 10000 * (pid // 10000) as x, y, z, label from plot)"
+
+
+@query(f"""with {WIDE_SQL}, {CELLS}, {FILLED}, {_slide("filled", "low", "min", 2)}, {_slide("low", "opened", "max", 2)} select i, j, z from opened""")
+def wide_opening(spark, sf_dir):
+    """Plots of 10,000 points side by side, so that the raster grows with the table."""
+    cloud = events_cloud(spark, sf_dir).withColumn("x", F.expr("x + 10000 * (pid div 10000)"))
+    filled = raster.fill_nearest(raster.dense(raster.min_raster(cloud, CELL, points.origin(cloud, ("x", "y")))))
+    return raster.opening(filled, 5)
+
+
 @query(f"with {CLOUD_SQL}, {CELLS} select i, j, min(z) as z from cells group by i, j")
 def min_raster(spark, sf_dir):
     cloud = events_cloud(spark, sf_dir)

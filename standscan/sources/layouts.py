@@ -18,6 +18,9 @@ ALIASES = {"red": "r", "green": "g", "blue": "b", "rf": "r", "gf": "g", "bf": "b
 # The fields of LAS point formats 0 to 3 (public specification).
 LAS_BASE = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("scan_angle_rank", "i1"), ("user_data", "u1"), ("point_source_id", "<u2")]
 LAS_EXTRA = {0: [], 1: [("gps_time", "<f8")], 2: [("red", "<u2"), ("green", "<u2"), ("blue", "<u2")], 3: [("gps_time", "<f8"), ("red", "<u2"), ("green", "<u2"), ("blue", "<u2")]}
+# The fields of LAS point formats 6 to 10 (public specification); wave packets are skipped.
+LAS_BASE_6 = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("classification", "u1"), ("user_data", "u1"), ("scan_angle", "<i2"), ("point_source_id", "<u2"), ("gps_time", "<f8")]
+LAS_EXTRA_6 = {6: [], 7: LAS_EXTRA[2], 8: [*LAS_EXTRA[2], ("nir", "<u2")], 9: [], 10: [*LAS_EXTRA[2], ("nir", "<u2")]}
 LAS_KEPT = ("intensity", "return_number", "number_of_returns", "classification", "red", "green", "blue")
 
 
@@ -104,11 +107,11 @@ def las_layout(handle) -> Layout:
     offset, _, kind, width, count = struct.unpack_from("<IIBHI", head, 96)
     if kind & 0x80:
         raise ImportError("LAZ needs a decompressor that is not installed; convert the file to LAS")
-    if kind not in LAS_EXTRA:
+    if kind not in LAS_EXTRA and kind not in LAS_EXTRA_6:
         raise ValueError(f"LAS point format {kind} is not supported")
     if minor >= 4 and header_size >= 375 and count == 0:
         count = struct.unpack_from("<Q", head, 247)[0]
-    fields = LAS_BASE + LAS_EXTRA[kind]
+    fields = LAS_BASE + LAS_EXTRA[kind] if kind in LAS_EXTRA else LAS_BASE_6 + LAS_EXTRA_6[kind]
     spare = width - np.dtype(fields).itemsize
     dtype = np.dtype(fields + ([("spare", f"V{spare}")] if spare else []))
     kept = tuple(n for n in LAS_KEPT if n in dtype.names or n in ("return_number", "number_of_returns"))
@@ -133,10 +136,9 @@ def columns(layout: Layout, records: np.ndarray) -> dict[str, np.ndarray]:
         return {n: records[n] for n in layout.names}
     out = {c: records[c.upper()] * layout.scale[k] + layout.shift[k] for k, c in enumerate("xyz")}
     for n in layout.kept:
-        if n == "return_number":
-            out[n] = records["flags"] & 7
-        elif n == "number_of_returns":
-            out[n] = records["flags"] >> 3 & 7
+        if n in ("return_number", "number_of_returns"):
+            source, bits = (records["returns"], 4) if "returns" in records.dtype.names else (records["flags"], 3)
+            out[n] = (source >> (bits if n == "number_of_returns" else 0)) & ((1 << bits) - 1)
         else:
             out[n] = records[n]
     return out

@@ -93,12 +93,17 @@ def write_ply(df: DataFrame, path: str) -> int:
 
 
 def write_las(df: DataFrame, path: str, classification: str | None = None, scale: float = 0.001) -> int:
-    """LAS 1.2, point format 3, coordinates in steps of ``scale`` from their minima. Returns the points."""
+    """LAS 1.2, point format 3, coordinates in steps of ``scale`` from their minima. Returns the points.
+
+    The other numeric columns are written as extra bytes, 32-bit floats under their names.
+    """
     df, colours = _flat_colours(df)
     span = df.agg(*[f(c).alias(f"{k}{c}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max))]).first()
     low = [float(span[f"lo{c}"] or 0.0) for c in "xyz"]
-    dtype = np.dtype(LAS_BASE + LAS_EXTRA[3])
-    wanted = ["x", "y", "z"] + [c for c in (classification, "intensity") if c and c in df.columns] + colours
+    taken = {"pid", "file_ix", "x", "y", "z", classification, "intensity", *colours}
+    extra = [n for n, t in df.dtypes if n not in taken and t in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")]
+    dtype = np.dtype(LAS_BASE + LAS_EXTRA[3] + [(f"extra {n}", "<f4") for n in extra])
+    wanted = ["x", "y", "z"] + [c for c in (classification, "intensity") if c and c in df.columns] + colours + extra
 
     def pack(records: np.ndarray, cols: dict) -> None:
         for k, c in enumerate("xyz"):
@@ -109,15 +114,19 @@ def write_las(df: DataFrame, path: str, classification: str | None = None, scale
             records["intensity"] = np.clip(cols["intensity"], 0, 65535)
         for c in colours:
             records[c] = cols[c].astype("u2") * 257
+        for n in extra:
+            records[f"extra {n}"] = np.array([np.nan if v is None else v for v in cols[n]], "f4") if cols[n].dtype == object else cols[n]
 
     parts = _write_parts(df.orderBy("pid").select(*dict.fromkeys(wanted)), dtype, pack, _folder(path))
     count = sum(p[1] for p in parts)
     head = bytearray(227)
     head[:4], head[24], head[25] = b"LASF", 1, 2
-    struct.pack_into("<HIIBHI5I", head, 94, 227, 227, 0, 3, dtype.itemsize, count, count, 0, 0, 0, 0)
+    named = b"".join(struct.pack("<2xBB32s156x", 9, 0, n.encode()[:32]) for n in extra)
+    block = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(named), b"Extra bytes") + named if extra else b""
+    struct.pack_into("<HIIBHI5I", head, 94, 227, 227 + len(block), 1 if extra else 0, 3, dtype.itemsize, count, count, 0, 0, 0, 0)
     bounds = [v for c in "xyz" for v in (float(span[f"hi{c}"] or 0.0), float(span[f"lo{c}"] or 0.0))]
     struct.pack_into("<12d", head, 131, scale, scale, scale, *low, *bounds)
-    _join(parts, path, bytes(head))
+    _join(parts, path, bytes(head) + block)
     return count
 
 

@@ -211,15 +211,70 @@ def test_rule_order(spark):
     assert got == {1: 0, 2: -1, 3: 2, 4: 1}
 
 
-def test_config_and_parser():
-    c = config.override(config.DEFAULTS | {"reference": None}, ["reference.x=1", "features.scales=[5]"])
+def test_config_and_parser(tmp_path):
+    base = config.stack([config.paths_of(config.DEFAULTS), [(("reference",), None)]])
+    c = config.with_settings(base, ["reference.x=1", "features.scales=[5]", "data={voxel_size: 0.1}"])
     assert c["reference"] == {"x": 1} and c["features"]["scales"] == [5] and config.DEFAULTS["features"]["scales"] == [10, 30]
+    assert c["data"]["voxel_size"] == 0.1 and c["data"]["inputs"] == [] and c["features"]["dtm"] == config.DEFAULTS["features"]["dtm"]
+    assert config.with_settings({"a": {"b": 1}}, ["a=3", "c={}"]) == {"a": 3, "c": {}} and config.with_settings({"a": {"b": 1}}, ["a={}"]) == {"a": {"b": 1}}
     with pytest.raises(ValueError):
-        config.override({}, ["oops"])
-    for args in (["run", "-c", "a"], ["predict", "--checkpoint", "a", "--input", "b", "--output", "c"], ["demo"], ["evaluate", "-c", "a", "--checkpoint", "r"]):
+        config.with_settings({}, ["oops"])
+    config.save(c, str(tmp_path / "c.yaml"))
+    again = config.load(str(tmp_path / "c.yaml"), ["name=field"])
+    assert again["features"] == c["features"] and again["work_dir"] == "work/field"
+    for args in (["run", "-c", "a"], ["predict", "--checkpoint", "a", "--input", "b", "--output", "c", "--set", "infer.smooth_k=0"], ["demo"], ["evaluate", "-c", "a", "--checkpoint", "r"]):
         assert cli.build_parser().parse_args(args).command == args[0]
 
 
+def test_running_total(spark):
+    from standscan.operators.order import running_total
+
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.col("id").alias("v"))
+    got = {r["k"]: r["t"] for r in running_total(df, ["k"], F.col("v"), "t").collect()}
+    values = {i * 37 % 500: i for i in range(500)}
+    assert got == {k: sum(values[j] for j in range(k + 1)) for k in range(500)}
+    assert running_total(df.limit(0), ["k"], F.col("v"), "t").count() == 0
+
+
+def test_fill_of_a_wide_gap(spark):
+    df = spark.range(300).select(F.col("id").alias("i"), F.lit(0).cast("bigint").alias("j"), F.when(F.col("id").isin(0, 1, 299), F.col("id").cast("double")).alias("z"))
+    got = {r["i"]: r["z"] for r in raster.fill_nearest(df).collect()}
+    assert got == {i: 0.0 if i == 0 else 1.0 if i <= 150 else 299.0 for i in range(300)}
+
+
+def test_pairs_from_either_copied_side(spark):
+    rng = np.random.default_rng(12)
+    a, b = cloud(spark, rng.uniform(0, 3, (60, 3))), cloud(spark, rng.uniform(0, 3, (80, 3)))
+    one, other = ({tuple(r) for r in neighbours.pairs_within(a, b, 0.7, copy_left=c).collect()} for c in (False, True))
+    assert one == other and one
+
+
+def test_painting_and_reference_stumps(spark):
+    df = cloud(spark, [(0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0)]).withColumns({"hag": F.col("x") * 0.1, "label": F.lit(1), "instance": F.lit(9).cast("bigint")})
+    files = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (1, 1, 1.0, 0.0, 0.0), (2, 1, 1.001, 0.0, 0.0)], "pid long, file_ix int, x double, y double, z double")
+    everything = spark.createDataFrame([(0, 0, float(i), 0.0, 0.0) for i in range(3)], "pid long, file_ix int, x double, y double, z double").withColumn("pid", F.col("x").cast("long"))
+    out = labels.paint_reference(df, [(everything, 0, 0.1), labels.Source(files, 1, 0.1, None, True), labels.Source(everything, 2, 0.1, 0.15)])
+    assert [(r["ref_label"], r["ref_instance"]) for r in out.orderBy("pid").collect()] == [(1, 0), (1, 1), (2, -1), (-1, -1)]
+    swapped = labels.stumps_from_reference(out, 1, 1, 2).orderBy("pid").collect()
+    assert [(r["label"], r["instance"]) for r in swapped] == [(1, 0), (1, 1), (2, -1), (2, -1)]
+    report = labels.reference_report(out, {1: 1}, 3)
+    assert report["ignored_fraction"] == 0.0 and report["points"]["per_class"][1]["recall"] == 1.0
+    assert len(metrics.as_text(report["points"], ["a", "b", "c"]).splitlines()) == 5
+    ref = df.select("pid", "x", "y", "z", F.lit(1).alias("label"))
+    assert labels.compare_with_reference(df, ref, {1: 1}, 3)["matched_fraction"] == 1.0
+
+
+def test_selection_and_spread(spark):
+    from standscan.operators import models
+
+    df = cloud(spark, [(float(i), 0, 0) for i in range(6)]).withColumns({"bx": F.lit(0), "by": F.lit(0)})
+    assert points.subset(df, df.where("pid > 3")).count() == 2
+    assert points.select_features(df, ["x"]).columns == ["pid", "x"]
+    with pytest.raises(KeyError):
+        points.select_features(df, ["no"])
+    assert [r["pid"] for r in models.farthest_points(df, 3).orderBy("rank").collect()] == [0, 5, 2]
+
+
 def test_matching_of_a_long_chain(spark):
     n = 260
     chain = lambda shift: spark.createDataFrame([(i, i + shift, 0.0) for i in range(n)], "id long, x double, y double")

@@ -26,6 +26,31 @@ def test_las_round_trip(spark, tmp_path):
         sinks.write_cloud(df, str(tmp_path / "a.laz"))
 
 
+def test_las_of_newer_formats_and_extra_bytes(spark, tmp_path):
+    import struct
+
+    from standscan.sources.layouts import LAS_BASE_6, LAS_EXTRA_6
+
+    dtype = np.dtype(LAS_BASE_6 + LAS_EXTRA_6[7])
+    records = np.zeros(3, dtype)
+    records["X"], records["returns"], records["classification"], records["red"] = [1, 2, 3], [0x21, 0x32, 0xF1], [2, 6, 200], [65535, 0, 0]
+    head = bytearray(375)
+    head[:4], head[24], head[25] = b"LASF", 1, 4
+    struct.pack_into("<HIIBHI", head, 94, 375, 375, 0, 7, dtype.itemsize, 0)
+    struct.pack_into("<6d", head, 131, 0.5, 0.5, 0.5, 10.0, 0.0, 0.0)
+    struct.pack_into("<Q", head, 247, 3)
+    (tmp_path / "new.las").write_bytes(bytes(head) + records.tobytes())
+    got = clouds.read_cloud(spark, str(tmp_path / "new.las")).orderBy("x").collect()
+    assert [(r["x"], r["return_number"], r["number_of_returns"], r["classification"]) for r in got] == [(10.5, 1, 2, 2), (11.0, 2, 3, 6), (11.5, 1, 15, 200)]
+    df = spark.createDataFrame([(i, 1.0 * i, 0.0, 0.0, 1, 0.5 * i) for i in range(4)], "pid long, x double, y double, z double, pred int, hag float")
+    sinks.write_cloud(df, str(tmp_path / "b.las"), "pred")
+    raw = (tmp_path / "b.las").read_bytes()
+    offset, blocks, width = struct.unpack_from("<I", raw, 96)[0], struct.unpack_from("<I", raw, 100)[0], struct.unpack_from("<H", raw, 105)[0]
+    assert blocks == 1 and b"LASF_Spec" in raw[:offset] and raw[227 + 54 + 4 : 227 + 54 + 7] == b"hag"
+    assert [struct.unpack_from("<f", raw, offset + i * width + width - 4)[0] for i in range(4)] == [0.0, 0.5, 1.0, 1.5]
+    assert clouds.read_cloud(spark, str(tmp_path / "b.las")).count() == 4
+
+
 def test_text_pcd_npy(spark, tmp_path):
     (tmp_path / "a.txt").write_text("//X;Y;Z;R;G;B;Stump1\n1;2;3;255;0;0;7\n4;5;6;0;128;0;8\n")
     got = clouds.read_cloud(spark, str(tmp_path / "a.txt")).orderBy("pid").collect()
@@ -50,8 +75,13 @@ def test_forest_and_render(spark, tmp_path):
     df, centres = synthetic.make_forest(spark, 10, 3, 1, 1, 50)
     assert len(centres) == 3 and {r["label"] for r in df.select("label").distinct().collect()} == {0, 1, 2}
     assert df.count() == df.select("pid").distinct().count()
+    stump = df.where("instance = 1").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.max(F.hypot(F.col("x") - centres[1][0], F.col("y") - centres[1][1])).alias("r")).first()
+    assert np.hypot(stump["x"] - centres[1][0], stump["y"] - centres[1][1]) < 0.05 and 0.15 <= stump["r"] <= 0.36
     render.render(df, "label", str(tmp_path / "a.png"), width=300)
     assert (tmp_path / "a.png").read_bytes()[:4] == b"\x89PNG" and (tmp_path / "a.png").stat().st_size > 3000
+    marks = spark.createDataFrame([(float(x), float(y)) for x, y in centres], "x double, y double")
+    render.render(df, "label", str(tmp_path / "c.png"), width=300, classes=["ground", "stump", "other"], instances=marks)
+    assert (tmp_path / "c.png").read_bytes() != (tmp_path / "a.png").read_bytes() and b"stump" in (tmp_path / "c.png.json").read_bytes()
     with pytest.raises(KeyError):
         render.render(df, "nothing", str(tmp_path / "b.png"))
 
