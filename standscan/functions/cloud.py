@@ -22,8 +22,12 @@ def events_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portable_hash(col: str | Column, seed: int = 0) -> Column:
-    """An integer hash that other SQL engines can repeat; ``col`` must not be negative."""
-    c = F.col(col) if isinstance(col, str) else col
+    """An integer hash that other SQL engines can repeat; ``col`` must not be negative.
+
+    Numbers from 2**31 on are folded below it first, so that no product leaves 64 bits.
+    """
+    c = (F.col(col) if isinstance(col, str) else col).cast("bigint")
+    c = (c % F.lit(1 << 31) + F.shiftright(F.abs(c), 31) * F.lit(40503)) % F.lit(1 << 31)
     return (c * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(4294967296)
 
 

@@ -226,6 +226,15 @@ def test_config_and_parser(tmp_path):
         assert cli.build_parser().parse_args(args).command == args[0]
 
 
+def test_hash_of_large_ids(spark):
+    from standscan.functions.cloud import portable_hash
+
+    ids = [0, 7, (1 << 31) - 1, 1 << 31, 5 << 40, (1 << 62) + 9]
+    got = [r["h"] for r in spark.createDataFrame([(i,) for i in ids], "pid long").select("pid", portable_hash("pid", 3).alias("h")).orderBy("pid").collect()]
+    fold = [(i % (1 << 31) + (i >> 31) * 40503) % (1 << 31) for i in ids]
+    assert got == [(f * 2654435761 + 3 * 40503) % (1 << 32) for f in fold]
+
+
 def test_running_total(spark):
     from standscan.operators.order import running_total
 
