@@ -559,3 +559,18 @@ def test_pipeline(spark):
         assert left <= ids and (k == 4 or df.columns == all_docs.columns)
         ids = left
     assert {r["doc_id"] for r in cp.run(spark, sf).collect()} == ids
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, an empty table, repeated rows and clashing columns pass through the filtering stages."""
+    import corpus_pipeline as cp
+
+    calm = "the river is under the stone house and the tree with a wide path of green grass by it that was here for long"
+    df = docs(spark, [calm, calm, None, "", "## buy", calm + " again and more"], [1, 1, 2, None, 4, None])
+    df.select("doc_id", F.lit(1).alias("quality")).where("doc_id is not null").distinct().write.parquet(str(tmp_path / "labels.parquet"))
+    for given, most in ((df, 6), (df.limit(0), 0)):
+        left = given
+        for _, stage in cp.STAGES[:-1]:
+            left = cp.materialise(stage(spark, left, str(tmp_path)), "test-odd")
+            assert left.columns == df.columns and left.count() <= most
+        assert cp.STAGES[-1][1](spark, left, str(tmp_path)).columns[0] == "doc_id"
