@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the next one's documents. Stages are
 written as Parquet in between, which cuts the lineage.
+
+Defined results, for all stages: an empty table gives an empty one. Extra columns of the
+documents are carried along, whatever their names, up to the last stage. Repeated rows are
+judged alike; the join keeps one of them. Null and empty texts are scored by the classifier's
+bias, fail the rules and so end there. Rows with a null id are judged by their text. Texts of
+any length are used whole.
 """
 
 from __future__ import annotations
@@ -11,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standscan.llm import bpe, classifier, jaccard, mixing, quality_rules
+from standscan.llm.batches import small_batches
 from standscan.llm.queries import VOCABULARY, fold
 from standscan.session import materialise, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier scores below its cut."""
+    small_batches(spark)
     model = classifier.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     columns = {f"c{i}": F.col(c) for i, c in enumerate(docs.columns)}
     scored = classifier.score(docs.withColumn("ss_id", F.lit(0)), model, id_col="ss_id", extra=columns)
@@ -25,11 +33,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the rule table rejects."""
-    return quality_rules.judge(docs, keep=tuple(c for c in docs.columns if c != "doc_id")).where("kept").select(*docs.columns)
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that clash with no statistic
+    named = docs.select(*[F.col(c).alias(n) for c, n in own.items()])
+    judged = quality_rules.judge(named, id_col=own["doc_id"], text=own["text"], keep=tuple(n for c, n in own.items() if c != "doc_id"))
+    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
+    small_batches(spark)
     return jaccard.one_per_class(docs)
 
 
@@ -40,6 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the remaining documents, and their digests after decoding."""
+    small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
