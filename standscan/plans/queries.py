@@ -173,14 +173,16 @@ def knn_density(spark, sf_dir):
     return shape.shape_expressions(shape.patch_moments(cloud, near, 10)).select("pid", F.round("density", 6).alias("density"))
 
 
-@query(f"""with {CLOUD_SQL}, {KNN},
-m as (select k.pid, count(*)::double as n, sum(q.x - p.x) as sx, sum(q.y - p.y) as sy, sum(q.z - p.z) as sz, sum((q.x-p.x)**2) as sxx, sum((q.x-p.x)*(q.y-p.y)) as sxy, sum((q.x-p.x)*(q.z-p.z)) as sxz,
+EIGEN = """m as (select k.pid, count(*)::double as n, sum(q.x - p.x) as sx, sum(q.y - p.y) as sy, sum(q.z - p.z) as sz, sum((q.x-p.x)**2) as sxx, sum((q.x-p.x)*(q.y-p.y)) as sxy, sum((q.x-p.x)*(q.z-p.z)) as sxz,
   sum((q.y-p.y)**2) as syy, sum((q.y-p.y)*(q.z-p.z)) as syz, sum((q.z-p.z)**2) as szz from knn k join cloud p on p.pid = k.pid join cloud q on q.pid = k.nid group by k.pid),
 c as (select pid, sxx/n-(sx/n)*(sx/n) as xx, sxy/n-(sx/n)*(sy/n) as xy, sxz/n-(sx/n)*(sz/n) as xz, syy/n-(sy/n)*(sy/n) as yy, syz/n-(sy/n)*(sz/n) as yz, szz/n-(sz/n)*(sz/n) as zz from m),
 q as (select *, (xx+yy+zz)/3 as q from c), p as (select *, sqrt(((xx-q)**2+(yy-q)**2+(zz-q)**2+2*(xy**2+xz**2+yz**2))/6) as p from q),
 r as (select *, case when p > 0 then ((xx-q)*((yy-q)*(zz-q)-yz*yz)-xy*(xy*(zz-q)-yz*xz)+xz*(xy*yz-(yy-q)*xz))/(2*p*p*p) else 0 end as r from p),
 l as (select pid, q, q+2*p*cos(acos(greatest(-1.0, least(1.0, r)))/3) as l1, q+2*p*cos(acos(greatest(-1.0, least(1.0, r)))/3+2.0943951023931953) as l3 from r),
-e as (select pid, greatest(l1, 1e-12) as l1, greatest(3*q-l1-l3, 1e-12) as l2, greatest(l3, 1e-12) as l3 from l)
+e as (select pid, greatest(l1, 1e-12) as l1, greatest(3*q-l1-l3, 1e-12) as l2, greatest(l3, 1e-12) as l3 from l)"""
+
+
+@query(f"""with {CLOUD_SQL}, {KNN}, {EIGEN}
 select pid, round((l1-l2)/l1, 4) as linearity, round((l2-l3)/l1, 4) as planarity, round(l3/l1, 4) as scattering, round(l3/(l1+l2+l3), 4) as curvature from e""")
 def eigen_features(spark, sf_dir):
     cloud = events_cloud(spark, sf_dir)
@@ -189,6 +191,27 @@ def eigen_features(spark, sf_dir):
     return made.select("pid", *[F.round(c, 4).alias(c) for c in ("linearity", "planarity", "scattering", "curvature")])
 
 
+def _cross(a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
+    return ", ".join(f"({a[i]})*({b[j]})-({a[j]})*({b[i]}) as {c}" for c, i, j in (("cx", 1, 2), ("cy", 2, 0), ("cz", 0, 1)))
+
+
+ROWS = [("xx-l3", "xy", "xz"), ("xy", "yy-l3", "yz"), ("xz", "yz", "zz-l3")]
+
+
+@query(f"""with {CLOUD_SQL}, {KNN}, {EIGEN},
+g as (select c.*, l.l3, m.sx/m.n as mx, m.sy/m.n as my, m.sz/m.n as mz from c join l using (pid) join m using (pid)),
+three as ({" union all ".join(f"select pid, mx, my, mz, {_cross(ROWS[i], ROWS[j])} from g" for i, j in ((0, 1), (0, 2), (1, 2)))}),
+long as (select *, row_number() over (partition by pid order by cx*cx+cy*cy+cz*cz desc, cx desc, cy desc, cz desc) as k from three),
+d as (select pid, mx, my, mz, sqrt(cx*cx+cy*cy+cz*cz) as len, cx, cy, cz from long where k = 1),
+u as (select pid, mx, my, mz, case when len > 0 then cx/len else 0 end as dx, case when len > 0 then cy/len else 0 end as dy, case when len > 0 then cz/len else 1 end as dz from d)
+select pid, round(1 - abs(dz), 4) as verticality, round(abs(dz), 4) as normal_z, round(abs(mx*dx + my*dy + mz*dz), 3) as roughness from u""")
+def normal_features(spark, sf_dir):
+    cloud = events_cloud(spark, sf_dir)
+    near = neighbours.k_nearest(cloud, cloud, 10, 400)
+    made = shape.shape_expressions(shape.patch_moments(cloud, near, 10))
+    return made.select("pid", *[F.round(c, n).alias(c) for c, n in (("verticality", 4), ("normal_z", 4), ("roughness", 3))])
+
+
 RADIUS = "(a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2"
 
 

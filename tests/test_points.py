@@ -205,6 +205,25 @@ def test_ransac_recovers_a_turn(spark):
     assert hits == 15 and np.abs(src @ flat[:2, :2].T + flat[:2, 2] - dst).max() < 0.1
 
 
+def test_pairs_in_blocks(monkeypatch):
+    rng = np.random.default_rng(12)
+    xy = rng.uniform(0, 30, (60, 2))
+    gap = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    want = {(int(p), int(q)) for p, q in np.argwhere(np.abs(gap - 9) < 0.3) if p != q}
+    for cells in (1, 200, 1 << 20):
+        monkeypatch.setattr(register, "BLOCK_CELLS", cells)
+        assert set(map(tuple, register._pairs_of_length(xy, 9.0, 0.3, 10_000, rng).tolist())) == want
+        few = register._pairs_of_length(xy, 9.0, 0.3, 20, rng).tolist()
+        assert len(few) == 20 and set(map(tuple, few)) <= want
+        assert register._hits(xy[:30] + 0.1, xy, 0.2) == 30
+    kept = register.thin_centres(xy, 4.0)
+    plain = []
+    for p in xy:
+        if all(np.hypot(*(p - q)) > 4.0 for q in plain):
+            plain.append(p)
+    assert np.array_equal(kept, np.array(plain))
+
+
 def test_rule_order(spark):
     df = spark.createDataFrame([(1, -0.5, -1), (2, 0.15, -1), (3, 0.5, -1), (4, 0.05, 0)], "pid long, hag double, instance long")
     got = {r["pid"]: r["label"] for r in labels.rule_labels(df, ["ground", "stump", "other"], 0.12, 0.08).collect()}
