@@ -7,9 +7,12 @@ dropped. Colours are scaled by the largest value of their file to ``rgb`` in 0 t
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import os
+import zipfile
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from standscan.operators.points import crop, finite, union_common
 from standscan.sources.layouts import LAYOUTS, Layout, clean_name, columns
 
 FILE_STEP = 1 << 44
+NPZ_ROWS = 1 << 20  # rows of an archive that one task reads
 TEXT = ("txt", "csv", "asc", "xyz", "pts")
 
 
@@ -161,19 +166,76 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return df.select("row", *[n for n in names if n in "xyz" or seen[n]])
 
 
-def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """Arrays of one file; an ``xyz`` array passes through with the columns as long as it."""
-    with _open(path) as handle:
-        arrays = dict(np.load(handle))
-    if "xyz" in arrays:
-        xyz = arrays.pop("xyz")
-        made = {c: xyz[:, k].astype("f8") for k, c in enumerate("xyz")}
+@dataclass(frozen=True)
+class _Array:
+    """Where a column lies in a member of an archive: its first value, and the values from row to row."""
+
+    member: str
+    start: int
+    first: int
+    step: int
+    dtype: np.dtype
+
+
+def _npz_members(path: str) -> dict[str, tuple[int, tuple, bool, np.dtype]]:
+    """``(start of the data, shape, column-major, type)`` of every array, from the headers alone."""
+    found = {}
+    with _open(path) as handle, zipfile.ZipFile(handle) as packed:
+        for member in packed.namelist():
+            with packed.open(member) as body:
+                version = np.lib.format.read_magic(body)
+                head = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+                shape, column_major, dtype = head(body)
+                found[member] = (body.tell(), shape, column_major, dtype)
+    return found
+
+
+def _npz_columns(path: str) -> tuple[dict[str, _Array], int]:
+    """The columns of the file and its number of points."""
+    found, made = _npz_members(path), {}
+    named = {m.removesuffix(".npy"): m for m in found}
+    if "xyz" in named:
+        start, shape, column_major, dtype = found[named.pop("xyz")]
+        n = shape[0]
+        made = {c: _Array("xyz.npy", start, k * n if column_major else k, 1 if column_major else shape[1], dtype) for k, c in enumerate("xyz")}
     else:
-        arrays = {clean_name(k): v for k, v in arrays.items()}
-        made = {c: arrays.pop(c).astype("f8") for c in "xyz"}
-    n = len(made["x"])
-    made |= {k: v for k, v in arrays.items() if v.ndim == 1 and len(v) == n and v.dtype.kind in "iuf"}
-    return spark.createDataFrame(pa.table({"row": np.arange(n), **made}))
+        named = {clean_name(k): m for k, m in named.items()}
+        n = found[named["x"]][1][0]
+    for name, member in named.items():
+        start, shape, _, dtype = found[member]
+        if shape == (n,) and dtype.kind in "iuf" and name not in made:
+            made[name] = _Array(member, start, 0, 1, dtype)
+    return made, n
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """Arrays of one file; an ``xyz`` array passes through with the columns as long as it.
+
+    The driver reads the arrays' headers; tasks read ranges of rows. In a compressed file a
+    task inflates, piece by piece, what lies before its range.
+    """
+    held, n = _npz_columns(path)
+    kinds = {name: T.DoubleType() if name in tuple("xyz") else _spark_type(at.dtype) for name, at in held.items()}
+    schema = T.StructType([T.StructField("row", T.LongType()), *[T.StructField(k, t) for k, t in kinds.items()]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        with contextlib.ExitStack() as stack:
+            # A file of its own for each column: members of one open archive disturb each other's relative seeks.
+            packed = {name: stack.enter_context(zipfile.ZipFile(stack.enter_context(_open(path)))) for name in held}
+            bodies = {name: stack.enter_context(packed[name].open(at.member)) for name, at in held.items()}
+            for batch in batches:
+                rows = batch.column("id")
+                if not len(rows):
+                    continue
+                columns = [rows]
+                for (name, at), field in zip(held.items(), list(arrow)[1:], strict=True):
+                    bodies[name].seek(at.start + (at.first + rows[0].as_py() * at.step) * at.dtype.itemsize)
+                    raw = bodies[name].read(((len(rows) - 1) * at.step + 1) * at.dtype.itemsize)
+                    columns.append(pa.array(np.frombuffer(raw, at.dtype)[:: at.step].astype(field.type.to_pandas_dtype())))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return spark.range(0, n, 1, max(1, -(-n // NPZ_ROWS))).mapInArrow(run, schema)
 
 
 def _scaled_colours(df: DataFrame) -> DataFrame:

@@ -71,6 +71,24 @@ def test_text_pcd_npy(spark, tmp_path):
         clouds.read_cloud(spark, "a.unknown")
 
 
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_npz_in_many_tasks(spark, tmp_path, monkeypatch, save):
+    rng = np.random.default_rng(3)
+    xyz, n = rng.normal(0, 9, (25_000, 3)), 25_000
+    more = {"intensity": rng.integers(0, 60_000, n).astype("u2"), "hag": rng.normal(0, 1, n).astype(">f4"), "short": np.arange(3), "flat": np.ones((n, 2))}
+    monkeypatch.setattr(clouds, "NPZ_ROWS", 7000)
+    for name, arrays in (("c", {"xyz": xyz}), ("f", {"xyz": np.asfortranarray(xyz)}), ("s", {"X": xyz[:, 0], "Y": xyz[:, 1], "Z": xyz[:, 2]})):
+        save(tmp_path / f"{name}.npz", **arrays, **more)
+        df = clouds.read_npz(spark, str(tmp_path / f"{name}.npz"))
+        assert df.rdd.getNumPartitions() == 4
+        got = df.orderBy("row").toPandas()
+        assert set(got.columns) == {"row", "x", "y", "z", "intensity", "hag"} and np.array_equal(got["row"], np.arange(n))
+        assert np.array_equal(got[["x", "y", "z"]].to_numpy(), xyz)
+        assert np.array_equal(got["intensity"], more["intensity"]) and np.array_equal(got["hag"], more["hag"].astype("f4"))
+    save(tmp_path / "none.npz", xyz=np.empty((0, 3)))
+    assert clouds.read_cloud(spark, str(tmp_path / "none.npz")).count() == 0
+
+
 def test_forest_and_render(spark, tmp_path):
     df, centres = synthetic.make_forest(spark, 10, 3, 1, 1, 50)
     assert len(centres) == 3 and {r["label"] for r in df.select("label").distinct().collect()} == {0, 1, 2}
