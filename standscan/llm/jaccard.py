@@ -21,7 +21,8 @@ than ``width`` words is one shingle of all its words; one without words has no s
 no link, and is a class of its own. The result has one row per input row: ``class_id`` is
 the smallest id of its class (null only if all its ids are null), ``n_links`` the number
 of other rows whose similarity is at least the threshold, equal texts included. Repeated
-rows count as rows. Texts of any length are used whole.
+rows count as rows. Texts of any length are used whole. An empty table gives an empty one;
+extra columns are not read, and :func:`one_per_class` carries them along whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from standscan.llm.batches import slices
+from standscan.llm.columns import numbered, restored
 from standscan.operators.components import connected_components
 from standscan.session import materialise
 
@@ -333,7 +335,10 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     """The rows of ``docs`` with one row of each class: the smallest id, then the smallest digest.
 
     Rows without words are kept, as they are in no class. A null id counts as the largest.
+    Columns may have any names.
     """
+    docs, own = numbered(docs)
+    id_col, text = own[id_col], own[text]
     rows, classes = link_classes(docs, id_col, text, width, threshold, recall)
     pick = F.min(F.struct(F.col("ss_rep").isNull().alias("last"), F.col("ss_rep").alias("rep"), F.col("ss_key").alias("key"))).alias("p")
     chosen = classes.where("not ss_empty").groupBy("ss_root").agg(pick).select(F.col("p.key").alias("ss_key"), F.col("p.rep").alias("ss_rep"))
@@ -348,4 +353,4 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     kept = _probe(keyed, "ss_k", contested, "leftsemi").join(chosen, (F.col("ss_k") == F.col("ss_key")) & F.col(id_col).eqNullSafe(F.col("ss_rep")))
     single = kept.where("not ss_twice").select(*docs.columns)
     repeated = kept.where("ss_twice").dropDuplicates(["ss_k"]).select(*docs.columns)
-    return alone.unionByName(single).unionByName(repeated).unionByName(docs.where(~words))
+    return restored(alone.unionByName(single).unionByName(repeated).unionByName(docs.where(~words)), own)

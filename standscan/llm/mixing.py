@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from standscan.llm.columns import numbered, restored
 from standscan.session import materialise
 
 NULL, REST = "(null)", "(rest)"
@@ -183,8 +184,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, tem
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5, keep_share: float = 0.5, seed: int = 17, id_col: str = "doc_id", text: str = "text", topic: str | None = None, strict: bool = False) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns."""
-    plan = make_plan(docs.select("source", "lang", _topic(text, topic).alias("topic"), token_count(text).alias("n_tokens")), targets, temper, keep_share, strict=strict)
-    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": _topic(text, topic)}
+    """The sampled rows of ``docs`` with all their columns, whatever their names."""
+    docs, own = numbered(docs)
+    id_col, text = own[id_col], own[text]
+    columns = {"source": F.col(own["source"]), "lang": F.col(own["lang"]), "topic": _topic(text, own[topic] if topic else None)}
+    plan = make_plan(docs.select(*[c.alias(d) for d, c in columns.items()], token_count(text).alias("n_tokens")), targets, temper, keep_share, strict=strict)
     out = probability(docs, plan, columns, "ss_p")
-    return out.where(draw(id_col, text, seed) < F.col("ss_p")).select(*docs.columns)
+    return restored(out.where(draw(id_col, text, seed) < F.col("ss_p")), own)
