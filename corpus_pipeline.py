@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from standscan.llm import bpe, classifier, jaccard, mixing, quality_rules
 from standscan.llm.batches import small_batches
+from standscan.llm.columns import numbered, restored
 from standscan.llm.queries import VOCABULARY, fold
 from standscan.session import materialise, table
 
@@ -26,17 +27,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Drop documents that the classifier scores below its cut."""
     small_batches(spark)
     model = classifier.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
-    columns = {f"c{i}": F.col(c) for i, c in enumerate(docs.columns)}
-    scored = classifier.score(docs.withColumn("ss_id", F.lit(0)), model, id_col="ss_id", extra=columns)
-    return scored.where("predicted = 1").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    named, own = numbered(docs)
+    rest = {n: F.col(n) for c, n in own.items() if c != "doc_id"}
+    scored = classifier.score(named, model, id_col=own["doc_id"], text=own["text"], extra=rest)
+    return restored(scored.where("predicted = 1"), own)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the rule table rejects."""
-    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that clash with no statistic
-    named = docs.select(*[F.col(c).alias(n) for c, n in own.items()])
+    named, own = numbered(docs)
     judged = quality_rules.judge(named, id_col=own["doc_id"], text=own["text"], keep=tuple(n for c, n in own.items() if c != "doc_id"))
-    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
+    return restored(judged.where("kept"), own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
