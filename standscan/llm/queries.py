@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standscan.llm import bpe, classifier, jaccard, langid, licenses, mixing, quality_rules, topk, url_filter, warc
+from standscan.llm import bpe, classifier, jaccard, langid, licenses, mixing, quality_rules, topk, url_filter, warc, wavelet
 from standscan.llm.batches import small_batches
 from standscan.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
+END_ID = 2
 
 
 def fold(id_col: str, folds: int):
@@ -78,6 +80,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of the ids of every whole text, read back from the shards. Null and empty texts have the end id alone."""
+    manifest = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), END_ID)
+    return wavelet.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +96,7 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_salvage, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_url_filter, op6_mixing, op7_quality_classifier, op8_license_scan, op9_exact_topk, op10_jaccard_join)
+    found = (op1_warc_salvage, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_url_filter, op6_mixing, op7_quality_classifier, op8_license_scan, op9_exact_topk, op10_jaccard_join, op11_wavelet_shards)
     return {f.__name__: _bounded(f) for f in found}
 
 
