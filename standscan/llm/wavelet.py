@@ -20,9 +20,9 @@ one file :class:`Shard` gives the id at a place (:meth:`Shard.access`), the occu
 to a place (:meth:`Shard.rank`) or in a range (:meth:`Shard.count`), their places
 (:meth:`Shard.occurrences`), all in a read per plane and block, and all ids (:meth:`Shard.decode`).
 
-Texts are encoded by the tokenizers library, piece by piece: pieces between ASCII white space
-are encoded once a task and remembered. Normalisation, splitting and merges never cross ASCII
-white space, so the ids are those of the whole text. Invalid UTF-8 is read as U+FFFD.
+Texts are encoded by the tokenizers library. With a tokenizer whose normalisation, splitting and
+merges never cross ASCII white space, pieces between it are encoded once a worker and remembered,
+so the ids are those of the whole text. Invalid UTF-8 is read as U+FFFD.
 
 Defined results: null and empty texts, and those of white space, have the end id alone. A null
 id comes before all others; rows that share an id are ordered by a hash of their texts, then by
@@ -33,9 +33,13 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -63,13 +67,13 @@ MANIFEST = "part int, seq int, path string, documents bigint, tokens bigint, byt
 
 def pack(ids: np.ndarray, planes: int, documents: pa.Table) -> bytes:
     """The file of ``ids``, which must be below ``2 ** planes``."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     n, step = len(ids), BLOCK // 8
     blocks = -(-n // BLOCK)
     parts, at = [MAGIC], len(MAGIC)
     zeros, ends, ones = np.zeros(planes, "<i8"), np.zeros((planes, blocks), "<i8"), np.zeros((planes, blocks + 1), "<i8")
     for row, k in enumerate(reversed(range(planes))):
-        bit = ((ids >> k) & 1).astype(bool)
+        bit = (ids & ids.dtype.type(1 << k)) != 0
         packed = np.packbits(bit)
         starts = np.arange(0, len(packed), step)
         ones[row, 1:] = np.cumsum(np.add.reduceat(np.bitwise_count(packed), starts, dtype="i8")) if n else []
@@ -139,12 +143,12 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up: each plane tells how the order below it came about."""
-        ids = np.zeros(self.n, "<u4")
+        ids = np.zeros(self.n, "u2" if self.planes <= 16 else "u4")
         for plane in reversed(range(self.planes)) if self.n else ():
             bit = self._plane(plane)
             above, z = np.empty_like(ids), int(self.zeros[plane])
             above[~bit] = ids[:z]
-            above[bit] = ids[z:] | np.uint32(1 << (self.planes - 1 - plane))
+            above[bit] = ids[z:] | ids.dtype.type(1 << (self.planes - 1 - plane))
             ids = above
         return ids
 
@@ -225,36 +229,99 @@ def open_shard(path: str) -> Shard:
 
 # ---------------------------------------------------------------- encoding
 
+# The normaliser and splitter of tokenizers whose words never cross white space.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Letters of ASCII and Latin-1, whose forms NFC keeps, and the ASCII marks but the apostrophe.
+plain_word = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
 
 class PieceEncoder:
-    """Ids of whole texts as bytes, through the library once for each piece between ASCII white space."""
+    """Ids of whole texts as bytes, through the library once for each piece between ASCII white space.
+
+    This holds for tokenizers of the form ``BY_WORDS`` alone; with any other one, texts go to the
+    library whole. Pieces of up to 64 bytes are remembered in two generations of at most
+    ``max_pieces`` each; when the young one is full, what was not met in it is forgotten. A piece of
+    Latin-1 letters and ASCII marks after them is one word to normaliser and splitter: its letters in
+    lower case go to the library's model without these, its marks through the whole tokenizer.
+    """
 
-    def __init__(self, vocabulary: str, max_pieces: int = 200_000) -> None:
+    def __init__(self, vocabulary: str, max_pieces: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool = Tokenizer.from_file(vocabulary)
+        told = json.loads(self.tool.to_str())
+        self.by_words = told["model"]["type"] == "BPE" and {k: told[k] for k in BY_WORDS} == BY_WORDS
+        self.model = self.tool.model
         self.planes = max(1, (self.tool.get_vocab_size() - 1).bit_length())
-        self.dtype = np.dtype("<u2" if self.planes <= 16 else "<u4")
+        self.dtype = np.dtype("u2" if self.planes <= 16 else "u4")
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelt = {c: as_bytes(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.max_pieces = max_pieces
-        self.known: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.dtype.char, ids).tobytes()
+
+    def _whole(self, pieces: list[bytes]) -> list[bytes]:
+        coded = self.tool.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
+        return [self._packed(c.ids) for c in coded]
+
+    def _word(self, letters: bytes, marks: bytes) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {b"": b""}
+            self.marks[marks] = self._whole([marks])[0]
+        spelt = letters.decode().lower()
+        if not spelt.isascii():
+            spelt = spelt.translate(self.spelt)
+        return self._packed([t.id for t in self.model.tokenize(spelt)]) + self.marks[marks]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        if len(self.known) > self.max_pieces:
-            self.known.clear()
+        if not self.by_words:
+            return self._whole([t or b"" for t in texts])
+        if len(self.young) > self.max_pieces:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
         split = [(t or b"").split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        coded = self.tool.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        made = {p: np.array(c.ids, self.dtype).tobytes() for p, c in zip(new, coded, strict=True)}
-        self.known |= {p: ids for p, ids in made.items() if len(p) <= 64}
-        known = self.known if len(made) == sum(len(p) <= 64 for p in made) else self.known | made
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        new = set().union(*split).difference(young)
+        others = []
+        for p in new:
+            if p in old:
+                young[p] = old[p]
+            elif m := plain_word(p):
+                young[p] = self._word(m[1], m[2])
+            else:
+                others.append(p)
+        young.update(zip(others, self._whole(others), strict=True))
+        out = [b"".join(map(young.__getitem__, pieces)) for pieces in split]
+        for p in new:
+            if len(p) > 64:
+                del young[p]
+        return out
+
+
+@functools.lru_cache(1)
+def _encoder(vocabulary: str) -> PieceEncoder:
+    """A worker's encoder, for all its tasks."""
+    return PieceEncoder(vocabulary)
 
 
 def _writer(folder: str, vocabulary: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        encoder = PieceEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         if end_id >> encoder.planes:
             raise ValueError("the end id is beyond the vocabulary")
         end = np.array([end_id], encoder.dtype).tobytes()
@@ -343,7 +410,7 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id", id_type: str | None
         for first in range(0, listed.num_rows, 256):
             last = min(first + 256, listed.num_rows)
             cut = ends[first : last + 1]
-            whole = pa.array([ids[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            whole = pa.array([ids[a:z].astype("<u4").tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
             keys = listed["id"].slice(first, last - first).combine_chunks()
             columns = [keys, pa.array(start + cut[:-1]), pa.array(np.diff(cut)), whole]
             yield pa.RecordBatch.from_arrays(columns, names=["k", "start", "n_tokens", "ids"])

@@ -68,7 +68,7 @@ def library():
 odd = st.text(st.sampled_from(list("aAéÉ̈Σσς \t\n\r\x0b\x0c\x1c\x85\xa0  　İıß'sT1９·<|>endoftext‍\U0001f600\x00ﬁ`")), max_size=60)
 
 
-@given(st.lists(st.one_of(odd, st.text(max_size=40), st.just("x<|endoftext|> a"), st.just("y" * 200)), max_size=4))
+@given(st.lists(st.one_of(odd, st.text(max_size=40), st.just("x<|endoftext|> a"), st.just("y" * 200), st.text(st.sampled_from(list("AbCsÀÿßéÉ×÷µªºŸĳſ.,;:!?'<|>`~[]{}@ ")), max_size=30)), max_size=4))
 @settings(max_examples=300, deadline=None)
 def test_pieces_equal_whole_texts(library, texts):
     tool, encoder = library
@@ -76,6 +76,22 @@ def test_pieces_equal_whole_texts(library, texts):
     assert got == [tool.encode(t.encode("utf-8", "replace").decode(), add_special_tokens=False).ids for t in texts]
 
 
+def test_every_letter_and_mark_after_words(library):
+    tool, encoder = library
+    for c in [*range(1, 0x250), 0x1E9E, 0x3A3, 0x130, 0x212A]:
+        texts = [f"{chr(c)}", f"ab{chr(c)}cd", f"Ab{chr(c)}", f"{chr(c)}{chr(c)}Ab, {chr(c)}."]
+        got = [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode([t.encode() for t in texts])]
+        assert got == [tool.encode(t, add_special_tokens=False).ids for t in texts], hex(c)
+
+
+def test_other_tokenizers_take_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool, encoder = Tokenizer.from_file(path), wavelet.PieceEncoder(path)
+    assert not encoder.by_words
+    for t in ("two  words\n here", ""):
+        assert np.frombuffer(encoder.encode([t.encode()])[0], encoder.dtype).tolist() == tool.encode(t, add_special_tokens=False).ids
+
+
 def brute(rows, end=2):
     """``(id, start, n_tokens, crc)`` by the library over whole texts, one after another."""
     tool, at, out = Tokenizer.from_file(WORDS), 0, []
