@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standscan.llm import bpe, classifier, jaccard, langid, licenses, mixing, quality_rules, topk, url_filter, warc, wavelet
+from standscan.llm import bpe, classifier, divergence, jaccard, langid, licenses, merkle, mixing, quality_rules, topk, url_filter, warc, wavelet
 from standscan.llm.batches import small_batches
 from standscan.session import table
 
@@ -86,6 +86,17 @@ def op11_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of all sources of a language from each other, and the terms that set each apart. Nulls are ''."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and verdict of every document, after tampering with every third. Null fields are `-`."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered={"text": merkle.lowered("text")}, tamper=F.coalesce(fold("doc_id", 3) == 0, F.lit(False)))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +107,9 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_salvage, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_url_filter, op6_mixing, op7_quality_classifier, op8_license_scan, op9_exact_topk, op10_jaccard_join, op11_wavelet_shards)
+    found = (op1_warc_salvage, op2_byte_bpe, op3_language_id, op4_quality_rules, op5_url_filter, op6_mixing, op7_quality_classifier, op8_license_scan, op9_exact_topk, op10_jaccard_join, op11_wavelet_shards, op12_source_divergence, op13_merkle_manifest)
     return {f.__name__: _bounded(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_salvage": warc.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL}
+    return {"op1_warc_salvage": warc.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL, "op9_exact_topk": topk.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
