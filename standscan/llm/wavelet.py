@@ -244,6 +244,19 @@ BY_WORDS = {
 plain_word = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
+class _Pieces(dict):
+    """Ids by piece; long pieces are not kept."""
+
+    def __init__(self, encoder: PieceEncoder) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.encoder.piece(piece)
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Ids of whole texts as bytes, through the library once for each piece between ASCII white space.
 
@@ -254,7 +267,7 @@ class PieceEncoder:
     lower case go to the library's model without these, its marks through the whole tokenizer.
     """
 
-    def __init__(self, vocabulary: str, max_pieces: int = 300_000) -> None:
+    def __init__(self, vocabulary: str, max_pieces: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -268,7 +281,7 @@ class PieceEncoder:
         self.spelt = {c: as_bytes(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.max_pieces = max_pieces
         self.marks: dict[bytes, bytes] = {b"": b""}
-        self.young: dict[bytes, bytes] = {}
+        self.young = _Pieces(self)
         self.old: dict[bytes, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -278,6 +291,14 @@ class PieceEncoder:
         coded = self.tool.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
         return [self._packed(c.ids) for c in coded]
 
+    def piece(self, piece: bytes) -> bytes:
+        """The ids of a piece that the young generation lacks."""
+        ids = self.old.get(piece)
+        if ids is not None:
+            return ids
+        m = plain_word(piece)
+        return self._word(m[1], m[2]) if m else self._whole([piece])[0]
+
     def _word(self, letters: bytes, marks: bytes) -> bytes:
         if marks not in self.marks:
             if len(self.marks) > 10_000:
@@ -292,24 +313,9 @@ class PieceEncoder:
         if not self.by_words:
             return self._whole([t or b"" for t in texts])
         if len(self.young) > self.max_pieces:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        split = [(t or b"").split() for t in texts]
-        new = set().union(*split).difference(young)
-        others = []
-        for p in new:
-            if p in old:
-                young[p] = old[p]
-            elif m := plain_word(p):
-                young[p] = self._word(m[1], m[2])
-            else:
-                others.append(p)
-        young.update(zip(others, self._whole(others), strict=True))
-        out = [b"".join(map(young.__getitem__, pieces)) for pieces in split]
-        for p in new:
-            if len(p) > 64:
-                del young[p]
-        return out
+            self.old, self.young = self.young, _Pieces(self)
+        recall = self.young.__getitem__
+        return [b"".join(map(recall, (t or b"").split())) for t in texts]
 
 
 @functools.lru_cache(1)
