@@ -49,41 +49,42 @@ from standscan.session import materialise, new_path
 SCALE = 1_000_000_000
 #: Bytes that end a term become spaces, A to Z become a to z; all bytes beyond ASCII stay.
 SPELLING = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-MIN_DOCS, TOP_TERMS, SLICE_TERMS, ROUNDS, HELD = 3, 200, 1 << 14, 4, 200_000
+MIN_DOCS, TOP_TERMS, SLICE_TERMS, ROUNDS, HELD = 3, 200, 1 << 14, 4, 400_000
 
 
 # ---------------------------------------------------------------- counting
 
 
 def _counter(held: int):
-    """Partial ``(lang, source, term, n, docs)`` of a task, in portions of about ``held`` terms; null terms carry documents."""
+    """Partial ``(lang, source, term, n, docs)`` of a task, in portions of about ``held`` terms; null terms carry documents.
+
+    A term's two counts are one integer, the documents above the occurrences.
+    """
+    one, mask = 1 << 40, (1 << 40) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: defaultdict[tuple, Counter] = defaultdict(Counter)
-        docs: defaultdict[tuple, Counter] = defaultdict(Counter)
+        counts: defaultdict[tuple, dict] = defaultdict(dict)
         size = 0
 
         def portion() -> Iterator[pa.RecordBatch]:
             for (lang, source), own in counts.items():
-                have = docs[lang, source]
-                terms = list(own)
+                terms, values = list(own), list(own.values())
                 for at in range(0, len(terms), 1 << 14):
-                    part = terms[at : at + (1 << 14)]
-                    columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array([t.decode("utf-8", "replace") if t is not None else None for t in part], pa.string())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([own[t] for t in part], pa.int64()), pa.array([have[t] for t in part], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+                    part, both = terms[at : at + (1 << 14)], values[at : at + (1 << 14)]
+                    columns = [pa.repeat(lang, len(part)), pa.repeat(source, len(part)), pa.array(part, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([v & mask for v in both], pa.int64()), pa.array([v >> 40 for v in both], pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
         for batch in slices(batches):
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "t")), strict=True):
-                own, have = counts[lang, source], docs[lang, source]
-                before = len(own)
-                found = Counter(text.translate(SPELLING).split())
-                found[None] = 1
-                own.update(found)
-                have.update(found.keys())
+                own = counts[lang, source]
+                get, before = own.get, len(own)
+                for term, n in Counter(text.translate(SPELLING).split()).items():
+                    own[term] = get(term, 0) + n + one
+                own[None] = get(None, 0) + 1 + one
                 size += len(own) - before
                 if size >= held:
                     yield from portion()
-                    counts.clear(), docs.clear()
+                    counts.clear()
                     size = 0
         yield from portion()
 
@@ -94,8 +95,8 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """``(lang, source, term, n, docs)``; the row of a null term has the number of the group's documents."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).cast("binary").alias("t"))
-    parts = rows.mapInArrow(_counter(held), "lang string, source string, term string, n bigint, docs bigint")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    parts = rows.mapInArrow(_counter(held), "lang string, source string, term binary, n bigint, docs bigint")
+    return parts.select("lang", "source", F.col("term").cast("string").alias("term"), "n", "docs").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 # ---------------------------------------------------------------- arithmetic
@@ -152,15 +153,21 @@ def _cell_maker(top_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8):
             out = []
-            for row in batch.to_pylist():
-                terms = sorted(row["terms"] or [], key=lambda t: t["number"])
-                numbers, counts, overall = (np.array([t[c] for t in terms], "i8") for c in ("number", "n", "overall"))
-                best = []
-                if len(terms):
+            lists = batch.column("terms")
+            for i, row in enumerate(batch.drop_columns(["terms"]).to_pylist()):
+                listed = lists[i].values if lists[i].is_valid else None
+                best, numbers, counts = [], np.empty(0, "i8"), np.empty(0, "i8")
+                if listed is not None:
+                    numbers, counts, overall = (listed.field(c).to_numpy().astype("i8") for c in ("number", "n", "overall"))
                     p, q = share(counts, row["total"]), share(overall, row["lang_total"])
-                    value, fit = gain(p, q), (p > q) & (counts > 0)
-                    found = ((-int(value[i]), terms[i]["term"].encode()) for i in np.flatnonzero(fit))
+                    value, fit = gain(p, q), np.flatnonzero((p > q) & (counts > 0))
+                    if len(fit) > top_terms:  # those below the last place are not looked at; all that tie for it are
+                        fit = fit[value[fit] >= np.partition(value[fit], -top_terms)[-top_terms]]
+                    words = listed.field("term").take(pa.array(fit)).to_pylist()
+                    found = ((-int(v), t.encode()) for v, t in zip(value[fit], words, strict=True))
                     best = [{"term": t.decode(), "value": -v} for v, t in heapq.nsmallest(top_terms, found)]
+                    order = np.argsort(numbers)
+                    numbers, counts = numbers[order], counts[order]
                 out.append({k: row[k] for k in ("lang", "seat", "slice", "width", "total")} | {"vector": _pack(numbers, counts), "best": best})
             yield pa.RecordBatch.from_pylist(out, CELL_SCHEMA)
 
@@ -183,13 +190,14 @@ def make_cells(counts: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP
     terms = materialise(sliced.withColumn("number", number), "divergence-terms")
     widths = terms.groupBy("lang", "slice").agg(F.count("*").alias("width"))
     mine = counts.where("term is not null").select("lang", "source", "term", "n").join(terms, ["lang", "term"])
-    sums = mine.groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    listed = mine.groupBy("lang", "source", "slice").agg(F.sum("n").alias("slice_n"), F.collect_list(F.struct("number", "term", "n", "overall")).alias("terms"))
+    listed = materialise(listed, "divergence-listed")
+    sums = listed.groupBy("lang", "source").agg(F.sum("slice_n").alias("n"))
     seat = F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1
     groups = counts.where("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs.select("lang", "v", F.col("n").alias("lang_n")), "lang", "left")
     none = F.lit(0).cast("bigint")
     total = F.coalesce("n", none) + F.coalesce("v", none)
     groups = materialise(groups.select("lang", "source", seat.alias("seat"), total.alias("total"), (F.coalesce("lang_n", none) + F.coalesce("v", none)).alias("lang_total")), "divergence-groups")
-    listed = mine.groupBy("lang", "source", "slice").agg(F.collect_list(F.struct("number", "term", "n", "overall")).alias("terms"))
     # A language without kept terms has one slice of no width, so that its groups meet as well.
     frame = groups.join(widths, "lang", "left").withColumns({"slice": F.coalesce("slice", F.lit(0)), "width": F.coalesce("width", none)})
     rows = frame.join(listed, ["lang", "source", "slice"], "left").select("lang", "seat", "slice", "width", "total", "lang_total", "terms")
