@@ -41,7 +41,7 @@ from standscan.session import materialise, shared_dir
 
 FAN = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-TASK_VERTICES = 50_000
+TASK_VERTICES = 20_000
 UPPER = -1  # the group of the upper tree's vertices
 
 
@@ -106,6 +106,11 @@ class Supersteps:
         rdd.unpersist()
         return rdd
 
+    @staticmethod
+    def together(sent: RDD, tasks: int) -> RDD:
+        """Messages by receiver, in as many tasks as their number asks for, if Spark was told to deal them to more."""
+        return sent.groupByKey(tasks).coalesce(tasks)
+
     def climb(self, vertices: RDD, rows: int, largest: int) -> tuple[list[RDD], list[RDD]]:
         """``(families, tops)`` by level: ``(parent's key, (n, children's digests))``, and the vertices alone at a level.
 
@@ -116,7 +121,7 @@ class Supersteps:
             tops.append(vertices.filter(lambda v: v[0][2] == 1))
             sent = vertices.filter(lambda v: v[0][2] > 1).map(lambda v: ((v[0][0], v[0][1] // FAN, _above(v[0][2])), (v[0][1], v[0][2], v[1])))
             rows, largest = _above(rows) + 1, _above(largest)
-            together = sent.groupByKey(self.tasks(rows)).mapValues(sorted).mapValues(lambda c: (c[0][1], [x[2] for x in c]))
+            together = self.together(sent, self.tasks(rows)).mapValues(sorted).mapValues(lambda c: (c[0][1], [x[2] for x in c]))
             families.append(self.kept(together))
             vertices = families[-1].mapValues(lambda family: digest(family[1]))
         return families, [*tops, vertices]
@@ -134,7 +139,8 @@ class Supersteps:
 
         states = starts[-1]
         for below, start in zip(reversed(families), reversed(starts[:-1]), strict=True):
-            states = self.kept(below.join(states, below.getNumPartitions()).flatMap(send).union(start))
+            tasks = below.getNumPartitions()
+            states = self.kept(below.join(states, tasks).flatMap(send).union(start).coalesce(tasks))
         return states
 
 
@@ -187,7 +193,7 @@ def manifest(
         total, number, most = sizes["rows"], sizes["g"], sizes["most"]
         # The first superstep: leaves, with what is to be verified, meet in runs.
         sent = rows.rdd.map(lambda r: ((r["gid"], r["place"] // FAN, _above(r["n"])), (r["place"], bytes(r["leaf"]), bytes(r["shown"]), r["k"], r["n"] == 1)))
-        runs = sent.groupByKey(run.tasks(total)).mapValues(lambda m: sorted(m, key=lambda x: x[0])).mapValues(lambda m: (m[0][4], [x[:4] for x in m]))
+        runs = run.together(sent, run.tasks(total)).mapValues(lambda m: sorted(m, key=lambda x: x[0])).mapValues(lambda m: (m[0][4], [x[:4] for x in m]))
         runs = run.kept(runs)
         own = runs.mapValues(lambda r: r[1][0][1] if r[0] else digest([m[1] for m in r[1]]))
         families, tops = run.climb(own, _above(total) + number, _above(most))
@@ -196,7 +202,10 @@ def manifest(
         upper, ends = run.climb(run.kept(spark.sparkContext.union(subroots).coalesce(run.tasks(number))), number, number)
         ends = [end.map(lambda v: (v[0], ((), v[1]))) for end in ends]
         above = run.descend(upper, ends).map(lambda v: (v[0][1], v[1]))
-        starts = [top.map(lambda v: (v[0][0], (v[0], v[1]))).join(above, run.tasks(number)).map(lambda x: (x[1][0][0], (x[1][1][0], (x[1][0][1], x[1][1][1])))) for top in tops]
+        tagged = spark.sparkContext.union([top.map(lambda v, level=level: (v[0][0], (level, v[0], v[1]))) for level, top in enumerate(tops)]).coalesce(run.tasks(number))
+        # By group: (level of its top, key of the top, (path above, (subroot, root))).
+        begun = run.kept(tagged.join(above, run.tasks(number)).mapValues(lambda x: (x[0][0], x[0][1], (x[1][0], (x[0][2], x[1][1])))).values().coalesce(run.tasks(number)))
+        starts = [begun.filter(lambda x, level=level: x[0] == level).map(lambda x: x[1:]) for level in range(len(tops))]
         states = run.descend(families, starts)
         cut = None if paths else -1
         judged = spark.createDataFrame(runs.join(states, runs.getNumPartitions()).values().flatMap(_verify).map(lambda r: r[:cut]), schema, verifySchema=False)
