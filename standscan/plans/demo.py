@@ -19,7 +19,7 @@ LOOSE = {"min_hag": 0.05, "max_hag": 1.5, "max_stack_hag": 1.8, "eps": 0.1, "min
 
 def register_files(spark: SparkSession, annotations, target: str, output: str, voxel: float = 0.03) -> dict:
     """Align one annotation file per object to a survey and save the 4x4 matrix."""
-    paths = clouds.expand_paths(annotations)
+    paths = clouds.expand_paths(spark, annotations)
     src = clouds.read_clouds(spark, paths)
     centres = [(r["x"], r["y"]) for r in src.groupBy("file_ix").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("file_ix").collect()]
     dst = points.voxel_downsample(clouds.read_cloud(spark, target), voxel)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import struct
-from dataclasses import dataclass, field
+from collections.abc import Collection
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -32,7 +33,7 @@ def clean_name(raw: str) -> str:
 
 @dataclass
 class Layout:
-    """Records of ``dtype`` from ``offset`` on, or white-space separated text from there."""
+    """Records of ``dtype`` from ``offset`` on, or lines of text from there; a negative count is unknown."""
 
     dtype: np.dtype
     count: int
@@ -41,7 +42,7 @@ class Layout:
     scale: tuple[float, float, float] | None = None
     shift: tuple[float, float, float] | None = None
     kept: tuple[str, ...] | None = None
-    notes: dict = field(default_factory=dict)
+    mark: str | None = None  # what parts the fields of a text, None for white space
 
     @property
     def names(self) -> list[str]:
@@ -67,12 +68,12 @@ def ply_layout(handle) -> Layout:
         raise ValueError(f"unknown PLY format {kind!r}")
     at = [i for i, w in enumerate(lines) if w[:1] == ["element"]]
     if not at or lines[at[0]][1] != "vertex":
-        raise ValueError("the first PLY element must be vertex")
+        raise ValueError("points are read from files whose vertices come first")
     props = []
     for w in lines[at[0] + 1 : at[1] if len(at) > 1 else len(lines)]:
         if w[:1] == ["property"]:
             if w[1] == "list":
-                raise ValueError("list properties of vertices are not supported")
+                raise ValueError(f"vertex property {w[-1]} has a varying length")
             props.append((w[2], order + PLY_SCALARS[w[1]]))
     return Layout(np.dtype(props), int(lines[at[0]][2]), handle.tell(), text=kind == "ascii")
 
@@ -127,15 +128,45 @@ def npy_layout(handle) -> Layout:
     return Layout(np.dtype([(n, dtype) for n in names]), shape[0], handle.tell())
 
 
-LAYOUTS = {"ply": ply_layout, "pcd": pcd_layout, "las": las_layout, "laz": las_layout, "npy": npy_layout}
-
-
-def columns(layout: Layout, records: np.ndarray) -> dict[str, np.ndarray]:
-    """Named columns of decoded records."""
+def is_number(field: str) -> bool:
+    try:
+        float(field)
+    except ValueError:
+        return False
+    return "_" not in field
+
+
+def text_layout(handle) -> Layout:
+    """The first line that is not blank has the names if one of its fields is no number; the first mark found in it parts the fields."""
+    line = ""
+    while not line:
+        at, raw = handle.tell(), handle.readline()
+        if not raw:
+            raise ValueError("the cloud has no line")
+        line = raw.decode("utf-8", "replace").strip()
+    mark = next((m for m in TEXT_MARKS if m in line), None)
+    fields = [f.strip() for f in line.split(mark)]
+    if all(is_number(f) for f in fields if f):
+        names = [*"xyz", *[f"f{i}" for i in range(len(fields) - 3)]][: len(fields)]
+    else:
+        names, at = [clean_name(f) or f"f{i}" for i, f in enumerate(fields)], handle.tell()
+    unique = [n if n not in names[:i] else f"{n}_{i}" for i, n in enumerate(names)]
+    return Layout(np.dtype([(n, "f8") for n in unique]), -1, at, text=True, mark=mark)
+
+
+# Marks between fields of a text, in the order in which they are looked for.
+TEXT_MARKS = (";", ",")
+TEXT = ("txt", "csv", "asc", "xyz", "pts")
+LAYOUTS = dict.fromkeys(TEXT, text_layout) | {"ply": ply_layout, "pcd": pcd_layout, "las": las_layout, "laz": las_layout, "npy": npy_layout}
+
+
+def columns(layout: Layout, records: np.ndarray, wanted: Collection[str] | None = None) -> dict[str, np.ndarray]:
+    """Named columns of decoded records; only those whose clean names are ``wanted``, if given."""
+    named = lambda n: wanted is None or clean_name(n) in wanted
     if not layout.scale:
-        return {n: records[n] for n in layout.names}
-    out = {c: records[c.upper()] * layout.scale[k] + layout.shift[k] for k, c in enumerate("xyz")}
-    for n in layout.kept:
+        return {n: records[n] for n in layout.names if named(n)}
+    out = {c: records[c.upper()] * layout.scale[k] + layout.shift[k] for k, c in enumerate("xyz") if named(c)}
+    for n in filter(named, layout.kept):
         if n in ("return_number", "number_of_returns"):
             source, bits = (records["returns"], 4) if "returns" in records.dtype.names else (records["flags"], 3)
             out[n] = (source >> (bits if n == "number_of_returns" else 0)) & ((1 << bits) - 1)

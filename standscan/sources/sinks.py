@@ -1,23 +1,29 @@
-"""Writers: tasks write the record bodies in pid order, the driver adds the header and joins the parts.
+"""Writers. Tasks write the records of a file, each at its own place; the driver writes the header.
 
-The target folder must be one that driver and executors share.
+Rows are numbered in pid order over range partitions, so every record's place in the file is
+known. In a folder that driver and executors share, tasks write into one hidden file, which
+takes its name once all rows are in it; a task that is run again writes the same bytes to the same
+places, and a failure leaves no file. Stores without writes at a place take bodies as objects of
+their own, which one task joins, a few megabytes at a time.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import struct
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from standscan.operators.order import running_total
+from standscan.session import discard, materialise
 from standscan.sources.layouts import LAS_BASE, LAS_EXTRA, clean_name
 
 COPY = 8 << 20
@@ -27,39 +33,88 @@ def _uri(path: str) -> str:
     return path if "://" in path else "file://" + os.path.abspath(path)
 
 
-def _write_parts(df: DataFrame, dtype: np.dtype, pack: Callable, folder: str) -> list[tuple[int, int, str]]:
-    """Write one body file per task; ``(task, rows, path)`` in order."""
+def _records(batch: pa.RecordBatch, dtype: np.dtype, pack: Callable) -> np.ndarray:
+    cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names) if n != "ss_at"}
+    records = np.zeros(batch.num_rows, dtype)
+    pack(records, cols)
+    return records
 
-    def run(batches):
+
+def _into_file(numbered: DataFrame, dtype: np.dtype, pack: Callable, path: str, header: bytes, count: int) -> None:
+    hidden = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}-{uuid.uuid4().hex}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        with open(hidden, "r+b") as out:
+            for batch in batches:
+                at = batch.column("ss_at").to_numpy()
+                order = np.argsort(at)
+                at, records = at[order], _records(batch, dtype, pack)[order]
+                for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+                    if len(run):
+                        out.seek(len(header) + (int(at[run[0]]) - 1) * dtype.itemsize)
+                        out.write(records[run].tobytes())
+                written += len(at)
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([written], pa.int64())})
+
+    try:
+        with open(hidden, "wb") as out:
+            out.write(header)
+            out.truncate(len(header) + count * dtype.itemsize)
+        rows = numbered.mapInArrow(run, "rows bigint").agg(F.sum("rows")).first()[0] or 0
+        if rows != count:
+            raise OSError(f"{rows} of {count} records were written to {path}")
+        os.replace(hidden, path)
+    finally:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(hidden)
+
+
+def _into_store(numbered: DataFrame, dtype: np.dtype, pack: Callable, path: str, header: bytes) -> None:
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name, rows = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0
-        with fs.open_output_stream(name, compression=None) as out:
+        for batch in batches:
+            order = np.argsort(batch.column("ss_at").to_numpy())
+            name = f"{base}/{uuid.uuid4().hex}"
+            with fs.open_output_stream(name, compression=None) as out:
+                out.write(_records(batch, dtype, pack)[order].tobytes())
+            yield pa.RecordBatch.from_pydict({"first": pa.array([int(batch.column("ss_at").to_numpy().min())], pa.int64()), "name": [name]})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = pafs.FileSystem.from_uri(path)
+        hidden = f"{inner}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(hidden, compression=None) as out:
+            out.write(header)
             for batch in batches:
-                cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-                records = np.zeros(batch.num_rows, dtype)
-                pack(records, cols)
-                out.write(records.tobytes())
-                rows += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "rows": [rows], "path": [name]})
-
-    parts = df.mapInArrow(run, "task int, rows bigint, path string").collect()
-    return sorted((p["task"], p["rows"], p["path"]) for p in parts)
-
-
-def _join(parts: list, path: str, header: bytes) -> None:
-    fs, inner = pafs.FileSystem.from_uri(_uri(path))
-    with fs.open_output_stream(inner, compression=None) as out:
-        out.write(header)
-        for _, _, name in parts:
-            with fs.open_input_stream(name) as part:
-                while piece := part.read(COPY):
-                    out.write(piece)
-            fs.delete_file(name)
-
-
-def _folder(path: str) -> str:
-    return f"{_uri(path)}.parts-{uuid.uuid4().hex}"
+                for name in batch.column("name").to_pylist():
+                    with fs.open_input_stream(name) as part:
+                        while piece := part.read(COPY):
+                            out.write(piece)
+        fs.move(hidden, inner)
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    parts = materialise(numbered.repartitionByRange("ss_at").sortWithinPartitions("ss_at").mapInArrow(write, "first bigint, name string"), "sink-parts")
+    parts.orderBy("first").coalesce(1).mapInArrow(join, "done boolean").collect()
+    fs, base = pafs.FileSystem.from_uri(folder)
+    with contextlib.suppress(FileNotFoundError):
+        fs.delete_dir(base)
+    discard(parts)
+
+
+def _write_records(df: DataFrame, dtype: np.dtype, pack: Callable, path: str, header: Callable[[int], bytes]) -> int:
+    """Write all rows of ``df`` in pid order behind the header of their number, which is returned."""
+    numbered = materialise(running_total(df, ["pid"], F.lit(1).cast("bigint"), "ss_at").drop("pid"), "sink-rows")
+    count = numbered.count()
+    where = _uri(path)
+    if where.startswith("file://"):
+        _into_file(numbered, dtype, pack, where.removeprefix("file://"), header(count), count)
+    else:
+        _into_store(numbered, dtype, pack, where, header(count))
+    discard(numbered)
+    return count
 
 
 def _flat_colours(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -84,12 +139,13 @@ def write_ply(df: DataFrame, path: str) -> int:
         for n in records.dtype.names:
             records[n] = cols[n]
 
-    parts = _write_parts(df.orderBy("pid").select("x", "y", "z", *[F.coalesce(n, F.lit(-1).cast(kinds[n])).alias(n) if scalar[n] == "<i4" else n for n in fields]), dtype, pack, _folder(path))
-    count = sum(p[1] for p in parts)
-    lines = ["ply", "format binary_little_endian 1.0", f"element vertex {count}", *[f"property double {c}" for c in "xyz"]]
-    lines += [f"property {names[scalar[n]]} {n if n in colours else clean_name(n)}" for n in fields]
-    _join(parts, path, ("\n".join([*lines, "end_header"]) + "\n").encode())
-    return count
+    def header(count: int) -> bytes:
+        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {count}", *[f"property double {c}" for c in "xyz"]]
+        lines += [f"property {names[scalar[n]]} {n if n in colours else clean_name(n)}" for n in fields]
+        return ("\n".join([*lines, "end_header"]) + "\n").encode()
+
+    whole = df.select("pid", "x", "y", "z", *[F.coalesce(n, F.lit(-1).cast(kinds[n])).alias(n) if scalar[n] == "<i4" else n for n in fields])
+    return _write_records(whole, dtype, pack, path, header)
 
 
 def write_las(df: DataFrame, path: str, classification: str | None = None, scale: float = 0.001) -> int:
@@ -117,17 +173,17 @@ def write_las(df: DataFrame, path: str, classification: str | None = None, scale
         for n in extra:
             records[f"extra {n}"] = np.array([np.nan if v is None else v for v in cols[n]], "f4") if cols[n].dtype == object else cols[n]
 
-    parts = _write_parts(df.orderBy("pid").select(*dict.fromkeys(wanted)), dtype, pack, _folder(path))
-    count = sum(p[1] for p in parts)
-    head = bytearray(227)
-    head[:4], head[24], head[25] = b"LASF", 1, 2
-    named = b"".join(struct.pack("<2xBB32s156x", 9, 0, n.encode()[:32]) for n in extra)
-    block = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(named), b"Extra bytes") + named if extra else b""
-    struct.pack_into("<HIIBHI5I", head, 94, 227, 227 + len(block), 1 if extra else 0, 3, dtype.itemsize, count, count, 0, 0, 0, 0)
-    bounds = [v for c in "xyz" for v in (float(span[f"hi{c}"] or 0.0), float(span[f"lo{c}"] or 0.0))]
-    struct.pack_into("<12d", head, 131, scale, scale, scale, *low, *bounds)
-    _join(parts, path, bytes(head) + block)
-    return count
+    def header(count: int) -> bytes:
+        head = bytearray(227)
+        head[:4], head[24], head[25] = b"LASF", 1, 2
+        named = b"".join(struct.pack("<2xBB32s156x", 9, 0, n.encode()[:32]) for n in extra)
+        block = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(named), b"Extra bytes") + named if extra else b""
+        struct.pack_into("<HIIBHI5I", head, 94, 227, 227 + len(block), 1 if extra else 0, 3, dtype.itemsize, count, count, 0, 0, 0, 0)
+        bounds = [v for c in "xyz" for v in (float(span[f"hi{c}"] or 0.0), float(span[f"lo{c}"] or 0.0))]
+        struct.pack_into("<12d", head, 131, scale, scale, scale, *low, *bounds)
+        return bytes(head) + block
+
+    return _write_records(df.select("pid", *dict.fromkeys(wanted)), dtype, pack, path, header)
 
 
 def write_cloud(df: DataFrame, path: str, label_key: str | None = None) -> int:

@@ -66,7 +66,7 @@ def test_text_pcd_npy(spark, tmp_path):
     assert both.count() == 5 and "f3" not in both.columns
     assert clouds.read_cloud(spark, str(tmp_path / "e.npz")).agg(F.sum("hag")).first()[0] == 3.0
     with pytest.raises(FileNotFoundError):
-        clouds.expand_paths(str(tmp_path / "none*.ply"))
+        clouds.expand_paths(spark, str(tmp_path / "none*.ply"))
     with pytest.raises(ValueError):
         clouds.read_cloud(spark, "a.unknown")
 
