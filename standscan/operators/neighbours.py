@@ -97,3 +97,30 @@ def smooth(points: DataFrame, k: int, start, fields: list[str]) -> DataFrame:
     near = k_nearest(points, points, k, start).select("pid", "nid")
     values = points.select(F.col("pid").alias("nid"), *fields)
     return near.join(values, "nid").groupBy("pid").agg(*[F.avg(f).alias(f) for f in fields])
+
+
+def ball_query(centres: DataFrame, points: DataFrame, radius, n: int, dims: str = "xyz") -> DataFrame:
+    """``(pid, slot, nid, d2)``: the nearest ``n`` points within ``radius`` of each centre, in order; missing ones repeat the nearest.
+
+    Centres without a point in reach have no rows. Spark trims the ranks in the map tasks, so a
+    dense ball sends at most ``n`` rows from each.
+    """
+    w = W.partitionBy("pid").orderBy("d2", "nid")
+    near = pairs_within(centres, points, radius, dims, copy_left=True).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    slots = F.when(F.col("rank") == 1, F.lit(n) - F.col("ss_n")).otherwise(0)
+    counted = near.withColumn("ss_n", F.count("*").over(W.partitionBy("pid")))
+    filled = counted.withColumn("ss_more", F.explode(F.sequence(F.lit(0), slots.cast("int"))))
+    slot = F.when(F.col("ss_more") == 0, F.col("rank") - 1).otherwise(F.col("ss_n") + F.col("ss_more") - 1)
+    return filled.select("pid", slot.cast("int").alias("slot"), "nid", "d2")
+
+
+def interpolate(points: DataFrame, targets: DataFrame, fields: list[str], start, k: int = 3, dims: str = "xyz") -> DataFrame:
+    """``(pid, fields)``: averages of the ``k`` nearest targets' fields, weighted by ``1 / (d2 + 1e-8)``.
+
+    A target at the point itself outweighs all others; of fewer than ``k`` targets all are used.
+    A null field counts as missing with its weight.
+    """
+    near = k_nearest(points, targets, k, start, dims).withColumn("ss_w", 1.0 / (F.col("d2") + 1e-8)).select("pid", "nid", "ss_w")
+    values = targets.select(F.col("pid").alias("nid"), *fields)
+    mean = lambda f: (F.sum(F.col(f) * F.col("ss_w")) / F.sum(F.when(F.col(f).isNotNull(), F.col("ss_w")))).alias(f)
+    return near.join(values, "nid").groupBy("pid").agg(*[mean(f) for f in fields])

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standscan.operators.neighbours import nearest_within
+from standscan.operators.neighbours import nearest_within, pairs_within
 from standscan.operators.points import rigid_transform
+from standscan.session import discard, materialise
 
 MAX_OBJECTS = 20_000
 BLOCK_CELLS = 1 << 20  # distances made at once
@@ -62,20 +63,25 @@ def icp(src: DataFrame, dst: DataFrame, start: np.ndarray, bound: float = 0.3, r
     return back @ matrix, share, rms
 
 
-def thin_centres(xy: np.ndarray, apart: float = 0.5) -> np.ndarray:
-    """Keep a centre if it is more than ``apart`` from all kept before it (objects, not points).
+def thin(centres: DataFrame, apart) -> DataFrame:
+    """The rows of ``centres`` farther than ``apart`` from all kept ones with a smaller pid, along x and y.
 
-    Kept centres are looked up by cells of that width, so a centre meets only those around it.
+    The rows are those of a loop in pid order. Each round keeps, all at once, the undecided rows
+    without an undecided one before them in reach, and drops those in their reach; a round
+    is two joins over the pairs still open, and rounds follow the longest chain of such pairs.
     """
-    kept: list[np.ndarray] = []
-    cells: dict[tuple[int, int], list[np.ndarray]] = {}
-    for p in xy:
-        i, j = (int(v) for v in np.floor(p / apart))
-        around = [q for a in (-1, 0, 1) for b in (-1, 0, 1) for q in cells.get((i + a, j + b), ())]
-        if all(np.hypot(*(p - q)) > apart for q in around):
-            kept.append(p)
-            cells.setdefault((i, j), []).append(p)
-    return np.array(kept).reshape(-1, 2)
+    place = centres.select("pid", "x", "y")
+    opened = materialise(pairs_within(place, place, apart, "xy").where("nid < pid").select("pid", "nid"), "thin-pairs")
+    dropped = None
+    while not opened.isEmpty():
+        waiting = opened.select("pid").distinct()
+        first = opened.select(F.col("nid").alias("root")).distinct().join(waiting, F.col("root") == F.col("pid"), "left_anti")
+        gone = materialise(opened.join(first, F.col("nid") == F.col("root")).select("pid").distinct(), "thin-gone")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        left = opened.join(gone, "pid", "left_anti").join(gone.select(F.col("pid").alias("nid")), "nid", "left_anti")
+        before, opened = opened, materialise(left.select("pid", "nid"), "thin-pairs")
+        discard(before)
+    return centres if dropped is None else centres.join(dropped, "pid", "left_anti")
 
 
 def _pairs_of_length(xy: np.ndarray, length: float, slack: float, most: int, rng: np.random.Generator) -> np.ndarray:
@@ -164,7 +170,8 @@ def register_clouds(objects: Sequence[np.ndarray], targets: np.ndarray, src: Dat
 
     Both sides are centred first, so map coordinates do not cost precision.
     """
-    centres = thin_centres(np.array(objects, dtype="f8").reshape(-1, 2))
+    listed = src.sparkSession.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(objects)], "pid long, x double, y double")
+    centres = np.array([(r["x"], r["y"]) for r in thin(listed, 0.5).orderBy("pid").collect()], "f8").reshape(-1, 2)
     ms, mt = centres.mean(axis=0), targets.mean(axis=0)
     flat, hits = ransac_2d(src.sparkSession, centres - ms, targets - mt, seed=seed)
     matrix = np.eye(4)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standscan.functions.cloud import CLOUD_SQL, argmax, cell, events_cloud, portable_hash, softmax
-from standscan.operators import clusters, labels, metrics, neighbours, points, raster, register, render, shape, split
+from standscan.operators import blocks, clusters, labels, metrics, neighbours, points, raster, register, render, shape, split
 from standscan.session import table
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -439,6 +439,131 @@ def portable_hash_mean(spark, sf_dir):
     return events_cloud(spark, sf_dir).groupBy("label").agg(F.round(F.avg(portable_hash("pid") / F.lit(4294967296.0)), 6).alias("share"))
 
 
+def _sql_hash(key: str, seed: int = 0) -> str:
+    """:func:`standscan.functions.cloud.portable_hash` in SQL."""
+    return f"(((({key}) % 2147483648 + (({key}) >> 31) * 40503) % 2147483648 * 2654435761 + {seed * 40503}) % 4294967296)"
+
+
+def _sql_rehash(key: str, seed: int = 0) -> str:
+    """:func:`standscan.operators.blocks.rehash` in SQL."""
+    mixed = _sql_hash(key, seed)
+    for shift, factor in blocks.MIXING:
+        mixed = f"((xor({mixed}, {mixed} >> {shift}) * {factor}) % 4294967296)"
+    return f"xor({mixed}, {mixed} >> 16)"
+
+
+RANKED = f"""{BLOCKS}, ranked as (select bx, "by", pid, row_number() over (partition by bx, "by" order by {HASH}, pid) - 1 as rank, count(*) over (partition by bx, "by") as n from blocks),
+short as (select bx, "by", n, unnest(range(n % 128, 128)) as slot from (select distinct bx, "by", n from ranked where n % 128 <> 0)),
+padded as (select bx, "by", rank // 128 as chunk, rank % 128 as slot, pid from ranked
+  union all select s.bx, s."by", s.n // 128, s.slot, r.pid from short s join ranked r on r.bx = s.bx and r."by" = s."by" and r.rank = ({_sql_rehash('(s.bx * 1009 + s."by") * 128 + s.slot')} * s.n) >> 32)"""
+
+
+def _padded(spark, sf_dir):
+    return blocks.padded_chunks(split.eval_blocks(events_cloud(spark, sf_dir), 2000, 1000), 128)
+
+
+@query(f'with {CLOUD_SQL}, {RANKED} select bx, "by", chunk::bigint as chunk, count(*) as n, count(distinct slot) as slots, sum(pid * (slot + 1))::bigint as pids from padded group by 1, 2, 3')
+def padded_chunks(spark, sf_dir):
+    """Sliding blocks in chunks of exactly 128 points."""
+    rows = _padded(spark, sf_dir)
+    return rows.groupBy("bx", "by", "chunk").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.sum(F.col("pid") * (F.col("slot") + 1)).alias("pids"))
+
+
+@query(f'with {CLOUD_SQL}, {RANKED} select pid, count(*) as votes, round(avg(((bx * 7 + "by" * 5 + slot) % 11)::double), 6) as vote from padded group by pid')
+def padded_votes(spark, sf_dir):
+    """Points that fill up a chunk vote again."""
+    rows = _padded(spark, sf_dir).withColumn("vote", ((F.col("bx") * 7 + F.col("by") * 5 + F.col("slot")) % 11).cast("double"))
+    counts = rows.groupBy("pid").agg(F.count("*").alias("votes"))
+    return split.average_votes(rows, ["vote"]).join(counts, "pid").select("pid", "votes", F.round("vote", 6).alias("vote"))
+
+
+TRAIN = dict(block=1500, size=96, samples=150, min_points=60, tries=20)
+DRAWN = f"""pool as (select label, pid, x, y, row_number() over (partition by label order by {HASH}, pid) - 1 as k, count(*) over (partition by label) as pool, dense_rank() over (order by label) - 1 as class from cloud where label >= 0),
+classes as (select count(distinct class) as c from pool),
+asked as (select sample, turn, sample * {TRAIN["tries"]} + turn as key from (select unnest(range(0, {TRAIN["samples"]})) as sample), (select unnest(range(0, {TRAIN["tries"]})) as turn)),
+centres as (select sample, turn, p.pid as centre, p.x as cx, p.y as cy from asked, classes, pool p
+  where p.class = ({_sql_hash("key")} * c) >> 32 and p.k = ({_sql_rehash("key")} * p.pool) >> 32),
+sized as (select sample, turn, centre, cx, cy, count(*) as n, min(z) as floor from centres join cloud on 2 * abs(x - cx) <= {TRAIN["block"]} and 2 * abs(y - cy) <= {TRAIN["block"]} group by all),
+chosen as (select * from sized where n >= {TRAIN["min_points"]} or turn = {TRAIN["tries"] - 1} qualify row_number() over (partition by sample order by turn) = 1),
+inside as (select c.*, p.pid, p.label, p.x - cx as local_x, p.y - cy as local_y, p.z - floor as local_z,
+  row_number() over (partition by sample order by {_sql_hash("sample * 7919 + p.pid")}, p.pid) - 1 as rank
+  from chosen c join cloud p on 2 * abs(x - cx) <= {TRAIN["block"]} and 2 * abs(y - cy) <= {TRAIN["block"]}),
+drawn as (select sample, turn, centre, n, rank as slot, pid, label, local_x, local_y, local_z from inside where n >= {TRAIN["size"]} and rank < {TRAIN["size"]}
+  union all select i.sample, turn, centre, n, s.slot, pid, label, local_x, local_y, local_z
+  from (select sample, n as m, unnest(range(0, {TRAIN["size"]})) as slot from chosen where n < {TRAIN["size"]}) s
+  join inside i on i.sample = s.sample and i.rank = ({_sql_rehash(f"s.sample * {TRAIN['size']} + s.slot")} * s.m) >> 32)"""
+
+
+def _train_blocks(spark, sf_dir):
+    return blocks.train_blocks(events_cloud(spark, sf_dir), **TRAIN)
+
+
+@query(f"""with {CLOUD_SQL}, {DRAWN} select sample, turn::int as turn, centre, n, count(*) as slots, sum(pid * (slot + 1))::bigint as pids,
+  sum(label * (slot + 1))::bigint as labels, sum(local_x * (slot + 1))::bigint as xs, sum(local_z)::bigint as zs from drawn group by sample, turn, centre, n""")
+def train_blocks(spark, sf_dir):
+    """Training blocks of a fixed number of points, drawn by class and drawn again while they are sparse."""
+    weigh = lambda c: F.sum(F.col(c) * (F.col("slot") + 1))
+    found = _train_blocks(spark, sf_dir).groupBy("sample", "turn", "centre", "n")
+    return found.agg(F.count("*").alias("slots"), weigh("pid").alias("pids"), weigh("label").alias("labels"), weigh("local_x").alias("xs"), F.sum("local_z").alias("zs"))
+
+
+def _sql_portion(key: str) -> str:
+    return f"(({_sql_rehash(key)} + 0.5::double) / 4294967296.0::double)"
+
+
+def _sql_jitter(i: int) -> str:
+    at = f"(sample * 100003 + slot) * 6 + {2 * i}"
+    return f"greatest(-3.0, least(3.0, sqrt(-2 * ln({_sql_portion(at)})) * cos(2 * pi() * {_sql_portion(at + ' + 1')})))"
+
+
+@query(f"""with {CLOUD_SQL}, {DRAWN}, turned as (select *, 2 * pi() * {_sql_portion("sample * 3")} as a, {_sql_portion("sample * 3 + 1")} as m, 0.9 + 0.2 * {_sql_portion("sample * 3 + 2")} as s from drawn),
+moved as (select sample, (case when m < 0.5 then -1 else 1 end) * (local_x * cos(a) - local_y * sin(a)) * s + {_sql_jitter(0)} as x, (local_x * sin(a) + local_y * cos(a)) * s + {_sql_jitter(1)} as y, local_z * s + {_sql_jitter(2)} as z from turned)
+select sample, round(avg(x), 4) as x, round(avg(y), 4) as y, round(avg(z), 4) as z, round(avg(x * x), 2) as xx from moved group by sample""")
+def augmented_blocks(spark, sf_dir):
+    """Training blocks turned, mirrored, scaled and jittered (in millimetres)."""
+    moved = blocks.augment(_train_blocks(spark, sf_dir), jitter=1.0, clip=3.0).groupBy("sample")
+    means = {c: F.round(F.avg(f"local_{c}"), 4).alias(c) for c in "xyz"}
+    return moved.agg(*means.values(), F.round(F.avg(F.col("local_x") * F.col("local_x")), 2).alias("xx"))
+
+
+@query(f"""with {CLOUD_SQL}, pairs as (select c.pid, p.pid as nid, ((c.x - p.x)**2 + (c.y - p.y)**2 + (c.z - p.z)**2)::bigint as d2 from cloud c, cloud p where c.label = 2 and p.label <> 2),
+near as (select *, row_number() over (partition by pid order by d2, nid) - 1 as rank, count(*) over (partition by pid) as n from pairs where d2 <= 160000),
+slots as (select *, unnest(range(0, case when rank = 0 then greatest(12 - n, 0) + 1 else 1 end)) as more from near where rank < 12)
+select pid, (case when more = 0 then rank else n + more - 1 end)::int as slot, nid, d2 from slots""")
+def ball_query(spark, sf_dir):
+    """The 12 nearest points within 0.4 m of every point of one class."""
+    cloud = events_cloud(spark, sf_dir)
+    return neighbours.ball_query(cloud.where("label = 2"), cloud.where("label <> 2"), 400, 12)
+
+
+@query(f"""with {CLOUD_SQL}, near as (select p.pid, q.z, 1.0::double / (((p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2)::bigint + 1e-8::double) as w,
+  row_number() over (partition by p.pid order by ((p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2)::bigint, q.pid) as k from cloud p, cloud q where q.label = 2)
+select pid, round(sum(z * w) / sum(w), 6) as z from near where k <= 3 group by pid""")
+def interpolate_three(spark, sf_dir):
+    """Heights of all points from the three nearest of one class, by inverse squared distance."""
+    cloud = events_cloud(spark, sf_dir)
+    return neighbours.interpolate(cloud, cloud.where("label = 2"), ["z"], 800).select("pid", F.round("z", 6).alias("z"))
+
+
+@query(f"""with recursive {CLOUD_SQL}, o as (select pid, x, y, row_number() over (order by pid) as k from cloud where label = 2),
+r as (select 0::bigint as k, []::struct(pid bigint, x bigint, y bigint)[] as kept
+  union all select r.k + 1, case when len(list_filter(kept, lambda c: (c.x - o.x)**2 + (c.y - o.y)**2 <= 90000)) = 0 then list_append(kept, {{'pid': o.pid, 'x': o.x, 'y': o.y}}) else kept end from r join o on o.k = r.k + 1)
+select c.pid, c.x, c.y from (select unnest(kept) as c from r where k = (select count(*) from o))""")
+def thin_centres(spark, sf_dir):
+    """Objects of one class no two of which are within 0.3 m, taken in their order."""
+    return register.thin(events_cloud(spark, sf_dir).where("label = 2"), 300).select("pid", "x", "y")
+
+
+@query(f"""with {CLOUD_SQL}, near as (select a.pid, a.z, min(((a.x - b.x)**2 + (a.y - b.y)**2)::bigint * 10000000 + b.pid) as best from cloud a, cloud b
+  where a.pid % 2 = 0 and b.pid % 2 = 1 and (a.x - b.x)**2 + (a.y - b.y)**2 < 40000 group by a.pid, a.z)
+select median(b.z - n.z)::double as dz from near n join cloud b on b.pid = n.best % 10000000""")
+def vertical_offset(spark, sf_dir):
+    """The median height of the nearest points in plan of one half of the cloud over the other."""
+    cloud = events_cloud(spark, sf_dir)
+    dz = register.vertical_offset(cloud.where("pid % 2 = 0"), cloud.where("pid % 2 = 1"), 200)
+    return spark.createDataFrame([(dz,)], "dz double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in _FOUND.items()}
 

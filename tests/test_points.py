@@ -216,12 +216,6 @@ def test_pairs_in_blocks(monkeypatch):
         few = register._pairs_of_length(xy, 9.0, 0.3, 20, rng).tolist()
         assert len(few) == 20 and set(map(tuple, few)) <= want
         assert register._hits(xy[:30] + 0.1, xy, 0.2) == 30
-    kept = register.thin_centres(xy, 4.0)
-    plain = []
-    for p in xy:
-        if all(np.hypot(*(p - q)) > 4.0 for q in plain):
-            plain.append(p)
-    assert np.array_equal(kept, np.array(plain))
 
 
 def test_rule_order(spark):
