@@ -31,6 +31,7 @@ from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
 from pyspark import RDD, StorageLevel
+from pyspark.shuffle import Aggregator, ExternalMerger
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,9 +108,20 @@ class Supersteps:
         return rdd
 
     @staticmethod
-    def together(sent: RDD, tasks: int) -> RDD:
-        """Messages by receiver, in as many tasks as their number asks for, if Spark was told to deal them to more."""
-        return sent.groupByKey(tasks).coalesce(tasks)
+    def gathered(messages: RDD, tasks: int) -> RDD:
+        """``(receiver, [messages])``, in as many tasks as stated; a task's messages spill to disk beyond a few hundred MB."""
+
+        def collect(part: Iterator[tuple]) -> Iterator[tuple]:
+            merger = ExternalMerger(Aggregator(lambda m: [m], lambda held, m: held.append(m) or held, lambda held, more: held + more), 256)
+            merger.mergeValues(part)
+            return merger.items()
+
+        return messages.partitionBy(tasks).coalesce(tasks).mapPartitions(collect)
+
+    def met(self, vertices: RDD, states: RDD, tasks: int) -> RDD:
+        """``(key, (vertex, state))`` of the vertices, one message each from both sides."""
+        both = vertices.mapValues(lambda v: (0, v)).union(states.mapValues(lambda s: (1, s)))
+        return self.gathered(both, tasks).filter(lambda x: len(x[1]) == 2).mapValues(lambda m: tuple(x[1] for x in sorted(m, key=lambda x: x[0])))
 
     def climb(self, vertices: RDD, rows: int, largest: int) -> tuple[list[RDD], list[RDD]]:
         """``(families, tops)`` by level: ``(parent's key, (n, children's digests))``, and the vertices alone at a level.
@@ -121,7 +133,7 @@ class Supersteps:
             tops.append(vertices.filter(lambda v: v[0][2] == 1))
             sent = vertices.filter(lambda v: v[0][2] > 1).map(lambda v: ((v[0][0], v[0][1] // FAN, _above(v[0][2])), (v[0][1], v[0][2], v[1])))
             rows, largest = _above(rows) + 1, _above(largest)
-            together = self.together(sent, self.tasks(rows)).mapValues(sorted).mapValues(lambda c: (c[0][1], [x[2] for x in c]))
+            together = self.gathered(sent, self.tasks(rows)).mapValues(sorted).mapValues(lambda c: (c[0][1], [x[2] for x in c]))
             families.append(self.kept(together))
             vertices = families[-1].mapValues(lambda family: digest(family[1]))
         return families, [*tops, vertices]
@@ -140,7 +152,7 @@ class Supersteps:
         states = starts[-1]
         for below, start in zip(reversed(families), reversed(starts[:-1]), strict=True):
             tasks = below.getNumPartitions()
-            states = self.kept(below.join(states, tasks).flatMap(send).union(start).coalesce(tasks))
+            states = self.kept(self.met(below, states, tasks).flatMap(send).union(start))
         return states
 
 
@@ -193,22 +205,22 @@ def manifest(
         total, number, most = sizes["rows"], sizes["g"], sizes["most"]
         # The first superstep: leaves, with what is to be verified, meet in runs.
         sent = rows.rdd.map(lambda r: ((r["gid"], r["place"] // FAN, _above(r["n"])), (r["place"], bytes(r["leaf"]), bytes(r["shown"]), r["k"], r["n"] == 1)))
-        runs = run.together(sent, run.tasks(total)).mapValues(lambda m: sorted(m, key=lambda x: x[0])).mapValues(lambda m: (m[0][4], [x[:4] for x in m]))
+        runs = run.gathered(sent, run.tasks(total)).mapValues(lambda m: sorted(m, key=lambda x: x[0])).mapValues(lambda m: (m[0][4], [x[:4] for x in m]))
         runs = run.kept(runs)
         own = runs.mapValues(lambda r: r[1][0][1] if r[0] else digest([m[1] for m in r[1]]))
         families, tops = run.climb(own, _above(total) + number, _above(most))
         # The upper tree's lowest vertices are the subroots, whatever the height of their trees.
         subroots = [top.map(lambda v: ((UPPER, v[0][0], number), v[1])) for top in tops]
-        upper, ends = run.climb(run.kept(spark.sparkContext.union(subroots).coalesce(run.tasks(number))), number, number)
+        upper, ends = run.climb(run.kept(spark.sparkContext.union(subroots)), number, number)
         ends = [end.map(lambda v: (v[0], ((), v[1]))) for end in ends]
         above = run.descend(upper, ends).map(lambda v: (v[0][1], v[1]))
-        tagged = spark.sparkContext.union([top.map(lambda v, level=level: (v[0][0], (level, v[0], v[1]))) for level, top in enumerate(tops)]).coalesce(run.tasks(number))
+        tagged = spark.sparkContext.union([top.map(lambda v, level=level: (v[0][0], (level, v[0], v[1]))) for level, top in enumerate(tops)])
         # By group: (level of its top, key of the top, (path above, (subroot, root))).
-        begun = run.kept(tagged.join(above, run.tasks(number)).mapValues(lambda x: (x[0][0], x[0][1], (x[1][0], (x[0][2], x[1][1])))).values().coalesce(run.tasks(number)))
+        begun = run.kept(run.met(tagged, above, run.tasks(number)).mapValues(lambda x: (x[0][0], x[0][1], (x[1][0], (x[0][2], x[1][1])))).values())
         starts = [begun.filter(lambda x, level=level: x[0] == level).map(lambda x: x[1:]) for level in range(len(tops))]
         states = run.descend(families, starts)
         cut = None if paths else -1
-        judged = spark.createDataFrame(runs.join(states, runs.getNumPartitions()).values().flatMap(_verify).map(lambda r: r[:cut]), schema, verifySchema=False)
+        judged = spark.createDataFrame(run.met(runs, states, runs.getNumPartitions()).values().flatMap(_verify).map(lambda r: r[:cut]), schema, verifySchema=False)
         judged = materialise(judged, "merkle-judged")
     named = [F.col("k").alias(id_col), *[F.lower(F.hex(c)).alias(c) for c in binary], "verified", *(["path"] if paths else [])]
     return judged.select(*named)
