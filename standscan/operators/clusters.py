@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from standscan.operators.components import connected_components
 from standscan.operators.neighbours import pairs_within
-from standscan.operators.order import running_total
+from standscan.operators.order import percentiles, running_total
 from standscan.session import materialise
 
 
@@ -45,24 +45,23 @@ def cluster_stats(points: DataFrame, by: str = "cluster", scattering: str | None
     """Count, centre, terrain, height, diameter, roundness, scattering and slenderness per cluster.
 
     ``metre`` is the length of a metre in the cloud's units; it scales the guards of the
-    covariance and the slenderness.
+    covariance and the slenderness. The percentiles hold no cluster's values in one task.
     """
     p = points.where(F.col(by) >= 0)
     centres = p.groupBy(by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     p = p.join(materialise(centres, "cluster-centres"), by)
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    wanted = {"ground_z": (F.col("z") - F.col("hag"), 0.5), "height": (F.col("hag"), 0.98), "ss_reach": (F.sqrt(dx * dx + dy * dy), 0.9)}
+    middle = percentiles(p, [by], wanted).withColumn("diameter", 2 * F.col("ss_reach"))
     s = p.groupBy(by).agg(
         F.count("*").alias("n_points"),
         F.first("cx").alias("x"),
         F.first("cy").alias("y"),
-        F.percentile(F.col("z") - F.col("hag"), 0.5).alias("ground_z"),
-        F.percentile("hag", 0.98).alias("height"),
-        (2 * F.percentile(F.sqrt(dx * dx + dy * dy), 0.9)).alias("diameter"),
         F.var_samp("x").alias("vx"),
         F.var_samp("y").alias("vy"),
         F.covar_samp("x", "y").alias("vxy"),
         (F.avg(scattering) if scattering else F.lit(None).cast("double")).alias("scattering"),
-    )
+    ).join(middle, by, "left")
     tiny = 1e-9 * metre * metre
     a, d, b = F.coalesce("vx", F.lit(0.0)) + tiny, F.coalesce("vy", F.lit(0.0)) + tiny, F.coalesce("vxy", F.lit(0.0))
     gap = F.sqrt((a - d) * (a - d) + 4 * b * b)

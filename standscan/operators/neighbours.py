@@ -25,11 +25,11 @@ def _distance2(a: str, b: str, dims: str) -> Column:
     return total
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius, dims: str = "xyz", closed: bool = True, copy_left: bool = False) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, radius, dims: str = "xyz", closed: bool = True, copy_left: bool = False, places: bool = False) -> DataFrame:
     """``(pid, nid, d2)`` of all pairs at most (``closed``) or less than ``radius`` apart.
 
     The adjacent-cell copies are made of the right side, or of the left one if ``copy_left``;
-    it should be the smaller one.
+    it should be the smaller one. ``places`` adds the coordinates of both (``lx``, ``rx``, ...).
     """
     shifts = F.array(*[F.struct(*[F.lit(s).cast("bigint").alias(f"s{c}") for s, c in zip(step, dims, strict=True)]) for step in product((-1, 0, 1), repeat=len(dims))])
     sides = {"l": left.select("pid", *[F.col(c).alias(f"l{c}") for c in dims]), "r": right.select(F.col("pid").alias("nid"), *[F.col(c).alias(f"r{c}") for c in dims])}
@@ -39,7 +39,7 @@ def pairs_within(left: DataFrame, right: DataFrame, radius, dims: str = "xyz", c
     b = sides[copied].withColumn("s", F.explode(shifts)).withColumns({f"c{c}": i + F.col(f"s.s{c}") for i, c in zip(at[copied], dims, strict=True)}).drop("s")
     d2 = _distance2("l", "r", dims)
     limit = F.lit(radius * radius)
-    return a.join(b, [f"c{c}" for c in dims]).where(d2 <= limit if closed else d2 < limit).select("pid", "nid", d2.alias("d2"))
+    return a.join(b, [f"c{c}" for c in dims]).where(d2 <= limit if closed else d2 < limit).select("pid", "nid", d2.alias("d2"), *([f"{s}{c}" for s in "lr" for c in dims] if places else []))
 
 
 def within_radius(points: DataFrame, targets: DataFrame, radius, dims: str = "xyz") -> DataFrame:

@@ -5,18 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from standscan.operators.blocks import rehash
 from standscan.operators.neighbours import nearest_within, pairs_within
 from standscan.operators.points import rigid_transform
 from standscan.session import discard, materialise
 
-MAX_OBJECTS = 20_000
-BLOCK_CELLS = 1 << 20  # distances made at once
-SCORES = pa.schema([("h", pa.int64()), ("hits", pa.int64()), ("turn", pa.float64()), ("tx", pa.float64()), ("ty", pa.float64())])
-
 
 def pair_sums(src: DataFrame, dst: DataFrame, bound) -> DataFrame:
     """One row of sums over the source points with a target closer than ``bound``.
@@ -84,78 +80,123 @@ def thin(centres: DataFrame, apart) -> DataFrame:
     return centres if dropped is None else centres.join(dropped, "pid", "left_anti")
 
 
-def _pairs_of_length(xy: np.ndarray, length: float, slack: float, most: int, rng: np.random.Generator) -> np.ndarray:
-    """At most ``most`` of the ordered pairs whose distance is within ``slack`` of ``length``, drawn evenly.
+def length_pairs(points: DataFrame, low: float, high: float) -> DataFrame:
+    """``(pid, nid, length, lx, ly, rx, ry)`` of the ordered pairs from ``low`` to ``high`` apart along x and y."""
+    near = pairs_within(points, points, high, "xy", places=True).where((F.col("pid") != F.col("nid")) & (F.col("d2") >= F.lit(low * low)))
+    return near.select("pid", "nid", F.sqrt(F.col("d2").cast("double")).alias("length"), "lx", "ly", "rx", "ry")
 
-    Distances are made for some rows at a time, so memory grows with the number of centres only.
-    """
-    found, keys = np.empty((0, 2), "i8"), np.empty(0)
-    step = max(1, BLOCK_CELLS // len(xy))
-    for at in range(0, len(xy), step):
-        gap = np.hypot(xy[at : at + step, 0, None] - xy[None, :, 0], xy[at : at + step, 1, None] - xy[None, :, 1])
-        near = np.argwhere(np.abs(gap - length) < slack)
-        near[:, 0] += at
-        near = near[near[:, 0] != near[:, 1]]
-        found, keys = np.concatenate([found, near]), np.concatenate([keys, rng.random(len(near))])
-        if len(found) > most:
-            kept = np.argpartition(keys, most)[:most]
-            found, keys = found[kept], keys[kept]
-    return found
-
-
-def _hits(moved: np.ndarray, dst: np.ndarray, inlier: float) -> int:
-    """How many moved centres have a target closer than ``inlier``."""
-    step, total = max(1, BLOCK_CELLS // len(dst)), 0
-    for at in range(0, len(moved), step):
-        part = moved[at : at + step]
-        total += int((np.hypot(part[:, 0, None] - dst[None, :, 0], part[:, 1, None] - dst[None, :, 1]).min(axis=1) < inlier).sum())
-    return total
-
-
-def _score_hypotheses(src: np.ndarray, dst: np.ndarray, inlier: float, min_length: float, seed: int, most: int):
-    def best_of(h: int):
-        rng = np.random.default_rng((seed, h))
-        a, b = src[rng.choice(len(src), 2, replace=False)]
-        d = b - a
-        length = np.hypot(*d)
-        best = None
-        if length < min_length:
-            return best
-        for p, q in _pairs_of_length(dst, length, inlier / 2, most, rng):
-            e = dst[q] - dst[p]
-            turn = np.arctan2(e[1], e[0]) - np.arctan2(d[1], d[0])
-            rot = np.array([[np.cos(turn), -np.sin(turn)], [np.sin(turn), np.cos(turn)]])
-            shift = (dst[p] + dst[q]) / 2 - rot @ ((a + b) / 2)
-            hits = _hits(src @ rot.T + shift, dst, inlier)
-            if best is None or hits > best[1]:
-                best = (h, hits, float(turn), float(shift[0]), float(shift[1]))
-        return best
-
-    def run(batches):
-        for batch in batches:
-            rows = [r for r in map(best_of, batch.column("h").to_pylist()) if r]
-            best = max(rows, key=lambda r: (r[1], -r[0]), default=None)
-            yield pa.RecordBatch.from_pydict({n: [best[i]] if best else [] for i, n in enumerate(SCORES.names)}, SCORES)
-
-    return run
 
+def draw_pairs(pairs: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` of the pairs, each in one order, by the hash of their ids."""
+    return pairs.where("pid < nid").orderBy(rehash(F.col("pid") * 1000003 + F.col("nid"), seed), "pid", "nid").limit(n)
 
-def ransac_2d(spark: SparkSession, src: np.ndarray, dst: np.ndarray, inlier: float = 0.6, min_length: float = 8.0, iterations: int = 3000, seed: int = 0) -> tuple[np.ndarray, int]:
-    """The best 2-D rotation and shift ``(3x3, hits)`` over sampled pairs of object centres.
 
-    The centres are objects, at most ``MAX_OBJECTS``; the hypotheses are dealt to tasks.
+def pair_votes(drawn: DataFrame, pairs: DataFrame, slack: float, turn: float, shift: float) -> DataFrame:
+    """Votes of pairs of like length for the turn and shift between them, by cells.
+
+    Every pair of ``drawn`` meets the ``pairs`` whose length differs by less than ``slack``, through
+    buckets of lengths. A meeting votes for the cosine, sine and shift that lay the first pair's
+    middle and direction on the second's; no angle is computed, so other engines repeat the numbers.
+    Rows are ``(ci, si, xi, yi, votes)`` for cells of ``turn`` and ``shift``, with the means
+    ``c, s, tx, ty``. ``drawn`` is broadcast: its size is the number of draws, whatever the input.
     """
-    if max(len(src), len(dst)) > MAX_OBJECTS:
-        raise ValueError(f"more than {MAX_OBJECTS} objects; thin the centres first")
-    if min(len(src), len(dst)) < 2:
+    bucket = F.floor(F.col("length") / F.lit(slack)).cast("bigint")
+    own = [F.col(f).alias("h" + f) for f in ("length", "lx", "ly", "rx", "ry")]
+    asked = drawn.select(F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), *own)
+    met = pairs.select(bucket.alias("bucket"), "length", "lx", "ly", "rx", "ry").join(F.broadcast(asked), "bucket").where(F.abs(F.col("length") - F.col("hlength")) < F.lit(slack))
+    dx, dy, ex, ey = (F.col(f"{s}r{c}") - F.col(f"{s}l{c}") for s in ("h", "") for c in "xy")
+    both = F.col("length") * F.col("hlength")
+    met = met.withColumns({"c": (dx * ex + dy * ey) / both, "s": (dx * ey - dy * ex) / both})
+    mx, my = ((F.col(f"hl{c}") + F.col(f"hr{c}")) / 2.0 for c in "xy")
+    met = met.withColumns({"tx": (F.col("lx") + F.col("rx")) / 2.0 - (F.col("c") * mx - F.col("s") * my), "ty": (F.col("ly") + F.col("ry")) / 2.0 - (F.col("s") * mx + F.col("c") * my)})
+    cells = [F.floor(F.col(f) / F.lit(float(w))).cast("bigint").alias(n) for n, f, w in (("ci", "c", turn), ("si", "s", turn), ("xi", "tx", shift), ("yi", "ty", shift))]
+    return met.groupBy(*cells).agg(F.count("*").alias("votes"), *[F.avg(f).alias(f) for f in ("c", "s", "tx", "ty")])
+
+
+def motion_hits(src: DataFrame, dst: DataFrame, motions: Sequence[Sequence[float]], bound) -> DataFrame:
+    """``(h, hits)``: how many moved source centres have a target closer than ``bound``, for each ``(c, s, tx, ty)``; motions without hits have no row.
+
+    The motions are a short list of the caller's; each makes one moved copy of the source.
+    """
+    listed = F.array(*[F.struct(F.lit(h).alias("h"), *[F.lit(float(v)).alias(n) for n, v in zip(("c", "s", "tx", "ty"), m, strict=True)]) for h, m in enumerate(motions)])
+    moved = src.select("pid", "x", "y", F.explode(listed).alias("m")).select(
+        (F.col("pid") * len(motions) + F.col("m.h")).alias("pid"),
+        (F.col("m.c") * F.col("x") - F.col("m.s") * F.col("y") + F.col("m.tx")).alias("x"),
+        (F.col("m.s") * F.col("x") + F.col("m.c") * F.col("y") + F.col("m.ty")).alias("y"),
+    )
+    met = pairs_within(moved, dst, bound, "xy", closed=False).select("pid").distinct()
+    return met.groupBy((F.col("pid") % len(motions)).cast("int").alias("h")).agg(F.count("*").alias("hits"))
+
+
+def _centred(points: DataFrame) -> tuple[DataFrame, np.ndarray, float, int]:
+    """The points about their mean in plan, that mean, their largest distance from it, their number."""
+    mean = points.agg(*[F.avg(c).cast("double").alias(c) for c in "xy"], F.count("*").alias("n")).first()
+    if mean["n"] < 2:
         raise ValueError("registration needs two objects on each side")
-    tasks = spark.range(0, iterations, 1, spark.sparkContext.defaultParallelism).select(F.col("id").alias("h"))
-    found = tasks.mapInArrow(_score_hypotheses(src, dst, inlier, min_length, seed, 200), "h bigint, hits bigint, turn double, tx double, ty double")
-    best = found.orderBy(F.desc("hits"), "h").first()
-    if best is None:
+    local = materialise(points.select("pid", *[(F.col(c) - F.lit(mean[c])).alias(c) for c in "xy"]), "centres")
+    far = local.agg(F.max(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("d2")).first()["d2"]
+    return local, np.array([mean["x"], mean["y"]]), float(np.sqrt(far)), mean["n"]
+
+
+def _refit(src: DataFrame, dst: DataFrame, motion: Sequence[float], bound: float) -> list[float]:
+    """The motion fitted by least squares to the pairs that ``motion`` brings closer than ``bound``."""
+    c, s, tx, ty = motion
+    matrix = np.eye(4)
+    matrix[:2, :2], matrix[:2, 3] = [[c, -s], [s, c]], [tx, ty]
+    flat = [d.withColumn("z", F.lit(0.0)) for d in (src, dst)]
+    row = pair_sums(rigid_transform(flat[0], matrix.tolist()), flat[1], bound).first()
+    if row["n"] < 2:
+        return list(motion)
+    fitted = rigid_fit(row) @ matrix
+    return [fitted[0, 0], fitted[1, 0], fitted[0, 3], fitted[1, 3]]
+
+
+def match_centres_2d(src: DataFrame, dst: DataFrame, inlier: float = 0.6, min_length: float = 8.0, draws: int = 3000, seed: int = 0, tried: int = 64) -> tuple[np.ndarray, int]:
+    """The 2-D rotation and shift ``(3x3, hits)`` that lays most of ``src (pid, x, y)`` on ``dst``.
+
+    ``draws`` pairs of source centres are drawn by a hash among those of a band of lengths, from a third of
+    the source's radius (``min_length`` at least) up; the band is widened until it has so many. Target pairs of that
+    band are made once by a grid join and vote with them (:func:`pair_votes`). The ``tried`` cells with most
+    votes are scored exactly, and the best is fitted to its pairs. Only such cells reach the driver.
+    Ties go to more votes, then to the smaller cell.
+    """
+    (src, from_, radius, n), (dst, to, _, _) = _centred(src), _centred(dst)
+    low, width = max(min_length, radius / 3), max(inlier, radius / 24)
+    while True:
+        own = materialise(length_pairs(src, low, low + width), "source-pairs")
+        if own.count() >= 2 * draws or low + width >= 2 * radius:
+            break
+        discard(own)
+        width *= 2
+    drawn = materialise(draw_pairs(own, draws, seed), "drawn-pairs")
+    if drawn.isEmpty():
         raise ValueError("no pair of objects is long enough")
-    c, s = np.cos(best["turn"]), np.sin(best["turn"])
-    return np.array([[c, -s, best["tx"]], [s, c, best["ty"]], [0, 0, 1]]), best["hits"]
+    slack = inlier / 2
+    votes = pair_votes(drawn, length_pairs(dst, max(0.0, low - slack), low + width + slack), slack, inlier / max(radius, inlier), inlier)
+    top = votes.orderBy(F.desc("votes"), "ci", "si", "xi", "yi").limit(tried).collect()
+    if not top:
+        raise ValueError("no pair of targets is as long as one of the objects'")
+    motions = [[r["c"] / np.hypot(r["c"], r["s"]), r["s"] / np.hypot(r["c"], r["s"]), r["tx"], r["ty"]] for r in top if r["c"] or r["s"]]
+    hits = {r["h"]: r["hits"] for r in motion_hits(src, dst, motions, inlier).collect()}
+    best = max(range(len(motions)), key=lambda h: (hits.get(h, 0), -h))
+    fitted = _refit(src, dst, motions[best], inlier)
+    again = motion_hits(src, dst, [fitted], inlier).first()
+    motion, count = motions[best], hits.get(best, 0)
+    if again is not None and again["hits"] >= count:
+        motion, count = fitted, again["hits"]
+    c, s, tx, ty = motion
+    turn = np.array([[c, -s], [s, c]])
+    shift = np.array([tx, ty]) + to - turn @ from_
+    return np.array([[c, -s, shift[0]], [s, c, shift[1]], [0, 0, 1]]), count
+
+
+def _centres(spark: SparkSession, xy: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "pid long, x double, y double")
+
+
+def ransac_2d(spark: SparkSession, src: np.ndarray, dst: np.ndarray, inlier: float = 0.6, min_length: float = 8.0, iterations: int = 3000, seed: int = 0) -> tuple[np.ndarray, int]:
+    """:func:`match_centres_2d` of two arrays of centres."""
+    return match_centres_2d(_centres(spark, src), _centres(spark, dst), inlier, min_length, iterations, seed)
 
 
 def vertical_offset(src: DataFrame, dst: DataFrame, bound: float = 0.1) -> float:
@@ -170,13 +211,10 @@ def register_clouds(objects: Sequence[np.ndarray], targets: np.ndarray, src: Dat
 
     Both sides are centred first, so map coordinates do not cost precision.
     """
-    listed = src.sparkSession.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(objects)], "pid long, x double, y double")
-    centres = np.array([(r["x"], r["y"]) for r in thin(listed, 0.5).orderBy("pid").collect()], "f8").reshape(-1, 2)
-    ms, mt = centres.mean(axis=0), targets.mean(axis=0)
-    flat, hits = ransac_2d(src.sparkSession, centres - ms, targets - mt, seed=seed)
+    spark = src.sparkSession
+    flat, hits = match_centres_2d(thin(_centres(spark, objects), 0.5), _centres(spark, targets), seed=seed)
     matrix = np.eye(4)
-    matrix[:2, :2] = flat[:2, :2]
-    matrix[:2, 3] = flat[:2, 2] + mt - flat[:2, :2] @ ms
+    matrix[:2, :2], matrix[:2, 3] = flat[:2, :2], flat[:2, 2]
     low = src.agg(F.avg("z").alias("z")).first()["z"] or 0.0
     high = dst.agg(F.avg("z").alias("z")).first()["z"] or 0.0
     matrix[2, 3] = high - low

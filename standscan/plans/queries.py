@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standscan.functions.cloud import CLOUD_SQL, argmax, cell, events_cloud, portable_hash, softmax
-from standscan.operators import blocks, clusters, labels, metrics, neighbours, points, raster, register, render, shape, split
+from standscan.operators import blocks, clusters, labels, metrics, neighbours, order, points, raster, register, render, shape, split
 from standscan.session import table
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -564,6 +564,62 @@ def vertical_offset(spark, sf_dir):
     return spark.createDataFrame([(dz,)], "dz double")
 
 
+# Object centres: one class of the wide cloud by cells of a metre. The targets are all of them after a quarter turn and a shift.
+OBJECTS = f"""{WIDE_SQL}, src as (select min(pid) as pid, sum(x) // count(*) as x, sum(y) // count(*) as y from cloud where label = 2 group by x // 1000, y // 1000),
+dst as (select pid, 700 - y as x, x + 1300 as y from src)"""
+BAND = (2500, 3500)
+MOTIONS = [(1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 700.0, 1300.0), (0.0, 1.0, 600.0, 1500.0), (-1.0, 0.0, 0.0, 0.0), (0.8, 0.6, 500.0, 0.0)]
+
+
+def _wide_objects(spark, sf_dir):
+    cloud = events_cloud(spark, sf_dir).withColumn("x", F.expr("x + 10000 * (pid div 10000)")).where("label = 2")
+    src = cloud.groupBy(cell("x", 1000), cell("y", 1000)).agg(F.min("pid").alias("pid"), F.expr("sum(x) div count(*)").alias("x"), F.expr("sum(y) div count(*)").alias("y"))
+    src = src.select("pid", "x", "y")
+    return src, src.select("pid", F.expr("700 - y").alias("x"), F.expr("x + 1300").alias("y"))
+
+
+def _sql_pairs(of: str, low: int, high: int) -> str:
+    return f"""(select a.pid, b.pid as nid, sqrt(((a.x - b.x)**2 + (a.y - b.y)**2)::double) as len, a.x as lx, a.y as ly, b.x as rx, b.y as ry from {of} a, {of} b
+  where a.pid <> b.pid and (a.x - b.x)**2 + (a.y - b.y)**2 between {low * low} and {high * high})"""
+
+
+@query(f"""with {OBJECTS}, drawn as (select * from {_sql_pairs("src", *BAND)} where pid < nid order by {_sql_rehash("pid * 1000003 + nid")}, pid, nid limit 300),
+met as (select p.*, d.len as hl, d.rx - d.lx as dx, d.ry - d.ly as dy, p.rx - p.lx as ex, p.ry - p.ly as ey, (d.lx + d.rx) / 2.0::double as mx, (d.ly + d.ry) / 2.0::double as my
+  from drawn d join {_sql_pairs("dst", BAND[0] - 50, BAND[1] + 50)} p on abs(p.len - d.len) < 50),
+turned as (select *, (dx * ex + dy * ey)::double / (len * hl) as c, (dx * ey - dy * ex)::double / (len * hl) as s from met),
+moved as (select *, (lx + rx) / 2.0::double - (c * mx - s * my) as tx, (ly + ry) / 2.0::double - (s * mx + c * my) as ty from turned)
+select floor(c / 0.02::double)::bigint as ci, floor(s / 0.02::double)::bigint as si, floor(tx / 100.0::double)::bigint as xi, floor(ty / 100.0::double)::bigint as yi, count(*) as votes from moved group by 1, 2, 3, 4 having count(*) >= 3""")
+def pair_votes(spark, sf_dir):
+    """Cells of turn and shift with at least three votes of 300 drawn pairs of objects."""
+    src, dst = _wide_objects(spark, sf_dir)
+    drawn = register.draw_pairs(register.length_pairs(src, *BAND), 300)
+    votes = register.pair_votes(drawn, register.length_pairs(dst, BAND[0] - 50, BAND[1] + 50), 50, 0.02, 100)
+    return votes.where("votes >= 3").select("ci", "si", "xi", "yi", "votes")
+
+
+@query(f"""with {OBJECTS}, motions as (select * from (values {", ".join(f"({h}, {c}::double, {s}::double, {x}::double, {y}::double)" for h, (c, s, x, y) in enumerate(MOTIONS))}) as m(h, c, s, tx, ty)),
+moved as (select h, pid, c * x - s * y + tx as x, s * x + c * y + ty as y from src, motions)
+select h, count(distinct m.pid) as hits from moved m, dst d where (m.x - d.x)**2 + (m.y - d.y)**2 < 90000 group by h""")
+def motion_hits(spark, sf_dir):
+    """Objects that each of five motions brings to a target."""
+    return register.motion_hits(*_wide_objects(spark, sf_dir), MOTIONS, 300)
+
+
+@query(f"""with {OBJECTS} select 0::bigint as cosine, 1::bigint as sine, 700::bigint as tx, 1300::bigint as ty, count(*) as hits from src""")
+def match_centres(spark, sf_dir):
+    """The motion that votes and exact scores find; the targets are the objects after a known one."""
+    src, dst = _wide_objects(spark, sf_dir)
+    matrix, hits = register.match_centres_2d(src, dst, 200, 2000, draws=300)
+    found = [round(matrix[0, 0]), round(matrix[1, 0]), round(matrix[0, 2]), round(matrix[1, 2]), hits]
+    return spark.createDataFrame([found], "cosine long, sine long, tx long, ty long, hits long")
+
+
+@query(f"with {CLOUD_SQL} select label, quantile_cont(z::double, 0.5) as z_mid, quantile_cont((x + y)::double, 0.9) as xy_high from cloud group by label")
+def class_percentiles(spark, sf_dir):
+    """Exact percentiles of few large groups."""
+    return order.percentiles(events_cloud(spark, sf_dir), ["label"], {"z_mid": (F.col("z"), 0.5), "xy_high": (F.col("x") + F.col("y"), 0.9)})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in _FOUND.items()}
 

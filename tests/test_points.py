@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from standscan.functions.cloud import symmetric_eigenvalues
-from standscan.operators import clusters, components, labels, metrics, neighbours, points, raster, register, shape, split
+from standscan.operators import clusters, components, labels, metrics, neighbours, order, points, raster, register, shape, split
 from standscan.plans import cli, config
 
 
@@ -205,17 +205,88 @@ def test_ransac_recovers_a_turn(spark):
     assert hits == 15 and np.abs(src @ flat[:2, :2].T + flat[:2, 2] - dst).max() < 0.1
 
 
-def test_pairs_in_blocks(monkeypatch):
+def _places(spark, xy):
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "pid long, x double, y double")
+
+
+def test_length_pairs_equal_brute_force(spark):
     rng = np.random.default_rng(12)
     xy = rng.uniform(0, 30, (60, 2))
     gap = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
-    want = {(int(p), int(q)) for p, q in np.argwhere(np.abs(gap - 9) < 0.3) if p != q}
-    for cells in (1, 200, 1 << 20):
-        monkeypatch.setattr(register, "BLOCK_CELLS", cells)
-        assert set(map(tuple, register._pairs_of_length(xy, 9.0, 0.3, 10_000, rng).tolist())) == want
-        few = register._pairs_of_length(xy, 9.0, 0.3, 20, rng).tolist()
-        assert len(few) == 20 and set(map(tuple, few)) <= want
-        assert register._hits(xy[:30] + 0.1, xy, 0.2) == 30
+    want = {(int(p), int(q)) for p, q in np.argwhere((gap >= 8.7) & (gap <= 9.3)) if p != q}
+    found = register.length_pairs(_places(spark, xy), 8.7, 9.3)
+    assert {(r["pid"], r["nid"]) for r in found.collect()} == want
+    drawn = [(r["pid"], r["nid"]) for r in register.draw_pairs(found, 20).collect()]
+    assert len(set(drawn)) == 20 and set(drawn) <= want and all(p < q for p, q in drawn)
+
+
+def test_motion_hits_equal_brute_force(spark):
+    rng = np.random.default_rng(13)
+    src, dst = rng.uniform(0, 20, (40, 2)), rng.uniform(0, 20, (50, 2))
+    motions = [(np.cos(a), np.sin(a), tx, 20.0 - tx) for a, tx in rng.uniform(0, 6, (5, 2))] + [(1.0, 0.0, 500.0, 0.0)]
+    got = {r["h"]: r["hits"] for r in register.motion_hits(_places(spark, src), _places(spark, dst), motions, 0.8).collect()}
+    for h, (c, s, tx, ty) in enumerate(motions):
+        moved = src @ np.array([[c, -s], [s, c]]).T + (tx, ty)
+        assert got.get(h, 0) == int((np.hypot(*(moved[:, None] - dst[None]).transpose(2, 0, 1)).min(axis=1) < 0.8).sum())
+
+
+def test_match_equals_the_best_of_all_pairs(spark):
+    """Half of the source has no target, half of the targets no source; centres are off by some centimetres, far from the origin."""
+    rng = np.random.default_rng(14)
+    src = rng.uniform(0, 60, (40, 2)) + (5e5, 4e6)
+    a = np.deg2rad(133)
+    turn = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
+    mean = src.mean(axis=0)
+    dst = np.concatenate([(src[:20] - mean) @ turn.T + rng.normal(0, 0.05, (20, 2)), rng.uniform(-40, 40, (20, 2))]) + mean + (7, -3)
+    best, best_turn = 0, None
+    for i, j in itertools.combinations(range(40), 2):
+        d = src[j] - src[i]
+        gap = dst[None] - dst[:, None]
+        for p, q in np.argwhere((np.hypot(*d) >= 8) & (np.abs(np.hypot(gap[..., 0], gap[..., 1]) - np.hypot(*d)) < 0.3)):
+            t = np.arctan2(*gap[p, q][::-1]) - np.arctan2(*d[::-1])
+            r = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
+            moved = (src - (src[i] + src[j]) / 2) @ r.T + (dst[p] + dst[q]) / 2
+            hits = int((np.hypot(*(moved[:, None] - dst[None]).transpose(2, 0, 1)).min(axis=1) < 0.6).sum())
+            if hits > best:
+                best, best_turn = hits, r
+    flat, hits = register.match_centres_2d(_places(spark, src), _places(spark, dst), draws=300)
+    assert np.abs(flat[:2, :2] - turn).max() < 0.01
+    assert np.abs(src[:20] @ flat[:2, :2].T + flat[:2, 2] - dst[:20]).max() < 0.4
+    # The fit to all pairs may lose a centre that a crooked hypothesis meets by chance.
+    assert np.abs(flat[:2, :2] - best_turn).max() < 0.05
+    assert hits >= 20 and hits >= best - 1
+
+
+def test_match_without_a_long_pair(spark):
+    close = _places(spark, [(0, 0), (1, 1), (2, 0)])
+    with pytest.raises(ValueError, match="long enough"):
+        register.match_centres_2d(close, close)
+    with pytest.raises(ValueError, match="two objects"):
+        register.match_centres_2d(close.limit(1), close)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_percentiles_equal_sorting(spark, parts):
+    """One group has nearly all rows, a third of them equal; others have one row, nulls only, or no key."""
+    rng = np.random.default_rng(15)
+    big = np.where(rng.random(3000) < 0.33, 0.0, rng.normal(0, 5, 3000))
+    rows = [(1, float(v), float(-v)) for v in big] + [(2, 4.5, None), (3, None, None), (3, None, None), (None, 1.0, 1.0), (5, 1.0, 2.0), (5, 2.0, 2.0), (5, float("nan"), 2.0)]
+    df = spark.createDataFrame(rows, "g long, v double, w double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        found = order.percentiles(df, ["g"], {"mid": (F.col("v"), 0.5), "high": (F.col("v"), 0.98), "least": (F.col("v"), 0.0), "w9": (F.col("w"), 0.9)})
+        got = {r["g"]: r for r in found.collect()}
+        assert order.percentiles(df.where("g = 3"), ["g"], {"mid": (F.col("v"), 0.5)}).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(got) == {1, 2, 5}
+    want = {"mid": np.quantile(big, 0.5), "high": np.quantile(big, 0.98), "least": big.min(), "w9": np.quantile(-big, 0.9)}
+    assert all(got[1][k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+    assert (got[2]["mid"], got[2]["high"], got[2]["w9"]) == (4.5, 4.5, None)
+    assert got[5]["mid"] == 2.0 and np.isnan(got[5]["high"]) and got[5]["w9"] == 2.0
 
 
 def test_rule_order(spark):
