@@ -8,10 +8,10 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomFore
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from standscan.operators import split
+from standscan.session import discard, materialise
 
 LOCAL = ("local_x", "local_y", "local_z")
 
@@ -63,22 +63,41 @@ def predict(points: DataFrame, model, names: Sequence[str], block: float, stride
     return split.average_votes(votes, [f"prob_{c}" for c in range(n_classes)])
 
 
-def farthest_points(points: DataFrame, k: int) -> DataFrame:
+def farthest_points(points: DataFrame, k: int, parts: int = 8) -> DataFrame:
     """``(bx, by, rank, pid)``: a spread subset of every block, by the point farthest from those taken.
 
-    Each round is one aggregation over all blocks at once; k is a small sample size.
+    Blocks are cut into ``parts`` by ``parts`` cells, each with its box and its farthest point. Only cells
+    whose box is nearer to the point just taken than that distance can change, so a round measures the points of
+    these cells against those taken, and writes a row a cell; points are written once. Ties go to the smaller pid; a block
+    ends early when all its points lie on taken ones. ``k`` is a small sample size.
     """
-    from standscan.session import materialise
-
-    state = points.select("bx", "by", "pid", "x", "y", "z").withColumn("d", F.lit(float("inf")))
-    first = F.row_number().over(W.partitionBy("bx", "by").orderBy("pid"))
-    taken = materialise(state.withColumn("n", first).where("n = 1").select("bx", "by", F.lit(1).alias("rank"), "pid", "x", "y", "z"), "fps-taken")
-    out = taken
+    block, key, at = ["bx", "by"], ["bx", "by", "ci", "cj"], ("x", "y", "z")
+    span = points.groupBy(*block).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    part = lambda c: F.when(F.col(f"hi{c}") > F.col(f"lo{c}"), F.floor((F.col(c) - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}")) * parts)).otherwise(0).cast("int")
+    placed = materialise(points.join(span, block).select(*block, part("x").alias("ci"), part("y").alias("cj"), "pid", *at), "fps-points")
+    boxes = placed.groupBy(*key).agg(*[f(c).alias(f"{n}{c}") for c in at for n, f in (("lo", F.min), ("hi", F.max))])
+    box = [f"{n}{c}" for c in at for n in ("lo", "hi")]
+    far = F.max(F.struct("d", (-F.col("pid")).alias("o"), "pid", *at)).alias("far")
+    first = materialise(placed.groupBy(*block).agg(F.min_by(F.struct("pid", *at), "pid").alias("p")).select(*block, "p.*"), "fps-taken")
+    taken = first.select(*block, F.array(F.struct("pid", *at)).alias("taken"))
+    every = placed.join(taken, block).withColumn("d", _to_taken(at))
+    cells = materialise(every.groupBy(*key).agg(far).join(boxes, key), "fps-cells")
     for rank in range(2, k + 1):
-        c = taken.select("bx", "by", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-        d = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2 + (F.col("z") - F.col("cz")) ** 2
-        state = materialise(state.join(c, ["bx", "by"]).select("bx", "by", "pid", "x", "y", "z", F.least("d", d).alias("d")), "fps-state")
-        best = F.max(F.struct("d", (-F.col("pid")).alias("o"), "pid", "x", "y", "z")).alias("b")
-        taken = materialise(state.groupBy("bx", "by").agg(best).where("b.d > 0").select("bx", "by", F.lit(rank).alias("rank"), "b.pid", "b.x", "b.y", "b.z"), "fps-taken")
-        out = out.unionByName(taken)
-    return out.select("bx", "by", "rank", "pid")
+        best = cells.groupBy(*block).agg(F.max("far").alias("b")).where("b.d > 0")
+        new = F.struct(*[F.col(f"b.{c}").alias(c) for c in ("pid", *at)])
+        taken_before, taken = taken, materialise(taken.join(best, block, "left").select(*block, F.when(F.col("b").isNotNull(), F.array_append("taken", new)).otherwise(F.col("taken")).alias("taken")), "fps-taken")
+        if rank == k:
+            break
+        last = taken.where(F.size("taken") == rank).withColumn("c", F.element_at("taken", -1))
+        gap = lambda c: F.greatest(F.col(f"lo{c}") - F.col(f"c.{c}"), F.col(f"c.{c}") - F.col(f"hi{c}"), F.lit(0))
+        reached = cells.join(last, block).where(sum(gap(c) * gap(c) for c in at) < F.col("far.d")).select(*key, "taken")
+        again = placed.join(reached, key).withColumn("d", _to_taken(at)).groupBy(*key).agg(far.alias("near"))
+        before, cells = cells, materialise(cells.join(again, key, "left").select(*key, F.coalesce("near", "far").alias("far"), *box), "fps-cells")
+        discard(before)
+        discard(taken_before)
+    return taken.select(*block, F.posexplode("taken").alias("n", "p")).select(*block, (F.col("n") + 1).alias("rank"), "p.pid")
+
+
+def _to_taken(at: Sequence[str]):
+    """The squared distance of a point to the nearest of the array ``taken``."""
+    return F.array_min(F.transform("taken", lambda t: sum((F.col(c) - t[c]) * (F.col(c) - t[c]) for c in at))).cast("double")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standscan.functions.cloud import CLOUD_SQL, argmax, cell, events_cloud, portable_hash, softmax
-from standscan.operators import blocks, clusters, labels, metrics, neighbours, order, points, raster, register, render, shape, split
+from standscan.operators import blocks, clusters, labels, metrics, models, neighbours, order, points, raster, register, render, shape, split
 from standscan.session import table
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -620,6 +620,45 @@ def class_percentiles(spark, sf_dir):
     return order.percentiles(events_cloud(spark, sf_dir), ["label"], {"z_mid": (F.col("z"), 0.5), "xy_high": (F.col("x") + F.col("y"), 0.9)})
 
 
+def _sql_farthest(k: int) -> str:
+    gap = "(b.x - t{0}.x)**2 + (b.y - t{0}.y)**2 + (b.z - t{0}.z)**2"
+    steps = ['placed as (select bx, "by", c.* from blocks join cloud c using (pid))', 't1 as (select * from placed qualify row_number() over (partition by bx, "by" order by pid) = 1)']
+    for n in range(2, k + 1):
+        near = f"least({', '.join(gap.format(i) for i in range(1, n))})"
+        joins = " ".join(f't{i} on t{i}.bx = b.bx and t{i}."by" = b."by"' if i == 1 else f'join t{i} on t{i}.bx = b.bx and t{i}."by" = b."by"' for i in range(1, n))
+        steps.append(f't{n} as (select b.* from placed b join {joins} where {near} > 0 qualify row_number() over (partition by b.bx, b."by" order by {near} desc, b.pid) = 1)')
+    return ", ".join(steps) + " " + " union all ".join(f'select bx, "by", {n}::int as rank, pid from t{n}' for n in range(1, k + 1))
+
+
+@query(f"with {CLOUD_SQL}, {BLOCKS}, {_sql_farthest(5)}")
+def farthest_points(spark, sf_dir):
+    """Five spread points of every sliding block."""
+    return models.farthest_points(split.eval_blocks(events_cloud(spark, sf_dir), 2000, 1000), 5)
+
+
+@query(f"""with recursive {CLOUD_SQL.replace("cloud as", "whole as", 1)}, cloud as (select * from whole where label = 2), {DBSCAN},
+links as (select pid, nid from pairs where pid in (select pid from core) and nid in (select pid from core)),
+reach(pid, root) as (select pid, pid from core union select l.nid, r.root from reach r join links l on l.pid = r.pid where r.root < l.nid),
+roots as (select pid, min(root) as root from reach group by pid),
+owned as (select p.pid, min(r.root) as root from pairs p join roots r on r.pid = p.nid group by p.pid),
+fin as (select c.pid, coalesce(roots.root, owned.root) as root from cloud c left join roots using (pid) left join owned using (pid)),
+num as (select root, row_number() over (order by root) - 1 as instance from (select root from fin where root is not null group by root having count(*) >= 6))
+select w.pid, coalesce(instance, -1)::bigint as instance from whole w left join fin on fin.pid = w.pid left join num using (root)""")
+def class_instances(spark, sf_dir):
+    """Instances of one predicted class; clusters below six points are dropped."""
+    return clusters.extract_instances(events_cloud(spark, sf_dir).withColumn("hag", F.col("z")), 2, EPS, 6, pred="label")[0]
+
+
+@query(f"""with {CLOUD_SQL}, near as (select p.pid, p.label, arg_min(q.label, ((p.x + 30 - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2)::bigint * 10000000 + q.pid) as target, min((p.x + 30 - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2) as d2
+  from cloud p, cloud q group by p.pid, p.label)
+select avg((d2 < 40000)::int::double) as matched, avg((label = -1)::int::double) as ignored from near""")
+def reference_match(spark, sf_dir):
+    """Shares of the cloud, moved by 3 cm, that meet a reference point and that carry no label."""
+    cloud = events_cloud(spark, sf_dir)
+    report = labels.compare_with_reference(cloud.withColumn("x", F.col("x") + 30), cloud, {0: 0, 1: 1, 2: 2}, 3, 200)
+    return spark.createDataFrame([(report["matched_fraction"], report["ignored_fraction"])], "matched double, ignored double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in _FOUND.items()}
 

@@ -368,6 +368,24 @@ def test_selection_and_spread(spark):
     assert [r["pid"] for r in models.farthest_points(df, 3).orderBy("rank").collect()] == [0, 5, 2]
 
 
+def test_farthest_points_equal_the_loop(spark):
+    """Three blocks: many points with repeated places, one place only, one point."""
+    from standscan.operators import models
+
+    rng = np.random.default_rng(16)
+    xyz = rng.integers(0, 12, (150, 3)).astype(float)
+    rows = [(0, 0, i, *map(float, p)) for i, p in enumerate(xyz)] + [(0, 1, 900 + i, 1.0, 2.0, 3.0) for i in range(4)] + [(1, 0, 950, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "bx int, by int, pid long, x double, y double, z double")
+    far, taken = np.full(150, np.inf), [0]
+    while len(taken) < 6:
+        far = np.minimum(far, ((xyz - xyz[taken[-1]]) ** 2).sum(axis=1))
+        taken.append(int(far.argmax()))
+    want = [(0, 0, n + 1, p) for n, p in enumerate(taken)] + [(0, 1, 1, 900), (1, 0, 1, 950)]
+    assert sorted(map(tuple, models.farthest_points(df, 6).collect())) == want
+    assert sorted(map(tuple, models.farthest_points(df, 6, parts=1).collect())) == want
+    assert models.farthest_points(df.limit(0), 3).count() == 0
+
+
 def test_matching_of_a_long_chain(spark):
     n = 260
     chain = lambda shift: spark.createDataFrame([(i, i + shift, 0.0) for i in range(n)], "id long, x double, y double")
