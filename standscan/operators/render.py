@@ -92,3 +92,40 @@ def render_confusion(matrix: list[list[int]], path: str, block: int = 48) -> Non
     shade = (255 * (1 - share)).astype("u1").repeat(block, axis=0).repeat(block, axis=1)
     with open(path, "wb") as f:
         f.write(png_bytes(np.stack([shade, shade, np.full_like(shade, 255)], axis=2)))
+
+
+def _line(image: np.ndarray, xs: Sequence[float], ys: Sequence[float], span: tuple[float, float, float, float], colour: tuple[int, int, int]) -> None:
+    """A polyline in a panel whose corners are the lowest and highest x and y of ``span``."""
+    h, w, _ = image.shape
+    lo_x, hi_x, lo_y, hi_y = span
+    px = [round((x - lo_x) / (hi_x - lo_x or 1) * (w - 3)) + 1 for x in xs]
+    py = [h - 2 - round((y - lo_y) / (hi_y - lo_y or 1) * (h - 3)) for y in ys]
+    for x, y in zip(px, py, strict=True):
+        image[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2] = colour
+    for (xa, ya), (xb, yb) in zip(zip(px, py), zip(px[1:], py[1:])):
+        steps = max(abs(xb - xa), abs(yb - ya), 1)
+        for k in range(steps + 1):
+            image[ya + round((yb - ya) * k / steps), xa + round((xb - xa) * k / steps)] = colour
+
+
+def render_curves(history: Sequence[dict], path: str, width: int = 420, height: int = 260) -> None:
+    """Two panels by round: the training loss, and the mean IoU of training and, where measured, of validation (0 to 1).
+
+    The ranges and colours are written to ``path`` + ``.json``.
+    """
+    series = {c: [(r["round"], r[c]) for r in history if r.get(c) is not None] for c in ("train_loss", "train_miou", "val_miou")}
+    colours = dict(zip(series, (PALETTE[1], PALETTE[3], PALETTE[2]), strict=True))
+    last = max([r["round"] for r in history], default=1)
+    top = max([v for _, v in series["train_loss"]], default=1.0)
+    panels = []
+    for names, high in ((("train_loss",), top), (("train_miou", "val_miou"), 1.0)):
+        image = np.full((height, width, 3), 255, "u1")
+        image[[0, -1]] = image[:, [0, -1]] = PALETTE[8]
+        for name in names:
+            if series[name]:
+                _line(image, *zip(*series[name], strict=True), (1, last, 0.0, high), colours[name])
+        panels.append(image)
+    with open(path + ".json", "w") as f:
+        json.dump({"rounds": last, "highest_loss": top, "colours": colours}, f)
+    with open(path, "wb") as f:
+        f.write(png_bytes(np.concatenate([panels[0], np.full((height, 10, 3), 220, "u1"), panels[1]], axis=1)))

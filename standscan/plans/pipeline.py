@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import time
 from collections.abc import Mapping
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 from standscan.functions.cloud import argmax
 from standscan.operators import clusters, labels, metrics, models, neighbours, points, raster, shape, split
-from standscan.operators.render import render_confusion
+from standscan.operators.render import render_confusion, render_curves
 from standscan.plans import config as configs
 from standscan.session import materialise
 from standscan.sources import clouds, sinks
 
+log = logging.getLogger("standscan")
 SPLITS = ("train", "val", "test")
 COLUMN_FEATURES = ("hag", "column_max_hag", "column_stack_hag", "column_rel_height")
 
@@ -121,19 +123,33 @@ def split_scenes(spark: SparkSession, config: Mapping) -> dict:
 
 
 def train(spark: SparkSession, config: Mapping) -> str:
-    """Fit the configured model and save it with its settings. Returns the run's folder."""
+    """Fit the configured model in rounds and save the best and the last with their settings. Returns the run's folder.
+
+    ``metrics.csv`` has a row a round and is written after each; ``best_val.json`` holds the best of them, ``curves.png`` shows all.
+    """
     with open(_path(config, "meta.json")) as f:
         meta = json.load(f)
     names, classes, t = meta["feature_names"], meta["classes"], config["train"]
-    scene = points.standardise(spark.read.parquet(_path(config, "scenes")).where("split = 0"), meta["stats"])
+    scenes = points.standardise(spark.read.parquet(_path(config, "scenes")), meta["stats"])
     weights = spark.createDataFrame([(int(k), float(v)) for k, v in meta["class_weights"].items()], "label int, weight double")
     name = config["model"]["name"]
-    model = models.build_model(name, config["model"].get(name, {}), len(names) + 3, len(classes), t["seed"])
-    fitted = models.train(models.block_inputs(scene, t["block_size"]), [*models.LOCAL, *names], weights, model)
     run = _path(config, "runs", f"{name}-{time.strftime('%Y%m%d-%H%M%S')}")
-    fitted.write().overwrite().save(os.path.abspath(os.path.join(run, "model")))
+    os.makedirs(run, exist_ok=True)
     configs.save(config, os.path.join(run, "config.yaml"))
     sinks.write_json(meta, os.path.join(run, "meta.json"))
+    history = []
+
+    def tell(row: dict) -> None:
+        history.append({(f"val_iou_{classes[int(k[8:])]}" if k.startswith("val_iou_") else k): v for k, v in row.items()})
+        sinks.write_rows(history, os.path.join(run, "metrics.csv"))
+        log.info("round %d: %s", row["round"], json.dumps(history[-1]))
+
+    done = models.train_in_rounds(scenes.where("split = 0"), scenes.where("split = 1"), names, weights, name, config["model"].get(name, {}), t["block_size"], len(classes), t["seed"], config["infer"]["stride"], tell)
+    for folder, model in (("model", done.best), ("last", done.last)):
+        model.write().overwrite().save(os.path.abspath(os.path.join(run, folder)))
+    seen = [row for row in history if row.get("val_miou") is not None]
+    sinks.write_json(max(seen, key=lambda row: row["val_miou"]) if seen else {}, os.path.join(run, "best_val.json"))
+    render_curves(history, os.path.join(run, "curves.png"))
     return run
 
 

@@ -507,8 +507,8 @@ def train_blocks(spark, sf_dir):
     return found.agg(F.count("*").alias("slots"), weigh("pid").alias("pids"), weigh("label").alias("labels"), weigh("local_x").alias("xs"), F.sum("local_z").alias("zs"))
 
 
-def _sql_portion(key: str) -> str:
-    return f"(({_sql_rehash(key)} + 0.5::double) / 4294967296.0::double)"
+def _sql_portion(key: str, seed: int = 0) -> str:
+    return f"(({_sql_rehash(key, seed)} + 0.5::double) / 4294967296.0::double)"
 
 
 def _sql_jitter(i: int) -> str:
@@ -526,6 +526,17 @@ def augmented_blocks(spark, sf_dir):
     return moved.agg(*means.values(), F.round(F.avg(F.col("local_x") * F.col("local_x")), 2).alias("xx"))
 
 
+@query(f"""with {CLOUD_SQL}, share as (select label, count(*)::double / sum(count(*)) over () as f from cloud where label >= 0 group by label),
+raw as (select label, 1.0::double / sqrt(greatest(f, 1e-6)) as w from share), weights as (select label, w / avg(w) over () as w from raw),
+copies as (select pid, label, floor(w + {_sql_portion("pid", 5)})::bigint as n from cloud join weights using (label))
+select label, pid % 100 as bucket, sum(n)::bigint as copies, sum(n * pid)::bigint as pids from copies where n > 0 group by all""")
+def weighted_copies(spark, sf_dir):
+    """Labelled points repeated by the weight of their class."""
+    cloud = events_cloud(spark, sf_dir)
+    rows = models.repeated(cloud, metrics.class_weights(cloud, mode="inverse_sqrt"), F.col("pid"), 5)
+    return rows.groupBy("label", (F.col("pid") % 100).alias("bucket")).agg(F.count("*").alias("copies"), F.sum("pid").alias("pids"))
+
+
 @query(f"""with {CLOUD_SQL}, pairs as (select c.pid, p.pid as nid, ((c.x - p.x)**2 + (c.y - p.y)**2 + (c.z - p.z)**2)::bigint as d2 from cloud c, cloud p where c.label = 2 and p.label <> 2),
 near as (select *, row_number() over (partition by pid order by d2, nid) - 1 as rank, count(*) over (partition by pid) as n from pairs where d2 <= 160000),
 slots as (select *, unnest(range(0, case when rank = 0 then greatest(12 - n, 0) + 1 else 1 end)) as more from near where rank < 12)

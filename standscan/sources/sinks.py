@@ -10,6 +10,7 @@ their own, which one task joins, a few megabytes at a time.
 from __future__ import annotations
 
 import contextlib
+import csv
 import json
 import os
 import struct
@@ -199,6 +200,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.toPandas().to_csv(path, index=False)
 
 
+def write_rows(rows: list[dict], path: str) -> None:
+    """A few rows as one file with a header; the columns are all that occur, in the order met."""
+    names = list(dict.fromkeys(c for row in rows for c in row))
+    with open(path, "w", newline="") as f:
+        out = csv.DictWriter(f, names)
+        out.writeheader()
+        out.writerows(rows)
+
+
 def write_json(report: dict, path: str) -> None:
     with open(path, "w") as f:
         json.dump(report, f, indent=2)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import csv
 import json
 import os
 
@@ -46,6 +47,14 @@ def test_stages_from_files_to_scores(spark, plot, monkeypatch):
     assert set(report) >= {"vs_pseudolabels", "vs_reference", "pseudolabels_vs_reference", "instances_vs_reference"}
     assert len(report["vs_reference"]["per_class"]) == 2 and report["vs_reference"]["overall_accuracy"] > 0.8
     assert "stump" in open(os.path.join(run, "eval_train", "metrics_vs_reference.txt")).read()
+    learnt = ["model.name=mlp", "model.mlp.hidden=[8]", "model.mlp.rounds=2", "model.mlp.iterations=10", "model.mlp.samples=10", "model.mlp.points=64"]
+    assert cli.main(["train", "-c", path, "--set", *learnt]) == 0
+    second = next((folder / "work" / "runs").glob("mlp-*"))
+    rows = list(csv.DictReader(open(second / "metrics.csv")))
+    assert [r["round"] for r in rows] == ["1", "2"] and all(float(r["train_loss"]) > 0 and "val_iou_stump" in r for r in rows)
+    assert open(second / "curves.png", "rb").read(4) == b"\x89PNG" and (second / "last").exists()
+    best, kept, _ = pipeline.load_run(str(second))
+    assert best.numFeatures == len(pipeline.feature_names(kept["features"])) + 3
     out = str(folder / "labelled.las")
     cli.main(["predict", "--checkpoint", run, "--input", str(folder / "plot.ply"), "--output", out, "--set", "infer.smooth_k=0", "infer.instances=null"])
     whole = clouds.read_cloud(spark, str(folder / "plot.ply")).count()
@@ -77,12 +86,4 @@ def test_unknown_model(spark):
 
     with pytest.raises(ValueError):
         models.build_model("none", {}, 3, 2)
-    df = spark.createDataFrame([(0, 0.0, 0), (1, 1.0, 1)] * 20, "pid long, a float, label int").withColumn("pid", F.monotonically_increasing_id())
-    weights = spark.createDataFrame([(0, 1.0), (1, 1.0)], "label int, weight double")
-    for name in models.MODELS:
-        model = models.build_model(name, config.DEFAULTS["model"][name], 1, 2)
-        if name == "forest":
-            fitted = models.train(df, ["a"], weights, model)
-            got = fitted.transform(models.vectors(df, ["a"])).where("prediction <> label").count()
-            assert got == 0
     assert pipeline.feature_names({"scales": [10]}) == sorted(pipeline.feature_names({"scales": [10]}))
