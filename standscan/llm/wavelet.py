@@ -40,10 +40,12 @@ import re
 import struct
 import uuid
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -84,7 +86,7 @@ def pack(ids: np.ndarray, planes: int, documents: pa.Table) -> bytes:
             parts.append(small if len(small) < len(raw) else raw)
             at += len(parts[-1])
             ends[row, b] = at
-        ids = np.concatenate([ids[~bit], ids[bit]])
+        ids = np.concatenate([np.compress(~bit, ids), np.compress(bit, ids)])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, documents.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(documents)
@@ -241,7 +243,9 @@ BY_WORDS = {
     },
 }
 #: Letters of ASCII and Latin-1, whose forms NFC keeps, and the ASCII marks but the apostrophe.
-plain_word = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+LONG = 64  # bytes; longer pieces and words are not remembered
 
 
 class _Pieces(dict):
@@ -252,7 +256,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.encoder.piece(piece)
-        if len(piece) <= 64:
+        if len(piece) <= LONG:
             self[piece] = ids
         return ids
 
@@ -264,7 +268,8 @@ class PieceEncoder:
     library whole. Pieces of up to 64 bytes are remembered in two generations of at most
     ``max_pieces`` each; when the young one is full, what was not met in it is forgotten. A piece of
     Latin-1 letters and ASCII marks after them is one word to normaliser and splitter: its letters in
-    lower case go to the library's model without these, its marks through the whole tokenizer.
+    lower case go to the library's model without these, its marks through the whole tokenizer. Lower-case
+    words are remembered in the same way, as a word comes with several marks and cases.
     """
 
     def __init__(self, vocabulary: str, max_pieces: int = 400_000) -> None:
@@ -278,17 +283,20 @@ class PieceEncoder:
         self.planes = max(1, (self.tool.get_vocab_size() - 1).bit_length())
         self.dtype = np.dtype("u2" if self.planes <= 16 else "u4")
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.spelt = {c: as_bytes(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        pairs = [as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)]  # two bytes each, the first is 0xC3
+        self.spelt = "".join(map(chr, range(0x80))) + "".join(p[1] for p in pairs) + "".ljust(3) + pairs[0][0]
         self.max_pieces = max_pieces
-        self.marks: dict[bytes, bytes] = {b"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
         self.young = _Pieces(self)
         self.old: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.dtype.char, ids).tobytes()
 
-    def _whole(self, pieces: list[bytes]) -> list[bytes]:
-        coded = self.tool.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        coded = self.tool.encode_batch_fast(pieces, add_special_tokens=False)
         return [self._packed(c.ids) for c in coded]
 
     def piece(self, piece: bytes) -> bytes:
@@ -296,26 +304,46 @@ class PieceEncoder:
         ids = self.old.get(piece)
         if ids is not None:
             return ids
-        m = plain_word(piece)
-        return self._word(m[1], m[2]) if m else self._whole([piece])[0]
-
-    def _word(self, letters: bytes, marks: bytes) -> bytes:
+        shown = piece.decode("utf-8", "replace")
+        word = shown.rstrip(MARKS)
+        if not (word.isalpha() if word.isascii() else LETTERS(word)):
+            return self._whole([shown])[0]
+        marks, word = shown[len(word) :], word.lower()
         if marks not in self.marks:
             if len(self.marks) > 10_000:
-                self.marks = {b"": b""}
+                self.marks = {"": b""}
             self.marks[marks] = self._whole([marks])[0]
-        spelt = letters.decode().lower()
-        if not spelt.isascii():
-            spelt = spelt.translate(self.spelt)
-        return self._packed([t.id for t in self.model.tokenize(spelt)]) + self.marks[marks]
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self._word(word)
+        return ids + self.marks[marks]
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word of lower-case letters that the young generation lacks."""
+        ids = self.old_words.get(word)
+        if ids is None:
+            spelt = word if word.isascii() else charmap_decode(word.encode(), "strict", self.spelt)[0]
+            ids = self._packed([t.id for t in self.model.tokenize(spelt)])
+        if len(word) <= LONG:
+            self.words[word] = ids
+        return ids
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[bytes | None]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
         if not self.by_words:
-            return self._whole([t or b"" for t in texts])
+            return self._whole([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()])
         if len(self.young) > self.max_pieces:
             self.old, self.young = self.young, _Pieces(self)
-        recall = self.young.__getitem__
-        return [b"".join(map(recall, (t or b"").split())) for t in texts]
+        if len(self.words) > self.max_pieces:
+            self.old_words, self.words = self.words, {}
+        # Equal pieces of these texts are looked up once; the kernel only looks for ASCII bytes.
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+        pieces = split.flatten().view(pa.binary()).dictionary_encode()
+        coded = pa.array(map(self.young.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary()).take(pieces.indices)
+        ids, ends = memoryview(coded.buffers()[2] or b""), np.frombuffer(coded.buffers()[1], "<i8")
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        cut = ends[offsets] if len(coded) else offsets
+        return [ids[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 @functools.lru_cache(1)
@@ -346,7 +374,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, shard_tokens: int):
         held = 0
         for batch in slices(batches):
             first = 0
-            for at, coded in enumerate(encoder.encode(batch.column("t").to_pylist())):
+            for at, coded in enumerate(encoder.encode(batch.column("t"))):
                 ids.append(coded + end)
                 counts.append(len(ids[-1]) // encoder.dtype.itemsize)
                 held += counts[-1]

@@ -84,6 +84,23 @@ def test_every_letter_and_mark_after_words(library):
         assert got == [tool.encode(t, add_special_tokens=False).ids for t in texts], hex(c)
 
 
+def test_a_word_with_other_marks_and_cases_is_encoded_once():
+    tool, encoder = Tokenizer.from_file(WORDS), wavelet.PieceEncoder(WORDS)
+
+    class Counted:
+        words, model = [], encoder.model
+
+        def tokenize(self, word):
+            self.words.append(word)
+            return self.model.tokenize(word)
+
+    encoder.model = Counted()
+    texts = [b"Vrimbel vrimbel,\tVRIMBEL. ", None, b"", b"\n", "vrimbel!! Öxelär öxelär; \xff".encode("latin-1"), " Öxelär öxelär; vrimbel".encode(), b"z" * 100 + b" " + b"z" * 100]
+    got = [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(pa.array([b"cut", *texts], pa.binary()).slice(1))]
+    assert got == [tool.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+    assert len(Counted.words) == len(set(Counted.words)) == 3 and not any(len(p) > 64 for p in [*encoder.young, *encoder.words])
+
+
 def test_other_tokenizers_take_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tool, encoder = Tokenizer.from_file(path), wavelet.PieceEncoder(path)
