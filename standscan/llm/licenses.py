@@ -21,6 +21,7 @@ one with the highest score speaks, then the first licence by name.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -77,8 +78,10 @@ WINDOWS = (16, 32, 64, 128, 256)  # lengths in terms; a template between two of
 COMMON = 1000
 MARKER = r"(?i)licen[sc]|copyright|spdx|public domain|hereby granted|redistribution and use|all rights reserved"
 MARKER_ACROSS_LINES = MARKER.replace(" ", "[^a-z0-9]+")
+MARKER_OF_TERMS = "(?=[achlprs])(?:" + MARKER.removeprefix("(?i)") + ")"  # terms are in lower case
+MARKER_PARTS = ("licen", "copyright", "spdx", "public", "hereby", "redistribution", "rights")  # each match of a marker has one
 SENTENCE = r"\n|(?<=[.!?])\s+"
-BETWEEN_TERMS = r"[^a-z0-9.+-]+"
+BETWEEN_TERMS = "[^abcdefghijklmnopqrstuvwxyz0123456789.+-]+"  # Java tests listed characters at once, but ranges one by one
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice)[^/]*$"
 
 
@@ -101,13 +104,18 @@ def _split_terms(text: Column) -> Column:
     return F.array_remove(F.transform(F.split(F.lower(text), BETWEEN_TERMS), lambda t: F.btrim(t, F.lit(".+-"))), "")
 
 
+def _may_have_marker(text: Column) -> Column:
+    """Whether a text has a part of a marker: false for most texts, which regular expressions need not search then."""
+    return functools.reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(p)) for p in MARKER_PARTS])
+
+
 def _marked_windows(terms: Column) -> Column:
     """Windows of each length with a marker; a text that one window holds needs no longer ones."""
     found = []
     for size in WINDOWS:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(terms) - size // 2), F.lit(size // 2))
         fits = F.when(F.size(terms) > (size // 2 if size > WINDOWS[0] else 0), starts).otherwise(F.array().cast("array<int>"))
-        found.append(F.filter(F.transform(fits, lambda s, size=size: F.slice(terms, s, size)), lambda w: F.array_join(w, " ").rlike(MARKER)))
+        found.append(F.filter(F.transform(fits, lambda s, size=size: F.slice(terms, s, size)), lambda w: F.array_join(w, " ").rlike(MARKER_OF_TERMS)))
     return F.concat(*found)
 
 
@@ -141,6 +149,7 @@ def score_texts(candidates: DataFrame, frequencies: DataFrame, n_docs: int, min_
     common = outside.where(F.col("df") > n_docs // COMMON).select("term", F.col("idf").alias("c_idf"))
     rare = outside.where(F.col("df") <= n_docs // COMMON).select("term", F.col("idf").alias("r_idf"))
     counted = candidates.where(F.size("ss_terms") > 0).select("ss_row", "ss_part", F.sort_array("ss_terms").alias("ss_run")).select("ss_row", "ss_part", F.explode(_counts(F.col("ss_run"))).alias("c")).select("ss_row", "ss_part", "c.term", "c.tf")
+    counted = materialise(counted, "license-counts")  # read twice
     counted = counted.join(F.broadcast(table), "term", "left").join(F.broadcast(common), "term", "left").withColumn("near_idf", F.coalesce("t_idf", "c_idf"))
     square = lambda idf: F.sum(F.pow(F.col("tf") * F.col(idf), F.lit(2.0)))
     dots = counted.groupBy("ss_row", "ss_part").agg(F.coalesce(square("near_idf"), F.lit(0.0)).alias("near"), *[F.coalesce(F.sum(F.col("tf") * F.col("near_idf") * F.col(n)), F.lit(0.0)).alias(n) for n in names])
@@ -155,7 +164,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path: str = "path", text: str
     """``(id, path, own_license, own_score, license, inherited_from)`` for every row of ``files``."""
     t = F.coalesce(F.col(text), F.lit(""))
     is_file = F.coalesce(F.col(path).rlike(LICENCE_FILE), F.lit(False))
-    marked = F.when(t.rlike(MARKER), F.filter(F.split(t, SENTENCE), lambda s: s.rlike(MARKER))).otherwise(F.array().cast("array<string>"))
+    maybe = _may_have_marker(t)
+    marked = F.when(maybe & t.rlike(MARKER), F.filter(F.split(t, SENTENCE), lambda s: s.rlike(MARKER))).otherwise(F.array().cast("array<string>"))
     nothing = F.array().cast("array<array<string>>")
     base = materialise(
         files.select(
@@ -165,7 +175,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path: str = "path", text: str
             F.when(F.instr(F.col(path), "/") > 0, F.regexp_replace(F.col(path), r"/[^/]*$", "")).when(F.col(path).isNotNull(), "").alias("ss_dir"),
             is_file.alias("ss_is_file"),
             marked.alias("ss_marked"),
-            F.when(is_file | t.rlike(MARKER_ACROSS_LINES), t).alias("ss_text"),
+            F.when(is_file | (maybe & t.rlike(MARKER_ACROSS_LINES)), t).alias("ss_text"),
         ),
         "license-files",
     )

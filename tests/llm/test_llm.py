@@ -379,6 +379,22 @@ def test_licences_of_headers_and_whole_files(spark):
     assert [got[10 + i] for i in range(len(texts))] == list(texts) and not any(got[100 + i] for i in range(60))
 
 
+def test_candidate_texts_are_counted_once(spark):
+    candidates = spark.createDataFrame([(1, 0, ["licensed", "under", "the", "mit", "license"])], "ss_row long, ss_part int, ss_terms array<string>")
+    found = licenses.score_texts(candidates, spark.createDataFrame([("the", 3)], "term string, df long"), 10, 0.6)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # the counts are read, not made again for each use
+    assert [r["license"] for r in found.collect()] == ["mit"]
+
+
+def test_texts_without_parts_of_markers_have_no_marker(spark):
+    words = ["license", "LİCENSE", "Licence", "licen", "COPYRIGHT", "copy right", "SPDX", "Public Domain", "public\n# domain", "publicdomain", "hereby  granted", "Redistribution--AND*use", "ALL rıghts reserved", "all\nrights é reserved", "all rights", "ſpdx", ""]
+    df = spark.createDataFrame([(w,) for w in words] + [(f"éÉ {w} ß",) for w in words], "t string")
+    marks = [F.col("t").rlike(m) for m in (licenses.MARKER, licenses.MARKER_ACROSS_LINES)]
+    assert df.where((marks[0] | marks[1]) & ~licenses._may_have_marker(F.col("t"))).count() == 0 and df.where(~licenses._may_have_marker(F.col("t"))).count() > 8
+    terms = df.select(F.array_join(licenses._split_terms(F.col("t")), " ").alias("t"))
+    assert terms.where(F.col("t").rlike(licenses.MARKER) != F.col("t").rlike(licenses.MARKER_OF_TERMS)).count() == 0
+
+
 def test_licence_term_counts(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), (["x"],)], "t array<string>").select(F.sort_array("t").alias("t")).select(licenses._counts(F.col("t")).alias("c"))
     assert [[tuple(p) for p in r["c"]] for r in df.collect()] == [[("a", 1), ("b", 2)], [("x", 1)]]
