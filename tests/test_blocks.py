@@ -121,3 +121,9 @@ def test_settings_replace_what_was_there():
     assert config.DEFAULTS["infer"]["instances"]["class"] == "stump"
     with pytest.raises(ValueError):
         config.with_settings({}, ["nothing"])
+
+
+def test_a_section_keeps_the_settings_that_are_not_given():
+    got = config.with_settings(config.DEFAULTS, ["model={mlp: {rounds: 3}, forest: 5}", "split={}", "reference={path: a}"])
+    assert got["model"]["mlp"] == config.DEFAULTS["model"]["mlp"] | {"rounds": 3} and got["model"]["forest"] == 5 and got["model"]["name"] == "forest"
+    assert got["split"] == config.DEFAULTS["split"] and got["reference"] == {"path": "a"} and config.DEFAULTS["model"]["mlp"]["rounds"] == 20
