@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from standscan.operators.components import connected_components
 from standscan.operators.neighbours import pairs_within
 from standscan.operators.order import percentiles, running_total
+from standscan.operators.tiles import reach_sums
 from standscan.session import materialise
 
 
-def core_points(pairs: DataFrame, min_samples: int) -> DataFrame:
-    """``(pid, n)`` of the points with at least ``min_samples`` points within reach, themselves included."""
-    return pairs.groupBy("pid").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples)
+def core_points(points: DataFrame, eps, min_samples: int, dims: str = "xyz") -> DataFrame:
+    """``(pid, n)`` of the points with at least ``min_samples`` points within ``eps``, themselves included."""
+    return reach_sums(points, points, eps, dims).where(F.col("n") >= min_samples).select("pid", "n")
 
 
 def dbscan(points: DataFrame, eps, min_samples: int, dims: str = "xyz") -> DataFrame:
@@ -25,7 +26,7 @@ def dbscan(points: DataFrame, eps, min_samples: int, dims: str = "xyz") -> DataF
     cluster with the smallest root among its core neighbours.
     """
     pairs = materialise(pairs_within(points, points, eps, dims).select("pid", "nid"), "dbscan-pairs")
-    core = materialise(core_points(pairs, min_samples).select("pid"), "dbscan-core")
+    core = materialise(core_points(points, eps, min_samples, dims).select("pid"), "dbscan-core")
     linked = pairs.join(core.withColumnRenamed("pid", "nid"), "nid", "left_semi")
     roots = connected_components(linked.join(core, "pid", "left_semi"), "pid", "nid")
     core_root = materialise(core.join(roots, F.col("pid") == F.col("node"), "left").select("pid", F.coalesce("component", "pid").alias("root")), "dbscan-roots")

@@ -12,6 +12,7 @@ from standscan.operators.clusters import detect_stumps
 from standscan.operators.metrics import confusion, summarise
 from standscan.operators.neighbours import nearest_within, pairs_within, within_radius
 from standscan.operators.points import IGNORE, voxel_downsample
+from standscan.session import materialise
 
 # The default thresholds of the labelling rules.
 DEFAULTS = {
@@ -111,8 +112,8 @@ def reference_report(points: DataFrame, class_map: Mapping[int, int], n_classes:
 
 def compare_with_reference(points: DataFrame, reference: DataFrame, class_map: Mapping[int, int], n_classes: int, tolerance: float = 0.02) -> dict:
     """Agreement with the nearest reference point closer than ``tolerance``."""
-    near = nearest_within(points, reference, tolerance)
-    joined = points.select("pid", "label").join(near, "pid").join(reference.select(F.col("pid").alias("nid"), F.col("label").alias("target")), "nid", "left")
+    found = reference.withColumn("target", F.col("label"))
+    joined = materialise(nearest_within(points, found, tolerance, keep=["label"], fields=["target"]).select("label", "nid", "target"), "reference-near")
     scored = map_classes(joined.where(F.col("nid").isNotNull() & (F.col("label") != IGNORE)), class_map, "label", "pred").select("target", "pred")
     report = summarise(confusion(scored), n_classes)
     shares = joined.agg(F.avg(F.col("nid").isNotNull().cast("double")).alias("m"), F.avg((F.col("label") == IGNORE).cast("double")).alias("i")).first()

@@ -1,20 +1,21 @@
-"""Spatial joins as bucketed equi-joins: radius, nearest and k nearest neighbours.
+"""Spatial joins: pairs within a radius, nearest and k nearest neighbours.
 
-Points are hashed to grid cells as wide as the search radius and one side is copied to its
-adjacent cells, so every join has an equality key that Spark can partition, sort and
-split when skewed.
+Where pairs are the result, points are hashed to grid cells as wide as the search radius and one
+side is copied to its adjacent cells, so the join has an equality key that Spark can partition, sort
+and split when skewed. Where each point needs a few neighbours or sums, tiles are searched instead
+(:mod:`standscan.operators.tiles`), and pairs are not written down.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from standscan.functions.cloud import cell
-from standscan.session import discard, materialise
+from standscan.operators.tiles import nearest_lists
 
 
 def _distance2(a: str, b: str, dims: str) -> Column:
@@ -39,7 +40,8 @@ def pairs_within(left: DataFrame, right: DataFrame, radius, dims: str = "xyz", c
     b = sides[copied].withColumn("s", F.explode(shifts)).withColumns({f"c{c}": i + F.col(f"s.s{c}") for i, c in zip(at[copied], dims, strict=True)}).drop("s")
     d2 = _distance2("l", "r", dims)
     limit = F.lit(radius * radius)
-    return a.join(b, [f"c{c}" for c in dims]).where(d2 <= limit if closed else d2 < limit).select("pid", "nid", d2.alias("d2"), *([f"{s}{c}" for s in "lr" for c in dims] if places else []))
+    # Spark takes the copies for as small as the table before them, and would broadcast them
+    return a.hint("merge").join(b.hint("merge"), [f"c{c}" for c in dims]).where(d2 <= limit if closed else d2 < limit).select("pid", "nid", d2.alias("d2"), *([f"{s}{c}" for s in "lr" for c in dims] if places else []))
 
 
 def within_radius(points: DataFrame, targets: DataFrame, radius, dims: str = "xyz") -> DataFrame:
@@ -47,80 +49,58 @@ def within_radius(points: DataFrame, targets: DataFrame, radius, dims: str = "xy
     return pairs_within(points, targets, radius, dims).select("pid").distinct()
 
 
-def nearest_within(points: DataFrame, targets: DataFrame, bound, dims: str = "xyz") -> DataFrame:
-    """``(pid, nid, d2)`` of every point: its nearest target closer than ``bound``, else nulls."""
-    best = pairs_within(points, targets, bound, dims, closed=False).groupBy("pid").agg(F.min(F.struct("d2", "nid")).alias("b"))
-    return points.select("pid").join(best, "pid", "left").select("pid", F.col("b.nid").alias("nid"), F.col("b.d2").alias("d2"))
+def nearest_within(points: DataFrame, targets: DataFrame, bound, dims: str = "xyz", keep: Sequence[str] = (), fields: Sequence[str] = ()) -> DataFrame:
+    """``(pid, keep, nid, d2, fields)`` of every point: its nearest target closer than ``bound``, else nulls."""
+    near = nearest_lists(points, targets, 1, dims, bound, closed=False, keep=keep, fields=fields)
+    return near.select("pid", *dict.fromkeys(keep), *[F.get("near", F.lit(0))[f].alias(f) for f in ("nid", "d2", *fields)])
 
 
-def k_nearest(points: DataFrame, targets: DataFrame, k: int, start, dims: str = "xyz", growth: int = 2, max_rounds: int = 40) -> DataFrame:
+def k_nearest(points: DataFrame, targets: DataFrame, k: int, start=None, dims: str = "xyz") -> DataFrame:
     """``(pid, nid, d2, rank)``: the exact k nearest targets of each point, ties to the smaller nid.
 
-    A point is settled when its k-th neighbour is no farther than the cell width, since all
-    closer targets lie in adjacent cells. The others are searched again with wider cells;
-    these are few, in the sparse parts of the cloud, and it is they that are then copied to
-    adjacent cells. Points see all targets if there are fewer than k.
+    Points see all targets if there are fewer than k. ``start``, the width of the first cells, is
+    no longer needed: cells follow the density of each tile.
     """
-    total = targets.count()
-    want = min(k, total)
-    w = W.partitionBy("pid").orderBy("d2", "nid")
-    done, left, width, copy_left = [], points.select("pid", *dims), start, False
-    for _ in range(max_rounds):
-        ranked = pairs_within(left, targets, width, dims, copy_left=copy_left).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want)
-        ranked = materialise(ranked, "knn-ranked")
-        full = ranked.groupBy("pid").agg(F.count("*").alias("n")).where(F.col("n") >= want).select("pid")
-        done.append(ranked.join(full, "pid", "left_semi"))
-        rest = materialise(left.join(full, "pid", "left_anti"), "knn-left")
-        n_left = rest.count()
-        left, width, copy_left = rest, width * growth, n_left < total
-        if want == 0 or not n_left:
-            break
-    else:
-        raise RuntimeError("k_nearest did not settle; start with wider cells")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    discard(left)
-    return out
-
-
-def transfer_nearest(points: DataFrame, targets: DataFrame, fields: list[str], start, dims: str = "xyz") -> DataFrame:
+    near = nearest_lists(points, targets, k, dims).select("pid", F.posexplode("near").alias("rank", "n"))
+    return near.select("pid", "n.nid", "n.d2", (F.col("rank") + 1).alias("rank"))
+
+
+def transfer_nearest(points: DataFrame, targets: DataFrame, fields: list[str], start=None, dims: str = "xyz") -> DataFrame:
     """``points`` with ``fields`` of the nearest target, however far it is."""
-    near = k_nearest(points, targets, 1, start, dims).select("pid", "nid")
-    return points.join(near, "pid").join(targets.select(F.col("pid").alias("nid"), *fields), "nid").drop("nid")
+    near = nearest_lists(points, targets, 1, dims, keep=[c for c in points.columns if c != "pid"], fields=fields)
+    return near.where(F.size("near") > 0).select(*points.columns, *[F.get("near", F.lit(0))[f].alias(f) for f in fields])
 
 
 def smooth(points: DataFrame, k: int, start, fields: list[str]) -> DataFrame:
     """``(pid, fields)`` averaged over each point's k nearest points, itself included; k <= 1 changes nothing."""
     if k <= 1:
         return points.select("pid", *fields)
-    near = k_nearest(points, points, k, start).select("pid", "nid")
-    values = points.select(F.col("pid").alias("nid"), *fields)
-    return near.join(values, "nid").groupBy("pid").agg(*[F.avg(f).alias(f) for f in fields])
+    near = nearest_lists(points, points, k, fields=fields).where(F.size("near") > 0)
+    return near.select("pid", *[(_total(f, lambda n, f=f: n[f].cast("double")) / _total(f, lambda n, f=f: F.lit(1.0))).alias(f) for f in fields])
+
+
+def _total(field: str, value: Callable[[Column], Column]) -> Column:
+    """The sum of ``value`` over the neighbours with ``field``; null if none has it."""
+    some = F.filter("near", lambda n: n[field].isNotNull())
+    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, n: a + value(n)))
 
 
 def ball_query(centres: DataFrame, points: DataFrame, radius, n: int, dims: str = "xyz") -> DataFrame:
     """``(pid, slot, nid, d2)``: the nearest ``n`` points within ``radius`` of each centre, in order; missing ones repeat the nearest.
 
-    Centres without a point in reach have no rows. Spark trims the ranks in the map tasks, so a
-    dense ball sends at most ``n`` rows from each.
+    Centres without a point in reach have no rows.
     """
-    w = W.partitionBy("pid").orderBy("d2", "nid")
-    near = pairs_within(centres, points, radius, dims, copy_left=True).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    slots = F.when(F.col("rank") == 1, F.lit(n) - F.col("ss_n")).otherwise(0)
-    counted = near.withColumn("ss_n", F.count("*").over(W.partitionBy("pid")))
-    filled = counted.withColumn("ss_more", F.explode(F.sequence(F.lit(0), slots.cast("int"))))
-    slot = F.when(F.col("ss_more") == 0, F.col("rank") - 1).otherwise(F.col("ss_n") + F.col("ss_more") - 1)
-    return filled.select("pid", slot.cast("int").alias("slot"), "nid", "d2")
+    near = nearest_lists(centres, points, n, dims, radius).where(F.size("near") > 0)
+    filled = F.concat("near", F.array_repeat(F.get("near", F.lit(0)), F.lit(n) - F.size("near")))
+    return near.select("pid", F.posexplode(filled).alias("slot", "n")).select("pid", "slot", "n.nid", "n.d2")
 
 
-def interpolate(points: DataFrame, targets: DataFrame, fields: list[str], start, k: int = 3, dims: str = "xyz") -> DataFrame:
+def interpolate(points: DataFrame, targets: DataFrame, fields: list[str], start=None, k: int = 3, dims: str = "xyz") -> DataFrame:
     """``(pid, fields)``: averages of the ``k`` nearest targets' fields, weighted by ``1 / (d2 + 1e-8)``.
 
     A target at the point itself outweighs all others; of fewer than ``k`` targets all are used.
     A null field counts as missing with its weight.
     """
-    near = k_nearest(points, targets, k, start, dims).withColumn("ss_w", 1.0 / (F.col("d2") + 1e-8)).select("pid", "nid", "ss_w")
-    values = targets.select(F.col("pid").alias("nid"), *fields)
-    mean = lambda f: (F.sum(F.col(f) * F.col("ss_w")) / F.sum(F.when(F.col(f).isNotNull(), F.col("ss_w")))).alias(f)
-    return near.join(values, "nid").groupBy("pid").agg(*[mean(f) for f in fields])
+    near = nearest_lists(points, targets, k, dims, fields=fields).where(F.size("near") > 0)
+    weight = lambda n: 1.0 / (n["d2"] + 1e-8)
+    return near.select("pid", *[(_total(f, lambda n, f=f: n[f] * weight(n)) / _total(f, weight)).alias(f) for f in fields])
