@@ -78,6 +78,7 @@ def test_no_copies_of_cells_are_broadcast(spark, broadcasts):
 
 
 QUERIES = [
+    "normal_features",
     "interpolate_three",
     "knn_smooth",
     "knn_density",
