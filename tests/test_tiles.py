@@ -78,6 +78,7 @@ def test_no_copies_of_cells_are_broadcast(spark, broadcasts):
 
 
 QUERIES = [
+    "nearest_label_transfer",
     "radius_join",
     "nearest_join_bounded",
     "normal_features",
