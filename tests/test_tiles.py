@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from standscan.operators import neighbours, tiles
+from standscan.operators import neighbours, register, tiles
 from standscan.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,21 @@ def test_queries_make_no_pairs_of_cells(spark, broadcasts, name):
     """No table of copies or pairs is joined, broadcast or windowed."""
     made = plan(core.queries()[name](spark, SF))
     assert not any(word in made for word in ("Broadcast", "Join", "Window", "Generate explode(array(")), made
+
+
+def test_thinning_writes_no_pairs(spark, monkeypatch):
+    """600 rows of a few places: the loop's result by rounds, from tables no longer than the input."""
+    rng = np.random.default_rng(6)
+    xy = np.vstack([rng.integers(0, 300, (300, 2)), rng.integers(0, 30, (300, 2))])
+    kept: list[int] = []
+    for i in range(len(xy)):
+        if all(((xy[i] - xy[j]) ** 2).sum() > 40**2 for j in kept):
+            kept.append(i)
+    written = []
+    write = register.materialise
+    monkeypatch.setattr(register, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    monkeypatch.setattr(register, "discard", lambda df: None)
+    df = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(xy)], "pid long, x long, y long")
+    assert sorted(r["pid"] for r in register.thin(df, 40).collect()) == kept
+    assert sorted(r["pid"] for r in register.thin(df, 40, rest=10).collect()) == kept
+    assert all(t.count() <= len(xy) for t in written)
