@@ -72,6 +72,13 @@ def test_k_nearest_makes_no_pairs_of_cells(spark, broadcasts):
     assert "Join" not in plan(neighbours.k_nearest(points, points, 10, 400))
 
 
+def test_nearest_in_plan_makes_no_pairs(spark, broadcasts):
+    points = integers(spark, uneven(7))
+    made = plan(neighbours.nearest_within(points.where("pid % 2 = 0"), points.where("pid % 2 = 1"), 200, "xy"))
+    assert "Join" not in made and "SortAggregate" not in made
+    assert register.vertical_offset(points, points.withColumn("z", F.col("z") + 7), 2) == 7.0
+
+
 def test_no_copies_of_cells_are_broadcast(spark, broadcasts):
     points = integers(spark, uneven(5))
     assert "Broadcast" not in plan(neighbours.pairs_within(points, points, 30).agg(F.count("*")))
