@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from standscan.operators import neighbours, register, tiles
+from standscan.operators import clusters, neighbours, register, tiles
 from standscan.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +123,27 @@ def test_thinning_writes_no_pairs(spark, monkeypatch):
     assert sorted(r["pid"] for r in register.thin(df, 40).collect()) == kept
     assert sorted(r["pid"] for r in register.thin(df, 40, rest=10).collect()) == kept
     assert all(t.count() <= len(xy) for t in written)
+
+
+def test_dbscan_across_tiles_writes_no_pairs(spark, monkeypatch):
+    """Clusters over many tiles, with border points between them; tables written are no longer than a few rows a point."""
+    rng = np.random.default_rng(8)
+    p = (np.vstack([rng.normal(c, 0.5, (150, 3)) for c in (0, 2, 4)] + [rng.uniform(-2, 6, (150, 3)), np.full((100, 3), 9.0)])[rng.permutation(700)] * 100).astype(int)
+    near = ((p[:, None] - p[None]) ** 2).sum(-1) <= 45**2
+    core = near.sum(1) >= 6
+    root = np.full(len(p), -1)
+    for i in np.flatnonzero(core):
+        stack = [i] if root[i] < 0 else []
+        while stack:
+            j = stack.pop()
+            if root[j] < 0:
+                root[j] = i
+                stack += np.flatnonzero(near[j] & core).tolist()
+    want = [root[near[i] & core].min() if not core[i] and (near[i] & core).any() else root[i] for i in range(len(p))]
+    number = {r: n for n, r in enumerate(sorted({r for r in want if r >= 0}))} | {-1: -1}
+    written = []
+    write = clusters.materialise
+    monkeypatch.setattr(clusters, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    got = clusters.dbscan(integers(spark, p), 45, 6, per_tile=60).collect()
+    assert len(got) == len(p) and [dict(got)[i] for i in range(len(p))] == [number[r] for r in want]
+    assert len(number) > 2 and sum(t.count() for t in written) < 6 * len(p) < near.sum()
