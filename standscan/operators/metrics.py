@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from standscan.functions.cloud import cell
 from standscan.operators.points import IGNORE
+from standscan.operators.tiles import nearest_rows, places, square, within_tiles
 from standscan.session import materialise
 
 
@@ -87,37 +92,128 @@ def class_weights(labels: DataFrame, label: str = "label", mode: str = "log") ->
     return counts.select("label", "n", (raw / F.lit(mean)).alias("weight"))
 
 
-def match_centres(refs: DataFrame, preds: DataFrame, max_distance: float, rounds_first: int = 8, driver_pairs: int = 1 << 16) -> DataFrame:
-    """``(rid, qid, distance)``: greedy one-to-one matching of ``(id, x, y)`` by distance.
+def match_centres(refs: DataFrame, preds: DataFrame, max_distance: float, per_tile: int = 1 << 16) -> DataFrame:
+    """``(rid, qid, distance)``: greedy one-to-one matching of ``(id, x, y)`` by distance, then rid and qid.
 
-    Rounds of mutual nearest pairs give the greedy result, as pairs are in a total order of
-    (distance, rid, qid). Candidate pairs come from a bucketed equi-join. A chain of equal
-    distances settles one pair a round, so after ``rounds_first`` rounds the driver matches what
-    is left, once that is at most ``driver_pairs`` pairs; rounds go on until then.
+    Tiles match the objects in them and their halo in that order and keep what no object beyond the halo
+    can change. The references left open, few and near edges, meet the free predictions in reach in new tiles. The
+    nearest open pair is always settled, so rounds end; what fits one tile is settled at once. No pairs are written.
     """
+    kinds = {n: dict(d.dtypes)["id"] for n, d in (("rid", refs), ("qid", preds))}
+    refs, preds = (d.select(F.col("id").alias("pid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")) for d in (refs, preds))
+    spark, schema = refs.sparkSession, f"rid {kinds['rid']}, qid {kinds['qid']}, distance double"
+    search = partial(_match_tile, max_distance=float(max_distance), halo=2.0 * max_distance)
     size = max_distance if max_distance > 0 else 1.0
-    shift = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    r = refs.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), cell("x", size).alias("i"), cell("y", size).alias("j"))
-    q = preds.withColumn("s", F.explode(shift)).select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), (cell("x", size) + F.col("s.a")).alias("i"), (cell("y", size) + F.col("s.b")).alias("j"))
-    d = F.sqrt((F.col("rx") - F.col("qx")) ** 2 + (F.col("ry") - F.col("qy")) ** 2)
-    pairs = materialise(r.join(q, ["i", "j"]).select("rid", "qid", d.alias("distance")).where(F.col("distance") <= max_distance), "match-pairs")
-    spark, order, paths, rounds = pairs.sparkSession, ["distance", "rid", "qid"], [], 0
-    while not pairs.isEmpty():
-        if rounds >= rounds_first and len(left := pairs.limit(driver_pairs + 1).collect()) <= driver_pairs:
-            refs_done, preds_done, won = set(), set(), []
-            for row in sorted(left, key=lambda r: (r["distance"], r["rid"], r["qid"])):
-                if row["rid"] not in refs_done and row["qid"] not in preds_done:
-                    refs_done.add(row["rid"])
-                    preds_done.add(row["qid"])
-                    won.append(tuple(row))
-            paths.append(materialise(spark.createDataFrame(won, pairs.schema), "match-won")._standscan_path)
+    at = {c: cell(c, size) for c in "xy"}
+    around = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    paths: list[str] = []
+    while True:
+        both = refs.withColumn("side", F.lit(0)).unionByName(preds.withColumn("side", F.lit(1)))
+        done = materialise(within_tiles(both, "xy", search, schema, 2.0 * max_distance, per_tile), "match-won")
+        paths.append(done._standscan_path)
+        left = done.where("qid is null").select(F.col("rid").alias("pid"))
+        if left.isEmpty():
             break
-        ranked = pairs.withColumn("a", F.row_number().over(W.partitionBy("rid").orderBy(*order))).withColumn("b", F.row_number().over(W.partitionBy("qid").orderBy(*order)))
-        won = materialise(ranked.where("a = 1 and b = 1").select("rid", "qid", "distance"), "match-won")
-        paths.append(won._standscan_path)
-        pairs = materialise(pairs.join(won.select("rid"), "rid", "left_anti").join(won.select("qid"), "qid", "left_anti").select("rid", "qid", "distance"), "match-pairs")
-        rounds += 1
-    return spark.read.schema(pairs.schema).parquet(*paths) if paths else pairs
+        refs = materialise(refs.join(left, "pid", "left_semi"), "match-refs")
+        near = refs.select(F.explode(around).alias("s"), at["x"].alias("i"), at["y"].alias("j")).select((F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j")).distinct()
+        free = preds.join(done.where("qid is not null").select(F.col("qid").alias("pid")), "pid", "left_anti").withColumns({"i": at["x"], "j": at["y"]})
+        preds = materialise(free.join(near, ["i", "j"], "left_semi").select("pid", "x", "y"), "match-preds")
+    return spark.read.schema(schema).parquet(*paths).where("qid is not null")
+
+
+def _grouped(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids by place and value, the first of each place with the end, and the places."""
+    order = np.lexsort((ids, *at.T[::-1]))
+    ids, at = ids[order], at[order]
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)]) if len(at) else np.zeros(0, np.int64)
+    return ids, np.r_[first, len(ids)], at[first]
+
+
+def _match_tile(box, table: pa.Table, max_distance: float, halo: float, listed: int = 16) -> pa.Table:
+    """The settled matches of the tile's own references, and those of its references still open, without a qid.
+
+    Objects of one place queue by id. A pair is open if it is longer than the way from either object to the end of
+    what the tile sees, or if its prediction may have been taken by an open reference; the reference is then open,
+    and so is each prediction from its distance to that reference on.
+    """
+    ids, at, side = table.column("pid").to_numpy(), places(table, "xy").astype(np.float64), table.column("side").to_numpy()
+    (rid, r_first, r_at), (qid, q_first, q_at) = (_grouped(ids[side == s], at[side == s]) for s in (0, 1))
+    margins = [np.minimum(p - (box[0] - halo), box[1] + halo - p).min(axis=1) * (1 - 1e-12) if len(p) else np.zeros(0) for p in (r_at, q_at)]
+    r_seen, q_seen = margins[0].tolist(), margins[1]
+    alive, open_from = np.ones(len(q_at), bool), np.full(len(q_at), np.inf)
+    q_next, q_end, r_end = q_first[:-1].tolist(), q_first[1:].tolist(), r_first[1:].tolist()
+    r_next = r_first[:-1].tolist()
+    near: list = [([], [], 0, False)] * len(r_at)  # predictions' places, distances, the next of them, whether that is all
+    query, hit, d2 = nearest_rows(r_at, q_at, np.arange(len(q_at)), listed, max_distance * max_distance * (1 + 1e-9))
+    ends = np.searchsorted(query, np.arange(len(r_at) + 1))
+    gaps = np.sqrt(d2)
+    for p in range(len(r_at)):
+        h, g = hit[ends[p] : ends[p + 1]], gaps[ends[p] : ends[p + 1]]
+        if full := len(h) < listed:
+            keep = g <= max_distance
+        else:  # others may be as far as the last
+            keep = (g < g[-1]) & (g <= max_distance)
+        near[p] = (h[keep].tolist(), g[keep].tolist(), 0, full or bool(g[-1] > max_distance))
+
+    def lookup(p):
+        """The free places within the largest distance of place ``p``, and their distances."""
+        free = np.flatnonzero(alive)
+        g = np.sqrt(square(r_at[p], q_at[free]))
+        inside = g <= max_distance
+        return free[inside], g[inside]
+
+    def best(p):
+        """The nearest free prediction of a place of references, with the smallest id of all as near."""
+        while True:
+            hits, far, k, whole = near[p]
+            while k < len(hits) and not alive[hits[k]]:
+                k += 1
+            if k < len(hits):
+                near[p] = (hits, far, k, whole)
+                found, d = None, far[k]
+                while k < len(hits) and far[k] == d:
+                    if alive[hits[k]] and (found is None or qid[q_next[hits[k]]] < found[0]):
+                        found = (qid[q_next[hits[k]]], hits[k])
+                    k += 1
+                return d, *found
+            if whole:
+                return None
+            free, g = lookup(p)
+            if whole := len(g) <= listed:
+                keep = np.arange(len(g))
+            else:
+                keep = np.flatnonzero(g <= np.partition(g, listed)[listed])
+            keep = keep[np.argsort(g[keep], kind="stable")]
+            near[p] = (free[keep].tolist(), g[keep].tolist(), 0, whole)
+
+    queue, won, opened = [], [], []
+
+    def ask(p):
+        if (b := best(p)) is not None:
+            heapq.heappush(queue, (b[0], rid[r_next[p]], b[1], p, b[2]))
+
+    for p in range(len(r_at)):
+        ask(p)
+    while queue:
+        d, r, q, p, o = heapq.heappop(queue)
+        if not alive[o] or qid[q_next[o]] != q:
+            ask(p)
+        elif d <= r_seen[p] and d <= q_seen[o] and d < open_from[o]:
+            won.append((p, r, q, d))
+            q_next[o] += 1
+            alive[o] = q_next[o] < q_end[o]
+            r_next[p] += 1
+            if r_next[p] < r_end[p]:
+                ask(p)
+        else:
+            free, g = lookup(p)
+            free, g = free[g >= d], g[g >= d]
+            open_from[free] = np.minimum(open_from[free], g)
+            opened += [(p, x, None, None) for x in rid[r_next[p] : r_end[p]]]
+    own = ((r_at > box[0]) & (r_at <= box[1])).all(axis=1)
+    rows = [x for x in won + opened if own[x[0]]]
+    kind = table.schema.field("pid").type
+    return pa.table({n: pa.array([x[i] for x in rows], t) for i, n, t in ((1, "rid", kind), (2, "qid", kind), (3, "distance", pa.float64()))})
 
 
 def detection_scores(n_refs: int, n_preds: int, n_matched: int) -> dict:

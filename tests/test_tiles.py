@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from standscan.operators import clusters, neighbours, register, tiles
+from standscan.operators import clusters, metrics, neighbours, register, tiles
 from standscan.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -147,3 +147,23 @@ def test_dbscan_across_tiles_writes_no_pairs(spark, monkeypatch):
     got = clusters.dbscan(integers(spark, p), 45, 6, per_tile=60).collect()
     assert len(got) == len(p) and [dict(got)[i] for i in range(len(p))] == [number[r] for r in want]
     assert len(number) > 2 and sum(t.count() for t in written) < 6 * len(p) < near.sum()
+
+
+@pytest.mark.parametrize("per_tile", [1 << 16, 60])
+def test_matching_across_tiles_writes_no_pairs(spark, monkeypatch, per_tile):
+    """Places with many copies and ties: the greedy result of all pairs, from tables no longer than the input."""
+    rng = np.random.default_rng(9)
+    a, b = (np.vstack([rng.integers(0, 200, (260, 2)), rng.integers(0, 20, (60, 2)) * 10, np.full((30, 2), v)]) for v in (50, 53))
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    want, rs, qs = {}, set(), set()
+    for dist, i, j in sorted((d[i, j], i, j) for i, j in zip(*np.nonzero(d <= 25), strict=True)):
+        if i not in rs and j not in qs:
+            rs.add(i), qs.add(j)
+            want[int(i)] = (int(j), float(dist))
+    make = lambda p: spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(p)], "id long, x long, y long")
+    written = []
+    write = metrics.materialise
+    monkeypatch.setattr(metrics, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    got = {r["rid"]: (r["qid"], r["distance"]) for r in metrics.match_centres(make(a), make(b), 25, per_tile=per_tile).collect()}
+    assert got == want
+    assert all(t.count() <= len(a) for t in written) and (per_tile > 60 or len(written) > 1)
