@@ -167,3 +167,15 @@ def test_matching_across_tiles_writes_no_pairs(spark, monkeypatch, per_tile):
     got = {r["rid"]: (r["qid"], r["distance"]) for r in metrics.match_centres(make(a), make(b), 25, per_tile=per_tile).collect()}
     assert got == want
     assert all(t.count() <= len(a) for t in written) and (per_tile > 60 or len(written) > 1)
+
+
+def test_centres_are_matched_without_a_table_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    xy = rng.uniform(0, 100, (150, 2))
+    make = lambda p: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "pid long, x double, y double")
+    written = []
+    write = register.materialise
+    monkeypatch.setattr(register, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    flat, hits = register.match_centres_2d(make(xy), make(np.column_stack([7 - xy[:, 1], xy[:, 0] + 13])), draws=100)
+    assert hits == 150 and np.allclose(flat, [[0, -1, 7], [1, 0, 13], [0, 0, 1]], atol=1e-6)
+    assert all(t.count() <= 150 for t in written)
