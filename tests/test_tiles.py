@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from standscan.operators import clusters, metrics, neighbours, register, tiles
+from standscan.operators import clusters, labels, metrics, neighbours, register, tiles
 from standscan.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -179,3 +179,13 @@ def test_centres_are_matched_without_a_table_of_pairs(spark, monkeypatch):
     flat, hits = register.match_centres_2d(make(xy), make(np.column_stack([7 - xy[:, 1], xy[:, 0] + 13])), draws=100)
     assert hits == 150 and np.allclose(flat, [[0, -1, 7], [1, 0, 13], [0, 0, 1]], atol=1e-6)
     assert all(t.count() <= 150 for t in written)
+
+
+def test_reference_labels_travel_with_the_neighbours(spark, broadcasts, monkeypatch):
+    cloud = integers(spark, uneven(11)).withColumn("label", (F.col("pid") % 3).cast("int"))
+    plans = []
+    write = labels.materialise
+    monkeypatch.setattr(labels, "materialise", lambda df, name: plans.append(plan(df)) or write(df, name))
+    report = labels.compare_with_reference(cloud, cloud, {0: 0, 1: 1, 2: 2}, 3, 20)
+    assert report["matched_fraction"] == 1.0 and report["ignored_fraction"] == 0.0
+    assert plans and not any("Join" in p for p in plans)
