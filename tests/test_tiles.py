@@ -85,6 +85,7 @@ def test_no_copies_of_cells_are_broadcast(spark, broadcasts):
 
 
 QUERIES = [
+    "icp_step_sums",
     "nearest_label_transfer",
     "radius_join",
     "nearest_join_bounded",
