@@ -190,3 +190,15 @@ def test_reference_labels_travel_with_the_neighbours(spark, broadcasts, monkeypa
     report = labels.compare_with_reference(cloud, cloud, {0: 0, 1: 1, 2: 2}, 3, 20)
     assert report["matched_fraction"] == 1.0 and report["ignored_fraction"] == 0.0
     assert plans and not any("Join" in p for p in plans)
+
+
+def test_instances_write_no_pairs(spark, monkeypatch):
+    """300 copies of one place and a few points elsewhere: 90,000 pairs in reach, tables of a few rows a point."""
+    p = np.vstack([np.full((300, 3), 7), np.arange(30)[:, None] * 500 * np.ones((1, 3), int)])
+    points = integers(spark, p).withColumns({"pred": F.lit(2), "hag": F.col("z")})
+    written = []
+    write = clusters.materialise
+    monkeypatch.setattr(clusters, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    found = {r["pid"]: r["instance"] for r in clusters.extract_instances(points, 2, 150, 6)[0].collect()}
+    assert len(found) == len(p) and sorted(i for i in found if found[i] == 0) == list(range(301)) and {found[i] for i in range(301, 330)} == {-1}
+    assert sum(t.count() for t in written) < 6 * len(p)
